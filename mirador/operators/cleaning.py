@@ -27,21 +27,33 @@ class Rule:
 def apply_rules(
     df: DataFrame, rules: list[Rule], item: str, value: str, validated: str | None = None
 ) -> DataFrame:
-    """Apply the rules in order as one expression: no join, no shuffle."""
-    out = F.col(value).cast("double")
+    """Apply each item's rules in order, as one CASE over (item, feed): no join, no shuffle."""
+    start = F.col(value).cast("double")
+    out = None
+    for name in dict.fromkeys(r.item for r in rules):
+        mine = [r for r in rules if r.item == name]
+        split = any(r.validated is not None for r in mine)
+        for feed in (True, False, None) if split else (None,):
+            chain = _repaired(start, [r for r in mine if r.validated in (None, feed)])
+            here = F.col(item) == name
+            if feed is not None:
+                here &= F.col(validated) == F.lit(feed)
+            out = F.when(here, chain) if out is None else out.when(here, chain)
+    return df.withColumn(value, out.otherwise(start) if out is not None else start)
+
+
+def _repaired(value: Column, rules: list[Rule]) -> Column:
+    wrong = F.lit(False)
     for r in rules:
-        applies = F.col(item) == r.item
-        if r.validated is not None:
-            applies &= F.col(validated) == F.lit(r.validated)
         if r.divide_above is not None:
-            out = F.when(applies & (out > r.divide_above), out / 10).otherwise(out)
+            value = F.when(wrong, None).otherwise(value)
+            value = F.when(value > r.divide_above, value / 10).otherwise(value)
+            wrong = F.lit(False)
         if r.lower is not None:
-            low = out <= r.lower if r.open_lower else out < r.lower
-            out = F.when(applies & low, F.lit(None)).otherwise(out)
+            wrong = wrong | (value <= r.lower if r.open_lower else value < r.lower)
         if r.upper is not None:
-            high = out >= r.upper if r.open_upper else out > r.upper
-            out = F.when(applies & high, F.lit(None)).otherwise(out)
-    return df.withColumn(value, out)
+            wrong = wrong | (value >= r.upper if r.open_upper else value > r.upper)
+    return F.when(wrong, None).otherwise(value)
 
 
 def require(

@@ -48,31 +48,22 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "nullValue": "",
+}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Text hand-off. Full timestamps, quoted text; empty text stays apart from null."""
-    df.write.mode("overwrite").csv(
-        path,
-        header=True,
-        emptyValue='""',
-        nullValue="",
-        timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-        escape='"',
-    )
+    """Text hand-off: full timestamps, quoted text, empty text kept apart from null."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS, emptyValue='""').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Read with a declared schema; nothing is inferred."""
-    return spark.read.csv(
-        path,
-        schema=schema,
-        header=True,
-        emptyValue="",
-        nullValue="",
-        timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-        escape='"',
-        multiLine=False,
-        mode="FAILFAST",
-    )
+    """Read with a declared schema; nothing is inferred, and a bad line is an error."""
+    return spark.read.options(**CSV_OPTIONS, emptyValue="", mode="FAILFAST").csv(path, schema=schema)
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
