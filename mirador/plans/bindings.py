@@ -57,7 +57,7 @@ SCORE_SQL = """scored AS (
     round(1 / (1 + exp(-(0.15 * (n_orders - 10) + 0.0001 * c_acctbal - 0.4))), 6) AS y1,
     round(1 / (1 + exp(-(0.05 * (n_orders - 10) - 0.0002 * c_acctbal + 0.8))), 6) AS y0,
     round(1 / (1 + exp(-(0.3 * (n_orders - 9) + 0.00005 * c_acctbal))), 6) AS propensity,
-    round((c_acctbal / 10000 - 0.45) * 0.5 + (n_orders - 10) * 0.01, 6) AS ite,
+    round((c_acctbal - 4500) / 25000 + (n_orders - 10) * 0.01, 6) AS ite,
     CASE WHEN c_nationkey >= 20 THEN 'external' ELSE 'internal' END AS cohort
   FROM sales),
 observed AS (SELECT *, CASE WHEN t = 1 THEN y1 ELSE y0 END AS p FROM scored)"""
@@ -129,7 +129,7 @@ def scored_sales(t: Tables) -> DataFrame:
     scored = sales(t).withColumns({
         "y1": y1, "y0": y0,
         "propensity": _logistic(0.3 * (n - 9) + 0.00005 * bal),
-        "ite": F.round((bal / 10000 - 0.45) * 0.5 + (n - 10) * 0.01, 6),
+        "ite": F.round((bal - 4500) / 25000 + (n - 10) * 0.01, 6),
         "cohort": F.when(F.col("c_nationkey") >= EXTERNAL_FROM_NATION, "external").otherwise("internal"),
     })
     return scored.withColumn("p", F.when(F.col("t") == 1, F.col("y1")).otherwise(F.col("y0")))
