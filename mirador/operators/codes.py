@@ -17,8 +17,8 @@ def in_codes(df: DataFrame, cols: str | list[str], codes) -> DataFrame:
     """
     cols = [cols] if isinstance(cols, str) else cols
     if isinstance(codes, DataFrame):
-        return df.join(codes.select(*cols).distinct(), cols, "left_semi")
-    rows = [c if isinstance(c, tuple) else (c,) for c in codes]
+        return df.join(codes.select(*cols), cols, "left_semi")
+    rows = list(dict.fromkeys(c if isinstance(c, tuple) else (c,) for c in codes))
     if len(cols) == 1 and len(rows) <= INLINE_CODES:
         return df.filter(F.col(cols[0]).isin(*[r[0] for r in rows]))
     table = lookup_table(df, rows, cols)
@@ -27,6 +27,9 @@ def in_codes(df: DataFrame, cols: str | list[str], codes) -> DataFrame:
 
 def lookup_table(df: DataFrame, rows: list[tuple], cols: list[str], extra: str = "") -> DataFrame:
     """Small table from Python rows; the key columns get the types they have in ``df``."""
+    keys = [row[: len(cols)] for row in rows]
+    if len(set(keys)) < len(keys):
+        raise ValueError(f"a key of {cols} is listed twice")
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in cols)
     return df.sparkSession.createDataFrame(rows, schema + (f", {extra}" if extra else ""))

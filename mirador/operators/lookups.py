@@ -17,10 +17,19 @@ def block_start(at: Column, width: int) -> Column:
 
 
 def lookup_at(
-    df: DataFrame, right: DataFrame, on: list[str], where: Column | None = None, how: str = "left"
+    df: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    where: Column | None = None,
+    keep: list[str | Column] | None = None,
 ) -> DataFrame:
-    """Left join on unit and exact time; the condition on the right side comes first."""
-    return df.join(right.filter(where) if where is not None else right, on, how)
+    """Left join on unit and exact time; the condition on the right side comes first.
+
+    ``keep`` orders the right rows of one key and joins only the first, so a left row stays
+    one row. Without it every right row of the key is joined.
+    """
+    right = right.filter(where) if where is not None else right
+    return df.join(first_by(right, on, keep) if keep else right, on, "left")
 
 
 def band_join(

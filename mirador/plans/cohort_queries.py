@@ -209,11 +209,13 @@ def arm_summary(t: Tables):
 
 
 @query("same_time_lookup", """
-SELECT p.event_id, p.user_id, d.event_id AS device_id, d.value AS device_value
+SELECT p.event_id, p.user_id, d.device_id, d.device_value
 FROM (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase') p
-LEFT JOIN (SELECT event_id, user_id, CAST(ts AS DATE) AS day, value FROM events
-           WHERE event_type = 'view' AND value >= 20) d
-  ON p.user_id = d.user_id AND p.day = d.day""")
+LEFT JOIN (
+  SELECT event_id AS device_id, user_id, CAST(ts AS DATE) AS day, value AS device_value,
+    row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value DESC, event_id) AS rn
+  FROM events WHERE event_type = 'view' AND value >= 20) d
+  ON p.user_id = d.user_id AND p.day = d.day AND d.rn = 1""")
 def same_time_lookup(t: Tables):
     day = F.to_date("ts").alias("day")
     events = t("events", "event_id", "user_id", "event_type", "value", "ts")
@@ -225,6 +227,7 @@ def same_time_lookup(t: Tables):
     found = lookups.lookup_at(
         left, right, ["user_id", "day"],
         (F.col("event_type") == "view") & (F.col("device_value") >= 20),
+        keep=[-F.col("device_value"), "device_id"],
     )
     return found.select("event_id", "user_id", "device_id", "device_value")
 
@@ -856,8 +859,8 @@ def analysis_table(t: Tables):
 
 @query("external_analysis_table", f"""
 WITH {SALES_SQL}
-SELECT id AS unit_id, t AS treated, y AS outcome, round(coalesce(mean_price, 400.0) * 0.0555, 6) AS price,
-  coalesce(max_qty, 0.0) AS quantity, round(mean_discount, 9) AS discount
+SELECT id AS unit_id, t AS treated, y AS outcome, coalesce(mean_price, 400.0) * 0.0555 AS price,
+  coalesce(max_qty, 0.0) AS quantity, mean_discount AS discount
 FROM sales WHERE c_nationkey >= 20""")
 def external_analysis_table(t: Tables):
     outside = sales(t).filter("c_nationkey >= 20")
@@ -868,5 +871,4 @@ def external_analysis_table(t: Tables):
         {"id": "unit_id", "t": "treated", "y": "outcome", "mean_price": "price",
          "max_qty": "quantity", "mean_discount": "discount"},
         ["unit_id", "treated", "outcome", "price", "quantity", "discount"],
-        {"mean_price": F.round("mean_price", 6), "mean_discount": F.round("mean_discount", 9)},
     )
