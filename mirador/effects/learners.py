@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
+from mirador.functions.numeric import uniform
 from mirador.prep.scaling import missing_flags
 from mirador.roles import Roles
 
@@ -129,7 +130,7 @@ def fit_effect(
     cols = [*roles.x, *flags] + ([t] if learner == "s" else [])
     data = assembled(
         df.withColumns({t: F.col(t).cast("double"), y: F.col(y).cast("double")}), cols, "_features"
-    ).select(t, y, "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    ).select(roles.id, t, y, "_features").persist(StorageLevel.MEMORY_AND_DISK)
 
     def make(label: str, classes: int = 2):
         return classifier(base, "_features", label, len(cols), classes, seed, **params)
@@ -143,30 +144,28 @@ def fit_effect(
         fitted.models.update(m1=m1, m0=m0)
         if learner == "x":
             fitted.models["g"] = propensity(data, t, "_features")
-            fitted.models.update(_second_stage(base, treated, control, m1, m0, y, seed, make, params))
+            fitted.models.update(_second_stage(base, treated, control, m1, m0, roles, seed, make, params))
         return fitted
     finally:
         data.unpersist()
 
 
-def _second_stage(base, treated, control, m1, m0, y, seed, make, params) -> dict[str, Model]:
+def _second_stage(base, treated, control, m1, m0, roles, seed, make, params) -> dict[str, Model]:
     """Models of the imputed effects: y − m0(x) on the treated, m1(x) − y on the controls.
 
-    The perceptron has no regression form: it learns the three classes −1, 0, 1 of effects
-    imputed with predicted labels, and is scored by the expected class value.
+    The perceptron has no regression form: the unseen outcome is drawn as 0 or 1 with its
+    predicted probability, from the row's id, and three classes −1, 0, 1 are learned. Their
+    expected value is the effect.
     """
+    y = F.col(roles.y)
     if base == "mlp":
-        def effect(arm: DataFrame, model: Model, sign: int) -> DataFrame:
-            d = (F.col(y) - F.col("_m")) * sign + 1
-            return prediction(model, arm, "_m").withColumn("_d", d)
-
-        return {
-            "tau1": make("_d", 3).fit(effect(treated, m0, 1)),
-            "tau0": make("_d", 3).fit(effect(control, m1, -1)),
-        }
+        drawn = (uniform(roles.id, seed=seed) < F.col("_m")).cast("double")
+        d1 = probability(m0, treated, "_m").withColumn("_d", y - drawn + 1)
+        d0 = probability(m1, control, "_m").withColumn("_d", drawn - y + 1)
+        return {"tau1": make("_d", 3).fit(d1), "tau0": make("_d", 3).fit(d0)}
     second = regressor(base, "_features", "_d", seed, **params)
-    d1 = probability(m0, treated, "_m").withColumn("_d", F.col(y) - F.col("_m"))
-    d0 = probability(m1, control, "_m").withColumn("_d", F.col("_m") - F.col(y))
+    d1 = probability(m0, treated, "_m").withColumn("_d", y - F.col("_m"))
+    d0 = probability(m1, control, "_m").withColumn("_d", F.col("_m") - y)
     return {"tau1": second.fit(d1), "tau0": second.fit(d0)}
 
 

@@ -52,18 +52,18 @@ CSV_OPTIONS = {
     "header": True,
     "escape": '"',
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "nullValue": "",
+    "nullValue": "\\N",
 }
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Text hand-off: full timestamps, quoted text, empty text kept apart from null."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS, emptyValue='""').csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read with a declared schema; nothing is inferred, and a bad line is an error."""
-    return spark.read.options(**CSV_OPTIONS, emptyValue="", mode="FAILFAST").csv(path, schema=schema)
+    return spark.read.options(**CSV_OPTIONS, mode="FAILFAST").csv(path, schema=schema)
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
