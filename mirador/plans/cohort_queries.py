@@ -57,15 +57,13 @@ def csv_roundtrip(t: Tables):
 @query("anchor_window_filter", f"""
 WITH {ANCHOR_SQL}
 SELECT e.event_id, e.user_id, e.event_type, e.value,
-       round((epoch_us(e.ts) - epoch_us(a.anchor_ts)) / 6e7, 6) AS offset_min
+       (epoch_us(e.ts) - epoch_us(a.anchor_ts)) / 6e7 AS offset_min
 FROM events e JOIN anchor a ON a.user_id = e.user_id
 WHERE epoch_us(e.ts) - epoch_us(a.anchor_ts) BETWEEN {LO_US} AND {HI_US} AND e.value > 0""")
 def anchor_window_filter(t: Tables):
     events = t("events", "event_id", "user_id", "event_type", "value", "ts").filter("value > 0")
     kept = windows.in_window(events, anchor(t), "user_id", "ts", "anchor_ts", LO, HI)
-    return kept.select(
-        "event_id", "user_id", "event_type", "value", F.round("offset_min", 6).alias("offset_min")
-    )
+    return kept.select("event_id", "user_id", "event_type", "value", "offset_min")
 
 
 @query("interval_overlap_filter", f"""

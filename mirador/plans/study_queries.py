@@ -55,10 +55,10 @@ def _params_sql(where: str, source: str = "parted") -> str:
 
 @query("scale_impute_params", f"""
 WITH {SPLIT_SQL}, params AS ({_params_sql("split = 'train'")})
-SELECT feature, round(min, 6) AS min, round(max, 6) AS max, round(median, 6) AS median FROM params""")
+SELECT feature, round(min, 9) AS min, round(max, 9) AS max, round(median, 9) AS median FROM params""")
 def scale_impute_params(t: Tables):
     fitted = scaling.fit_params(parted(t), X, F.col("split") == "train")
-    return rounded(fitted, ["min", "max", "median"])
+    return rounded(fitted, ["min", "max", "median"], 9)
 
 
 def _scaled_sql(c: str, value: str, params: str) -> str:
@@ -109,13 +109,13 @@ def external_scale_impute(t: Tables):
 
 @query("median_fill", f"""
 WITH {SPLIT_SQL}, params AS ({_params_sql("split = 'train'")})
-SELECT id, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), (SELECT median FROM params WHERE feature = '{c}')), 6) AS {c}" for c in X)}
+SELECT id, {", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT round(median, 6) FROM params WHERE feature = '{c}')) AS {c}" for c in X)}
 FROM parted""")
 def median_fill(t: Tables):
     table = parted(t)
     fitted = scaling.params_of(scaling.fit_params(table, X, F.col("split") == "train"))
-    medians = {c: p["median"] for c, p in fitted.items()}
-    return rounded(cleaning.fill_from(table.select("id", *X), medians), X)
+    medians = {c: round(p["median"], 6) for c, p in fitted.items()}
+    return cleaning.fill_from(table.select("id", *X), medians)
 
 
 def _smd_sql(c: str) -> str:
