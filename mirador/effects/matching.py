@@ -48,12 +48,8 @@ def nearest_match(
 def matched_set(df: DataFrame, roles: Roles, pairs: DataFrame) -> DataFrame:
     """The treated and their controls, a control repeated as often as it was chosen."""
     treated = df.filter(F.col(roles.t) == 1)
-    chosen = pairs.filter(F.col("match_id").isNotNull()).groupBy("match_id").agg(
-        F.count(F.lit(1)).alias("_times")
-    )
-    controls = df.join(chosen.withColumnRenamed("match_id", roles.id), roles.id)
-    controls = controls.select(*df.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_i"))
-    return treated.unionByName(controls.drop("_i"))
+    chosen = pairs.filter(F.col("match_id").isNotNull()).select(F.col("match_id").alias(roles.id))
+    return treated.unionByName(chosen.join(df, roles.id).select(*df.columns))
 
 
 def fit_matched(

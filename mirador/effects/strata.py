@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mirador.operators.lookups import attach
 from mirador.roles import Roles
 
 
@@ -17,9 +18,14 @@ def cell_means(df: DataFrame, roles: Roles, strata: list[str]) -> DataFrame:
     return cells.withColumn("ite", F.col("m1") - F.col("m0"))
 
 
+def with_cells(df: DataFrame, roles: Roles, strata: list[str]) -> DataFrame:
+    """Every row with its stratum's means."""
+    return attach(df, cell_means(df, roles, strata).drop("n"), strata)
+
+
 def stratified(df: DataFrame, roles: Roles, strata: list[str]) -> DataFrame:
     """Effect per unit, read off its stratum's cell means."""
-    return df.join(cell_means(df, roles, strata), strata).select(roles.id, "m1", "m0", "ite")
+    return with_cells(df, roles, strata).select(roles.id, "m1", "m0", "ite")
 
 
 def clipped(e: Column, margin: float = 0.01) -> Column:

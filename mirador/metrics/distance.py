@@ -36,19 +36,22 @@ def wasserstein(
     counts = known.groupBy(*by, F.col(value).cast("double").alias("v")).agg(
         F.count(F.when(F.col(t) == 1, 1)).alias("n1"), F.count(F.when(F.col(t) == 0, 1)).alias("n0")
     )
-    summed = running(
-        counts, by, "v", [Running("c1", "sum", "n1"), Running("c0", "sum", "n0")],
+    shares = running(
+        counts, by, "v",
+        [
+            Running("c1", "sum", "n1"), Running("c0", "sum", "n0"),
+            Running("r1", "sum", "n1", back=True, before=True),
+            Running("r0", "sum", "n0", back=True, before=True),
+        ],
         rows_per_bucket=rows_per_bucket,
-    )
-    sizes = summed.groupBy(*by).agg(F.sum("n1").alias("m1"), F.sum("n0").alias("m0"))
-    shares = summed.join(sizes.filter("m1 > 0 AND m0 > 0"), by)
+    ).withColumns({"m1": F.col("c1") + F.col("r1"), "m0": F.col("c0") + F.col("r0")})
     steps = shares.select(
         *by, "v",
         F.inline(F.array(
-            F.struct(F.lit(1).alias("arm"), (F.col("c1") / F.col("m1")).alias("u"), F.col("n1").alias("n")),
-            F.struct(F.lit(0).alias("arm"), (F.col("c0") / F.col("m0")).alias("u"), F.col("n0").alias("n")),
+            F.struct(F.lit(1).alias("arm"), F.try_divide("c1", "m1").alias("u"), F.col("n1").alias("n")),
+            F.struct(F.lit(0).alias("arm"), F.try_divide("c0", "m0").alias("u"), F.col("n0").alias("n")),
         )),
-    ).filter("n > 0")
+    ).filter("n > 0")  # an arm without rows has no share here, and w is null
     levels = steps.groupBy(*by, "u").agg(
         F.max(F.when(F.col("arm") == 1, F.col("v"))).alias("q1"),
         F.max(F.when(F.col("arm") == 0, F.col("v"))).alias("q0"),

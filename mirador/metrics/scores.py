@@ -45,18 +45,16 @@ def roc(
     by = list(by)
     ranked = running(
         _by_score(df, y, p, by), by, "score",
-        [Running("tp", "sum", "pos", back=True), Running("fp", "sum", "neg", back=True)],
+        [
+            Running("tp", "sum", "pos", back=True), Running("fp", "sum", "neg", back=True),
+            Running("fn", "sum", "pos", before=True), Running("tn", "sum", "neg", before=True),
+        ],
         rows_per_bucket=rows_per_bucket,
     )
-    totals = ranked.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    rates = [F.try_divide(F.col("fp"), F.col("_n")).alias("fpr"),
-             F.try_divide(F.col("tp"), F.col("_p")).alias("tpr")]
-    if by:
-        return ranked.join(totals, by).select(*by, F.col("score").alias("threshold"), *rates)
-    total = totals.first()
-    return (
-        ranked.withColumn("_p", F.lit(total["_p"])).withColumn("_n", F.lit(total["_n"]))
-        .select(F.col("score").alias("threshold"), *rates)
+    return ranked.select(
+        *by, F.col("score").alias("threshold"),
+        F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"),
+        F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("tpr"),
     )
 
 

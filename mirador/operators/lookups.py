@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mirador.functions.timing import epoch_micros, to_micros
 from mirador.operators.ordered import ROWS_PER_BUCKET, Running, running
+from mirador.sources.tables import stage
 
 
 def block_start(at: Column, width: int) -> Column:
@@ -16,6 +17,17 @@ def block_start(at: Column, width: int) -> Column:
     return at - F.pmod(at, F.lit(width))
 
 
+def attach(df: DataFrame, units: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join an aggregated table, one row per key, to many rows per key.
+
+    The aggregate is written first. Its size is then known, so Spark broadcasts it when it
+    is small; otherwise both sides are plain shuffles, the form in which AQE can split the
+    rows of a hot key over many tasks. An aggregate joined in place keeps the key's
+    partitioning and would pin a hot key to one task.
+    """
+    return df.join(stage(units, "units"), on, how)
+
+
 def lookup_at(
     df: DataFrame,
     right: DataFrame,
@@ -29,7 +41,9 @@ def lookup_at(
     one row. Without it every right row of the key is joined.
     """
     right = right.filter(where) if where is not None else right
-    return df.join(first_by(right, on, keep) if keep else right, on, "left")
+    if keep:
+        return attach(df, first_by(right, on, keep), on, "left")
+    return df.join(right, on, "left")
 
 
 def band_join(

@@ -174,13 +174,11 @@ def quantiles(
         F.count(F.lit(1)).alias("_n")
     )
     ranked = running(
-        counted, by, "_v", [Running("_upto", "sum", "_n")], rows_per_bucket=rows_per_bucket
-    )
-    sizes = ranked.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    placed = ranked.alias("l").join(sizes.alias("r"), same).select("l.*", "r._size") if by else (
-        ranked.withColumn("_size", F.lit(sizes.first()["_size"]))
+        counted, by, "_v",
+        [Running("_upto", "sum", "_n"), Running("_above", "sum", "_n", back=True, before=True)],
+        rows_per_bucket=rows_per_bucket,
     )
+    placed = ranked.withColumn("_size", F.col("_upto") + F.col("_above"))
 
     def at(position: Column) -> Column:
         inside = (F.col("_upto") - F.col("_n") <= position) & (position < F.col("_upto"))

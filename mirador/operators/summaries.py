@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirador.functions.timing import whole_units
+from mirador.operators.lookups import attach
 from mirador.operators.ordered import ROWS_PER_BUCKET, largest_group, quantiles
 
 
@@ -45,7 +46,7 @@ def peak_within(
 ) -> DataFrame:
     """Highest value among rows that end within ``hours`` whole hours of the unit's first start."""
     first = df.groupBy(on).agg(F.min(start).alias("_first"))
-    joined = df.join(first, on)
+    joined = attach(df, first, on)
     return (
         joined.filter(whole_units(stop, "_first", "HOUR") <= hours)
         .groupBy(on).agg(F.max(value).alias(name))

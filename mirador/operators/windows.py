@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mirador.functions.timing import between, micros, to_micros
+from mirador.functions.timing import between, epoch_micros, micros, to_micros
+from mirador.operators.lookups import attach
 
 
 def anchors(df: DataFrame, id: str, ts: str, where: Column, name: str = "anchor_ts") -> DataFrame:
@@ -27,10 +28,9 @@ def in_window(
 ) -> DataFrame:
     """Rows whose time lies in the window around their unit's anchor, with the offset in minutes.
 
-    The anchor side is one row per unit. No broadcast is forced: Spark broadcasts it when it
-    is small and otherwise joins by key, splitting a hot unit's rows.
+    The anchor table has one row per unit; see ``attach`` for how a hot unit is spread.
     """
-    joined = df.join(anchor.select(on, anchor_ts), on)
+    joined = attach(df, anchor.select(on, anchor_ts), on)
     delta = micros(ts, anchor_ts)
     return joined.filter(between(delta, lo, hi, closed)).withColumn(offset, delta / F.lit(6e7))
 
@@ -58,7 +58,5 @@ def within_horizon(
 
 def day_number(ts: str | Column, origin: str | Column | None = None) -> Column:
     """Whole days since the origin (or since 1970), rounded down, also below zero."""
-    from mirador.functions.timing import epoch_micros
-
     delta = epoch_micros(ts) if origin is None else micros(ts, origin)
     return F.floor(delta / F.lit(float(to_micros(dt.timedelta(days=1))))).cast("long")

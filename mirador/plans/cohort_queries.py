@@ -75,7 +75,7 @@ WHERE epoch_us(e.ts) <= epoch_us(a.anchor_ts) + 86400000000
 def interval_overlap_filter(t: Tables):
     from mirador.functions.timing import epoch_micros
 
-    events = t("events", "event_id", "user_id", "ts", "value").join(anchor(t), "user_id")
+    events = t("events", "event_id", "user_id", "ts", "value").transform(lookups.attach, anchor(t), "user_id")
     start, a = epoch_micros("ts"), epoch_micros("anchor_ts")
     stop = start + F.round(F.col("value") * 60_000_000).cast("long")
     day = F.lit(24 * 3600 * 1_000_000)
@@ -89,7 +89,7 @@ WITH {ANCHOR_SQL}, d AS (
   FROM events e JOIN anchor a ON a.user_id = e.user_id)
 SELECT * FROM d WHERE hours > 0 AND hours < 72""")
 def whole_hour_window(t: Tables):
-    events = t("events", "event_id", "user_id", "ts").join(anchor(t), "user_id")
+    events = t("events", "event_id", "user_id", "ts").transform(lookups.attach, anchor(t), "user_id")
     hours = whole_units("ts", "anchor_ts", "HOUR").alias("hours")
     return events.select("event_id", "user_id", hours).filter("hours > 0 AND hours < 72")
 
@@ -440,7 +440,7 @@ DAILY_SQL = f"""{ANCHOR_SQL}, daily AS (
 
 
 def daily(t: Tables, dense: bool = False):
-    events = t("events", "user_id", "event_type", "ts", "value").join(anchor(t), "user_id")
+    events = t("events", "user_id", "event_type", "ts", "value").transform(lookups.attach, anchor(t), "user_id")
     summed = dosing.per_day(events, ["user_id", "event_type"], "ts", "value", "anchor_ts", dense)
     return summed.withColumn("total", F.round("total", 6))
 

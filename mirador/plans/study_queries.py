@@ -239,13 +239,13 @@ def with_stratum(df: DataFrame) -> DataFrame:
 WITH {SALES_SQL}, {STRATA_SQL}
 SELECT id, round(m1, 6) AS m1, round(m0, 6) AS m0, round(ite, 6) AS ite FROM joined""")
 def stratified_t_learner(t: Tables):
-    effects = strata.stratified(with_stratum(sales(t)), SALES, ["stratum"])
+    table = with_stratum(stage(sales(t), "analysis"))
+    effects = strata.stratified(table, SALES, ["stratum"])
     return rounded(effects, ["m1", "m0", "ite"])
 
 
 def _celled(t: Tables) -> DataFrame:
-    table = with_stratum(sales(t))
-    return table.join(strata.cell_means(table, SALES, ["stratum"]).drop("n"), "stratum")
+    return strata.with_cells(with_stratum(stage(sales(t), "analysis")), SALES, ["stratum"])
 
 
 @query("ipw_ate", f"""
