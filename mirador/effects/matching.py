@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mirador.effects.learners import EffectModel, fit_effect, propensity_score
+from mirador.operators.lookups import attach
 from mirador.operators.ordered import ROWS_PER_BUCKET, Running, running
 from mirador.roles import Roles
 from mirador.sources.tables import stage
@@ -22,26 +23,25 @@ def nearest_match(
         df.filter(F.col(score).isNotNull()).select(roles.id, roles.t, F.col(score).alias("_s")),
         "scores",
     )
-    control = F.col(roles.t) == 0
     points = known.groupBy("_s").agg(
-        F.min(F.when(control, F.col(roles.id))).alias("_id"),
-        F.max((~control).cast("int")).alias("_asked"),
+        F.max(F.when(F.col(roles.t) == 0, F.col("_s"))).alias("_control"),
+        F.max(F.col(roles.t)).alias("_asked"),
     )
-    points = points.withColumn(
-        "_control", F.when(F.col("_id").isNotNull(), F.struct("_s", "_id"))
-    ).drop("_id")
     seen = running(
         points, [], "_s",
-        [Running("_below", "last", "_control"), Running("_above", "last", "_control", back=True)],
+        [Running("_below", "max", "_control"), Running("_above", "min", "_control", back=True)],
         rows_per_bucket=rows_per_bucket,
     )
-    down, up = F.col("_s") - F.col("_below._s"), F.col("_above._s") - F.col("_s")
+    down, up = F.col("_s") - F.col("_below"), F.col("_above") - F.col("_s")
     nearer = F.when(down.isNull() | (up < down), F.col("_above")).otherwise(F.col("_below"))
-    answers = seen.filter("_asked = 1").select("_s", nearer.alias("_match"))
+    nearest = seen.filter("_asked = 1").select("_s", nearer.alias("_match"))
+    controls = known.filter(F.col(roles.t) == 0).groupBy(F.col("_s").alias("_match")).agg(
+        F.min(roles.id).alias("match_id")
+    )
+    answers = attach(nearest, controls, "_match", "left")
     treated = known.filter(F.col(roles.t) == 1)
     return treated.join(answers, "_s").select(
-        roles.id, F.col("_match._id").alias("match_id"),
-        F.abs(F.col("_match._s") - F.col("_s")).alias("distance"),
+        roles.id, "match_id", F.abs(F.col("_match") - F.col("_s")).alias("distance")
     )
 
 

@@ -59,7 +59,8 @@ def wasserstein(
     merged = running(
         levels, by, "u",
         [
-            Running("x1", "last", "q1", back=True), Running("x0", "last", "q0", back=True),
+            # Quantiles grow with the share: the next one up is the lowest still ahead.
+            Running("x1", "min", "q1", back=True), Running("x0", "min", "q0", back=True),
             Running("from_u", "max", "u", before=True),
         ],
         rows_per_bucket=rows_per_bucket,

@@ -47,6 +47,32 @@ def lookup_at(
 
 
 def band_join(
+    probe: DataFrame,
+    ref: DataFrame,
+    on: str,
+    id: str,
+    ts: str,
+    ref_ts: str,
+    before: dt.timedelta,
+    after: dt.timedelta,
+    aggregates: dict[str, tuple[str, str]],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Left outer band join, folded per probe: the aggregates of the reference rows of equal
+    unit with ``ts − before < ref_ts < ts + after``, both ends open.
+
+    No pair is formed (see ``rollup_window``), so a hot unit costs what its rows cost. A
+    probe without reference rows stays, with nulls and a count of 0.
+    """
+    tick = dt.timedelta(microseconds=1)
+    folded = rollup_window(
+        ref, probe, on, id, ref_ts, ts, -before + tick, after - tick, aggregates, rows_per_bucket
+    )
+    counts = {name: 0 for name, (how, _) in aggregates.items() if how == "count"}
+    return probe.join(folded, id, "left").fillna(counts)
+
+
+def band_pairs(
     probe: DataFrame,
     ref: DataFrame,
     on: str,
@@ -58,7 +84,8 @@ def band_join(
 ) -> DataFrame:
     """Pairs of equal unit with ``ts − before < ref_ts < ts + after``, both ends open.
 
-    The join key is unit and time bucket, one band wide, so a hot unit is spread over its
+    For sparse bands only: the result holds every pair, and dense data makes many. Use
+    ``band_join`` for aggregates and ``asof_match`` for one row per probe. The join key is unit and time bucket, one band wide, so a hot unit is spread over its
     buckets and only neighbours in time meet. Reference rows are copied to the two or
     three buckets they can serve; a probe has one, so no pair appears twice.
     """
@@ -101,48 +128,55 @@ def asof_match(
     than after it, nearest in time, then ``tie`` ascending. ``before``/``after`` bound the
     distance, open unless ``closed``; ``direction`` may be backward or forward.
 
-    The nearest row on each side is the last one seen in a scan over time, so no pairs are
-    formed and the cost is linear also for a hot unit.
+    The nearest time on each side is a running max or min over the unit's times, so no
+    pairs are formed and the cost is linear also for a hot unit. Only numbers go through
+    that scan; the payload is fetched afterwards by unit, time and kind.
     """
     if direction not in ("both", "backward", "forward"):
         raise ValueError(f"unknown direction: {direction}")
-    kind = F.lit(0) if kind is None else kind
     kinds = [0] if kinds is None else kinds
     sides = {"both": ["b", "a"], "backward": ["b"], "forward": ["a"]}[direction]
-
-    best = F.struct(*[t.alias(f"_t{i}") for i, t in enumerate(tie)], *[F.col(c) for c in payload])
-    best = F.struct(F.col("_ts"), best.alias("row"))
-    refs = ref.withColumn("_ts", epoch_micros(ref_ts)).withColumn("_kind", kind)
-    refs = refs.filter(F.col("_ts").isNotNull() & F.col(on).isNotNull()).groupBy(on, "_ts").agg(
-        *[F.min(F.when(F.col("_kind") == k, best)).alias(f"k{i}") for i, k in enumerate(kinds)],
-    )
+    refs = ref.withColumns({"_at": epoch_micros(ref_ts), "_kind": F.lit(0) if kind is None else kind})
+    refs = refs.filter(F.col("_at").isNotNull() & F.col(on).isNotNull() & F.col("_kind").isin(*kinds))
     probes = probe.withColumn("_ts", epoch_micros(ts))
-    points = (
-        probes.filter(F.col("_ts").isNotNull() & F.col(on).isNotNull())
-        .select(on, "_ts").distinct().withColumn("_asked", F.lit(True))
+
+    times = [F.when(F.col("_kind") == k, F.col("_at")).alias(f"k{i}") for i, k in enumerate(kinds)]
+    points = refs.select(on, F.col("_at").alias("_ts"), F.lit(0).alias("_asked"), *times)
+    asked = probes.filter(F.col("_ts").isNotNull() & F.col(on).isNotNull())
+    points = points.unionByName(
+        asked.select(on, "_ts", F.lit(1).alias("_asked")), allowMissingColumns=True
     )
-    points = points.unionByName(refs.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
     points = points.groupBy(on, "_ts").agg(
-        F.max("_asked").alias("_asked"),
-        *[F.first(f"k{i}", ignorenulls=True).alias(f"k{i}") for i in range(len(kinds))],
+        F.max("_asked").alias("_asked"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(kinds))]
     )
     columns = [
-        Running(f"{s}{i}", "last", f"k{i}", back=s == "a") for s in sides for i in range(len(kinds))
+        Running(f"{s}{i}", "min" if s == "a" else "max", f"k{i}", back=s == "a")
+        for s in sides for i in range(len(kinds))
     ]
     seen = running(points, [on], "_ts", columns, rows_per_bucket=rows_per_bucket)
 
-    def valid(name: str, side: str) -> Column:
-        limit = before if side == "b" else after
-        gap = F.col("_ts") - F.col(f"{name}._ts") if side == "b" else F.col(f"{name}._ts") - F.col("_ts")
-        near = F.lit(True) if limit is None else (
-            gap <= to_micros(limit) if closed else gap < to_micros(limit)
-        )
-        return F.when(near, F.col(f"{name}.row"))
-
-    choices = [valid(f"{s}{i}", s) for i in range(len(kinds)) for s in sides]
-    found = seen.filter("_asked").select(on, "_ts", F.coalesce(*choices).alias("_row"))
-    joined = probes.join(found, [on, "_ts"], "left")
-    return joined.select(*probe.columns, *[F.col(f"_row.{c}").alias(c) for c in payload])
+    def candidate(i: int, side: str) -> Column:
+        at, limit = F.col(f"{side}{i}"), before if side == "b" else after
+        near = at.isNotNull()
+        if limit is not None:
+            gap = F.abs(F.col("_ts") - at)
+            near &= gap <= to_micros(limit) if closed else gap < to_micros(limit)
+        return F.when(near, F.struct(at.alias("_at"), F.lit(kinds[i]).alias("_kind")))
+
+    chosen = F.coalesce(*[candidate(i, s) for i in range(len(kinds)) for s in sides])
+    found = seen.filter("_asked = 1").select(on, "_ts", chosen.alias("_c")).filter("_c IS NOT NULL")
+    rows = first_by(refs.select(on, "_at", "_kind", *_named(tie), *payload), [on, "_at", "_kind"],
+                    [f"_tie{i}" for i in range(len(tie))])
+    answers = found.select(on, "_ts", "_c.*").transform(
+        attach, rows.select(on, "_at", "_kind", *[F.col(c).alias(f"_p_{c}") for c in payload]),
+        [on, "_at", "_kind"],
+    )
+    joined = probes.join(answers.drop("_at", "_kind"), [on, "_ts"], "left")
+    return joined.select(*probe.columns, *[F.col(f"_p_{c}").alias(c) for c in payload])
+
+
+def _named(tie: list[Column]) -> list[Column]:
+    return [c.alias(f"_tie{i}") for i, c in enumerate(tie)]
 
 
 def onset(

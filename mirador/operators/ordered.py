@@ -22,9 +22,11 @@ MAX_BUCKETS = 20_000
 
 @dataclass(frozen=True)
 class Running:
-    """One running column: ``how`` is sum, min, max or last (last value that is not null).
+    """One running column: ``how`` is sum, min or max.
 
-    ``back`` scans from the high end. ``before`` leaves the row itself out.
+    ``back`` scans from the high end. ``before`` leaves the row itself out. The nearest row
+    that has some property is the max (or, going back, the min) of the order value of the
+    rows that have it.
     """
 
     name: str
@@ -70,7 +72,7 @@ def running(
         rows = _bucket(rows, tie, tie_cuts, "_tied")
         rows = rows.withColumn("_tied", F.when(F.col("_bucket") % 2 == 1, F.col("_tied")).otherwise(0))
         cells.append("_tied")
-    carried = _carry(rows, by, cells, order, tie, columns)
+    carried = _carry(rows, by, cells, columns)
     keys = by + cells
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = rows.alias("l").join(carried.alias("r"), same).select(
@@ -101,8 +103,6 @@ def _sort(order: str, tie: str | None, back: bool) -> list[Column]:
 
 
 def _function(c: Running, value: Column) -> Column:
-    if c.how == "last":
-        return F.last(value, ignorenulls=True)
     return {"sum": F.sum, "min": F.min, "max": F.max}[c.how](value)
 
 
@@ -116,18 +116,9 @@ def _scan(rows, by, order, tie, columns) -> DataFrame:
     return rows.withColumns(added)
 
 
-def _carry(rows, by, cells, order, tie, columns) -> DataFrame:
+def _carry(rows, by, cells, columns) -> DataFrame:
     """State of every bucket, then the state of all buckets ahead of it in scan direction."""
-    position = F.struct(order, *([tie] if tie else []))
-    totals = []
-    for c in columns:
-        value = F.col(c.value)
-        if c.how == "last":
-            pick = F.min_by if c.back else F.max_by
-            total = pick(value, F.when(value.isNotNull(), position))
-        else:
-            total = _function(c, value)
-        totals.append(total.alias(f"_total_{c.name}"))
+    totals = [_function(c, F.col(c.value)).alias(f"_total_{c.name}") for c in columns]
     cell_rows = rows.groupBy(*by, *cells).agg(*totals)
     carried = []
     for c in columns:
@@ -141,8 +132,6 @@ def _carry(rows, by, cells, order, tie, columns) -> DataFrame:
 def _combine(c: Running, inside: Column, carried: Column) -> Column:
     if c.how == "sum":
         return inside + F.coalesce(carried, F.lit(0))
-    if c.how == "last":
-        return F.coalesce(inside, carried)
     return (F.least if c.how == "min" else F.greatest)(inside, carried)
 
 

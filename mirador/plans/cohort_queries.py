@@ -250,12 +250,18 @@ def probe_and_ref(t: Tables):
 
 @query("band_join", f"""
 WITH {PROBE_SQL}, {REF_SQL}
-SELECT p.event_id, p.user_id, r.ref_id, r.ref_type FROM probe p LEFT JOIN ref r
-  ON r.user_id = p.user_id AND {BAND_SQL}""")
+SELECT p.event_id, p.user_id, count(r.ref_id) AS refs, min(r.ref_value) AS lowest,
+       max(r.ref_value) AS highest, max(r.ref_ts) AS latest
+FROM probe p LEFT JOIN ref r ON r.user_id = p.user_id AND {BAND_SQL}
+GROUP BY p.event_id, p.user_id""")
 def band_join(t: Tables):
     probe, ref = probe_and_ref(t)
-    pairs = lookups.band_join(probe, ref, "user_id", "ts", "ref_ts", 12 * HOUR, 3 * HOUR)
-    return pairs.select("event_id", "user_id", "ref_id", "ref_type")
+    return lookups.band_join(
+        probe.select("event_id", "user_id", "ts"), ref, "user_id", "event_id", "ts", "ref_ts",
+        12 * HOUR, 3 * HOUR,
+        {"refs": ("count", "ref_id"), "lowest": ("min", "ref_value"),
+         "highest": ("max", "ref_value"), "latest": ("max", "ref_ts")},
+    ).drop("ts")
 
 
 ASOF_SQL = f"""{PROBE_SQL}, {REF_SQL}, ranked AS (

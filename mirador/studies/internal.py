@@ -138,7 +138,7 @@ def inspired_oxygen(
     device = {code: group for group, members in d.DEVICE_GROUPS.items() for code in members}
     devices = listitems.filter(F.col("itemid") == d.OXYGEN_DEVICE_ITEM).select(
         "admissionid", "measuredat", cleaning.recode("valueid", device).alias("device")
-    )
+    ).distinct()
     joined = lookups.lookup_at(kept, devices, ["admissionid", "measuredat"])
     support = F.col("itemid").isin(*d.FIO2_SETTING_ITEMS)
     estimate = dosing.step_value("device", "value", d.FLOW_STEPS, d.ROOM_AIR)

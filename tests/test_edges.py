@@ -133,7 +133,7 @@ def test_band_and_priority(spark):
     probe = spark.createDataFrame([(1, 1, T0), (2, 2, T0)], "p int, u int, ts timestamp_ntz")
     spans = [-60, -59, 0, 14, 15]
     ref = spark.createDataFrame([(i, 1, T0 + s * MINUTE) for i, s in enumerate(spans)], "r int, u int, rts timestamp_ntz")
-    got = lookups.band_join(probe, ref, "u", "ts", "rts", HOUR, 15 * MINUTE).collect()
+    got = lookups.band_pairs(probe, ref, "u", "ts", "rts", HOUR, 15 * MINUTE).collect()
     assert sorted((x["p"], -1 if x["r"] is None else x["r"]) for x in got) == [(1, 1), (1, 2), (1, 3), (2, -1)]
     ref = spark.createDataFrame(
         [(10, 1, T0 - MINUTE, 2), (11, 1, T0 + 5 * MINUTE, 1), (12, 1, T0 - 20 * MINUTE, 1)],

@@ -21,7 +21,7 @@ def rows(spark):
 
 COLUMNS = [
     Running("total", "sum", "id"), Running("ahead", "sum", "id", before=True),
-    Running("seen", "last", "half"), Running("next", "last", "half", back=True),
+    Running("seen", "max", "half"), Running("next", "min", "half", back=True),
     Running("low", "min", "id", back=True), Running("high", "max", "id", before=True),
 ]
 

@@ -78,7 +78,7 @@ def test_asof(timeline):
 def test_band_join(timeline):
     probe, ref = sides(timeline)
     lo, hi = 7 * HOUR, 30 * HOUR / 60
-    got = lookups.band_join(probe, ref, "u", "ts", "ref_ts", lo, hi).toPandas()
+    got = lookups.band_pairs(probe, ref, "u", "ts", "ref_ts", lo, hi).toPandas()
     p, r = probe.toPandas(), ref.toPandas()
     pairs = p.merge(r, on="u")
     pairs = pairs[(pairs.ref_ts > pairs.ts - lo) & (pairs.ref_ts < pairs.ts + hi)]
@@ -86,6 +86,9 @@ def test_band_join(timeline):
     have = got.dropna(subset="ref_id")
     assert set(zip(have.rid, have.ref_id.astype(int))) == want and len(have) == len(want)
     assert set(got[got.ref_id.isna()].rid) == set(p.rid) - {a for a, _ in want}
+    folded = lookups.band_join(probe, ref, "u", "rid", "ts", "ref_ts", lo, hi, {"n": ("count", "ref_id")},
+                               rows_per_bucket=60).toPandas().set_index("rid").n
+    assert folded.to_dict() == {r: sum(a == r for a, _ in want) for r in p.rid}
 
 
 def test_rollup_window(timeline):
