@@ -13,8 +13,23 @@ MAX_FEATURES = 10_000
 def fit_params(
     df: DataFrame, x: list[str], where: Column | None = None, hot_rows: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """One row per feature: min, max and exact median over the rows picked by ``where``."""
-    fitted = df.filter(where) if where is not None else df
+    """One row per feature: min, max and exact median over the rows picked by ``where``.
+
+    Up to ``hot_rows`` rows one pass over the wide table does; beyond that no single task
+    may hold a column's values, and the medians come from the bucketed ranks.
+    """
+    fitted = (df.filter(where) if where is not None else df).select(
+        *[F.col(c).cast("double").alias(c) for c in x]
+    )
+    if fitted.count() <= hot_rows:
+        rows = [
+            F.struct(
+                F.lit(c).alias("feature"), F.min(c).alias("min"), F.max(c).alias("max"),
+                F.median(c).alias("median"),
+            )
+            for c in x
+        ]
+        return fitted.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     long = unpivot(fitted, [], list(x), "feature", "value")
     ends = long.groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     medians = quantiles(long, ["feature"], "value", {"median": 0.5}, hot_rows)

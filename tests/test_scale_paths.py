@@ -11,6 +11,7 @@ from mirador.effects.matching import nearest_match
 from mirador.functions.timing import HOUR
 from mirador.metrics import distance, interpretation, scores
 from mirador.operators import lookups
+from mirador.prep import scaling
 from mirador.roles import Roles
 
 ROLES = Roles("id", "t", "y", ("x1", "x2"))
@@ -155,6 +156,11 @@ def test_curve_and_describe(scored):
          ["grp", "feature"])
 
 
+def test_fitted_parameters(scored):
+    same(*[scaling.fit_params(scored, ["x1", "x2", "p"], F.col("t") == 1, **kw) for kw in ({}, {"hot_rows": 10})],
+         ["feature"])
+
+
 def test_bootstrap_brackets_the_mean(scored):
     grouped = scored.withColumn("grp", interpretation.responder_group("ite"))
     got = interpretation.bootstrap(grouped, "id", ["x1", "x2"], "grp", 200).toPandas()
