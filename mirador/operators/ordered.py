@@ -18,6 +18,7 @@ from mirador.sources.tables import stage
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
+SAMPLED_PER_BUCKET = 500
 
 
 @dataclass(frozen=True)
@@ -36,10 +37,16 @@ class Running:
     before: bool = False
 
 
-def cut_points(df: DataFrame, value: str, parts: int) -> list[float]:
-    """At most ``parts - 1`` quantiles of a numeric column, held on the driver."""
+def cut_points(df: DataFrame, value: str, parts: int, fraction: float = 1.0) -> list[float]:
+    """At most ``parts - 1`` quantiles of a numeric column, held on the driver.
+
+    They only balance the buckets, so a sample of the rows will do.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v"))
+    rows = rows.sample(fraction, 42) if fraction < 1 else rows
     probs = [i / parts for i in range(1, parts)]
-    return sorted({c + 0.0 for c in df.approxQuantile(value, probs, 0.25 / parts)})
+    cuts = rows.approxQuantile("v", probs, max(0.25 / parts, 1e-4))
+    return sorted({c + 0.0 for c in cuts})
 
 
 def running(
@@ -53,23 +60,43 @@ def running(
     """Add running columns over ``order`` (then ``tie``) within ``by``.
 
     ``order`` and ``tie`` are numeric and not null, and one row holds each
-    (by, order, tie); pre-aggregate to get there.
+    (by, order, tie); pre-aggregate to get there. Groups up to ``rows_per_bucket`` rows are
+    plain windows, larger ones are cut into buckets.
     """
     rows = stage(df, "ordered")
-    parts = math.ceil(rows.count() / rows_per_bucket)
-    if parts > MAX_BUCKETS:
-        parts = MAX_BUCKETS
-    if parts <= 1:
+    total = rows.count()
+    if total <= rows_per_bucket:
+        return _scan(rows, by, order, tie, columns)
+    if not by:
+        return _bucketed(rows, by, order, tie, columns, total, rows_per_bucket)
+    # At most total / rows_per_bucket groups are that large.
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(
+        F.col("_rows") > rows_per_bucket
+    )
+    large = stage(large, "large")
+    held = large.agg(F.sum("_rows")).first()[0]
+    if not held:
         return _scan(rows, by, order, tie, columns)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    keys = F.broadcast(large) if large.count() <= MAX_BUCKETS else large
+    split = {
+        kind: rows.alias("l").join(keys.alias("r"), same, kind) for kind in ("left_anti", "left_semi")
+    }
+    small = _scan(split["left_anti"], by, order, tie, columns)
+    return small.unionByName(
+        _bucketed(split["left_semi"], by, order, tie, columns, held, rows_per_bucket)
+    )
+
 
-    cuts = cut_points(rows.select(F.col(order).cast("double").alias("v")), "v", parts)
-    rows = _bucket(rows, order, cuts, "_bucket")
+def _bucketed(rows, by, order, tie, columns, total: int, rows_per_bucket: int) -> DataFrame:
+    parts = min(math.ceil(total / rows_per_bucket), MAX_BUCKETS)
+    fraction = SAMPLED_PER_BUCKET / rows_per_bucket
+    rows = _bucket(rows, order, cut_points(rows, order, parts, fraction), "_bucket")
     cells = ["_bucket"]
     if tie is not None:
         # A value that is itself a cut point has its own bucket, which may be one long
         # tie: that bucket alone is cut again by the tie column.
-        tie_cuts = cut_points(rows.select(F.col(tie).cast("double").alias("v")), "v", parts)
-        rows = _bucket(rows, tie, tie_cuts, "_tied")
+        rows = _bucket(rows, tie, cut_points(rows, tie, parts, fraction), "_tied")
         rows = rows.withColumn("_tied", F.when(F.col("_bucket") % 2 == 1, F.col("_tied")).otherwise(0))
         cells.append("_tied")
     carried = _carry(rows, by, cells, columns)

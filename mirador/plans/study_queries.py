@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from mirador.effects import learners, matching, strata, tuning, two_head
 from mirador.metrics import distance, interpretation, scores
 from mirador.operators import cleaning
+from mirador.operators.summaries import unpivot
 from mirador.plans.bindings import SALES, SALES_SQL, SCORE_SQL, sales, scored_sales
 from mirador.plans.registry import Tables, query
 from mirador.prep import ranking, scaling, split
@@ -473,11 +476,22 @@ def bootstrap_ci(t: Tables):
 
 # ---- distances ---------------------------------------------------------------------------
 
+PHASES_SQL = f"""phases AS (
+  SELECT 'before' AS phase, t, {", ".join(X)} FROM scored
+  UNION ALL SELECT 'after', t, {", ".join(X)} FROM scored WHERE t = 1
+  UNION ALL SELECT 'after', s.t, {", ".join(f"s.{c}" for c in X)} FROM pairs p JOIN scored s ON s.id = p.match_id)"""
 LONG_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, t, CAST({c} AS DOUBLE) AS v FROM sales WHERE {c} IS NOT NULL" for c in X
+    f"SELECT phase, '{c}' AS feature, t, CAST({c} AS DOUBLE) AS v FROM phases WHERE {c} IS NOT NULL" for c in X
 )
 
 
+def phases(t: Tables) -> dict[str, DataFrame]:
+    """The sales cohort as it is, and its treated with their nearest controls."""
+    scored = stage(scored_sales(t), "scored")
+    pairs = matching.nearest_match(scored, SALES, "propensity")
+    return {"before": scored, "after": matching.matched_set(scored, SALES, pairs)}
+
+
 def wasserstein_sql(long: str, by: str) -> str:
     """w1 from the area between the distribution functions, w2 from the quantile functions."""
     return f"""cnt AS (SELECT {by}, v, sum(t) AS n1, sum(1 - t) AS n0 FROM ({long}) GROUP BY {by}, v),
@@ -497,29 +511,28 @@ two AS (SELECT {by}, sum(mass * (x1 - x0) * (x1 - x0)) AS w2 FROM merged GROUP B
 
 
 @query("wasserstein_1d", f"""
-WITH {SALES_SQL}, {wasserstein_sql(LONG_SQL, 'feature')}
-SELECT one.feature, round(w1, 4) AS w1, round(w2, 2) AS w2_squared FROM one JOIN two ON two.feature = one.feature""")
+WITH {SALES_SQL}, {SCORE_SQL}, {PSM_SQL}, {PHASES_SQL}, {wasserstein_sql(LONG_SQL, 'phase, feature')}
+SELECT phase, feature, round(w1, 4) AS w1, round(w2, 2) AS w2_squared FROM one JOIN two USING (phase, feature)""")
 def wasserstein_1d(t: Tables):
-    costs = distance.wasserstein_by_feature(sales(t), SALES)
-    return costs.select("feature", F.round("w1", 4).alias("w1"), F.round("w2_squared", 2).alias("w2_squared"))
+    stacked = reduce(lambda a, b: a.unionByName(b), [
+        unpivot(df, ["t"], X, "feature", "value").withColumn("phase", F.lit(phase))
+        for phase, df in phases(t).items()
+    ])
+    costs = distance.wasserstein(stacked, ["phase", "feature"], "value", "t")
+    return costs.select(
+        "phase", "feature", F.round("w1", 4).alias("w1"), F.round("w2_squared", 2).alias("w2_squared")
+    )
 
 
 @query("balance_smd", f"""
-WITH {SALES_SQL}, {SCORE_SQL}, {PSM_SQL}, phases AS (
-  SELECT 'before' AS phase, t, {", ".join(X)} FROM scored
-  UNION ALL SELECT 'after', t, {", ".join(X)} FROM scored WHERE t = 1
-  UNION ALL SELECT 'after', s.t, {", ".join(f"s.{c}" for c in X)} FROM pairs p JOIN scored s ON s.id = p.match_id)
+WITH {SALES_SQL}, {SCORE_SQL}, {PSM_SQL}, {PHASES_SQL}
 {" UNION ALL ".join(
     f"SELECT phase, '{c}' AS feature, round(avg(CASE WHEN t = 1 THEN {c} END), 4) AS mean_treated, "
     f"round(avg(CASE WHEN t = 0 THEN {c} END), 4) AS mean_control, round({_smd_sql(c)}, 4) AS smd FROM phases GROUP BY phase"
     for c in X)}""")
 def balance_smd(t: Tables):
-    scored = stage(scored_sales(t), "scored")
-    pairs = matching.nearest_match(scored, SALES, "propensity")
-    after = matching.matched_set(scored, SALES, pairs)
     tables = [
-        distance.balance(df, SALES).withColumn("phase", F.lit(phase))
-        for phase, df in (("before", scored), ("after", after))
+        distance.balance(df, SALES).withColumn("phase", F.lit(phase)) for phase, df in phases(t).items()
     ]
     return rounded(tables[0].unionByName(tables[1]), ["mean_treated", "mean_control", "smd"], 4)
 
