@@ -9,6 +9,7 @@ of the plain window.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -38,15 +39,14 @@ class Running:
 
 
 def cut_points(df: DataFrame, value: str, parts: int, fraction: float = 1.0) -> list[float]:
-    """At most ``parts - 1`` quantiles of a numeric column, held on the driver.
+    """``parts - 1`` quantiles of a numeric column, held on the driver; a long tie repeats.
 
     They only balance the buckets, so a sample of the rows will do.
     """
     rows = df.select(F.col(value).cast("double").alias("v"))
     rows = rows.sample(fraction, 42) if fraction < 1 else rows
     probs = [i / parts for i in range(1, parts)]
-    cuts = rows.approxQuantile("v", probs, max(0.25 / parts, 1e-4))
-    return sorted({c + 0.0 for c in cuts})
+    return sorted(c + 0.0 for c in rows.approxQuantile("v", probs, max(0.25 / parts, 1e-4)))
 
 
 def running(
@@ -91,12 +91,14 @@ def running(
 def _bucketed(rows, by, order, tie, columns, total: int, rows_per_bucket: int) -> DataFrame:
     parts = min(math.ceil(total / rows_per_bucket), MAX_BUCKETS)
     fraction = SAMPLED_PER_BUCKET / rows_per_bucket
-    rows = _bucket(rows, order, cut_points(rows, order, parts, fraction), "_bucket")
+    cuts = cut_points(rows, order, parts, fraction)
+    rows = _bucket(rows, order, cuts, "_bucket")
     cells = ["_bucket"]
-    if tie is not None:
+    longest = max(Counter(cuts).values(), default=1)
+    if tie is not None and longest > 1:
         # A value that is itself a cut point has its own bucket, which may be one long
         # tie: that bucket alone is cut again by the tie column.
-        rows = _bucket(rows, tie, cut_points(rows, tie, parts, fraction), "_tied")
+        rows = _bucket(rows, tie, cut_points(rows, tie, longest + 1, fraction), "_tied")
         rows = rows.withColumn("_tied", F.when(F.col("_bucket") % 2 == 1, F.col("_tied")).otherwise(0))
         cells.append("_tied")
     carried = _carry(rows, by, cells, columns)

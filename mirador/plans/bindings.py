@@ -1,4 +1,4 @@
-"""The roles of the reference's clinical tables, played by the given tables.
+"""The roles of the clinical source tables, played by the given tables.
 
 Events cohort: a user is the unit, the first sign-up the anchor, event types are item codes.
 Sales cohort: a customer is the unit of the analysis table (treatment, outcome, covariates).
