@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from mirador.functions.numeric import clean_number, to_fraction
-from mirador.functions.text import mentions
-from mirador.functions.timing import DAY, HOUR, whole_units
+from mirador.functions.text import mentions, never_mentions
+from mirador.functions.timing import DAY, HOUR, epoch_micros, whole_units
 from mirador.operators import cleaning, codes, dosing, lookups, reshape, summaries, windows
 from mirador.plans.bindings import (
     ANCHOR_SQL,
@@ -73,8 +73,6 @@ FROM events e JOIN anchor a ON a.user_id = e.user_id
 WHERE epoch_us(e.ts) <= epoch_us(a.anchor_ts) + 86400000000
   AND epoch_us(e.ts) + CAST(round(e.value * 60000000) AS BIGINT) >= epoch_us(a.anchor_ts)""")
 def interval_overlap_filter(t: Tables):
-    from mirador.functions.timing import epoch_micros
-
     events = t("events", "event_id", "user_id", "ts", "value").transform(lookups.attach, anchor(t), "user_id")
     start, a = epoch_micros("ts"), epoch_micros("anchor_ts")
     stop = start + F.round(F.col("value") * 60_000_000).cast("long")
@@ -118,8 +116,6 @@ def compound_code_filter(t: Tables):
 SELECT doc_id, source, lang, CASE WHEN lower(lang) NOT LIKE '%e%' THEN TRUE ELSE FALSE END AS manual
 FROM documents WHERE lower(source) LIKE '%1%' OR source IS NULL""")
 def text_source_filter(t: Tables):
-    from mirador.functions.text import never_mentions
-
     docs = t("documents", "doc_id", "source", "lang")
     kept = docs.filter(mentions("source", "1", null_ok=True))
     return kept.withColumn("manual", never_mentions("lang", "e"))
@@ -437,12 +433,13 @@ def mode_presence(t: Tables):
     return summaries.presence(kept, ["user_id"], "event_type")
 
 
-DAILY_SQL = f"""{ANCHOR_SQL}, daily AS (
+DAILY_ONLY_SQL = """daily AS (
   SELECT e.user_id, e.event_type,
     CAST(floor((epoch_us(e.ts) - epoch_us(a.anchor_ts)) / 86400e6) AS BIGINT) AS day,
     round(sum(e.value), 6) AS total
   FROM events e JOIN anchor a ON a.user_id = e.user_id
   GROUP BY 1, 2, 3)"""
+DAILY_SQL = f"{ANCHOR_SQL}, {DAILY_ONLY_SQL}"
 
 
 def daily(t: Tables, dense: bool = False):
@@ -602,15 +599,21 @@ def union_feeds(t: Tables):
 
 
 FEATURES = {"activity": ["click", "view"], "money": ["purchase"], "trouble": ["error"]}
-FEATURE_SQL = f"""{RULED_SQL}, feature AS (
+
+
+def feature_sql(source: str) -> str:
+    return f"""feature AS (
   SELECT event_id, user_id, value, CASE WHEN event_type IN ('click', 'view') THEN 'activity'
     WHEN event_type = 'purchase' THEN 'money' WHEN event_type = 'error' THEN 'trouble' END AS feature
-  FROM ruled WHERE event_type IN ('click', 'view', 'purchase', 'error')),
+  FROM {source} WHERE event_type IN ('click', 'view', 'purchase', 'error')),
 fstats AS (
   SELECT user_id, feature, round(median(value), 6) AS median, max(value) AS max, min(value) AS min
   FROM feature WHERE value IS NOT NULL GROUP BY 1, 2)"""
 
 
+FEATURE_SQL = f"{RULED_SQL}, {feature_sql('ruled')}"
+
+
 def features(t: Tables):
     return reshape.map_items(ruled(t), "event_type", FEATURES)
 
@@ -745,11 +748,10 @@ def horizon_outcome(t: Tables):
 
 # ---- compositions ------------------------------------------------------------------------
 
-COHORT_SQL = f"""{ANCHOR_SQL}, {FEATURE_SQL.replace("FROM ruled WHERE", "FROM windowed WHERE")}""".replace(
-    "feature AS (", f"""windowed AS (
+COHORT_SQL = f"""{ANCHOR_SQL}, {RULED_SQL}, windowed AS (
   SELECT r.* FROM ruled r JOIN anchor a ON a.user_id = r.user_id
   WHERE epoch_us(r.ts) - epoch_us(a.anchor_ts) BETWEEN {LO_US} AND {HI_US}),
-feature AS (""", 1) + f""", cohort AS (
+{feature_sql("windowed")}, cohort AS (
   SELECT u.user_id, {", ".join(f"max(CASE WHEN feature = '{f}' THEN {m} END) AS {m}_{f}" for m, f in PICKS)}
   FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN fstats s ON s.user_id = u.user_id
   GROUP BY u.user_id)"""
@@ -792,7 +794,9 @@ def assumption_fill(t: Tables):
     return cleaning.fill(measurement_cohort_table(t), {"median_activity": 0.0, "max_money": 400.0})
 
 
-OXY_SQL = f"""{ANCHOR_SQL}, {PROBE_SQL.replace("FROM events WHERE", "FROM events JOIN anchor USING (user_id) WHERE epoch_us(ts) - epoch_us(anchor_ts) BETWEEN -1800000000 AND " + str(HI_US) + " AND")},
+OXY_SQL = f"""{ANCHOR_SQL}, probe AS (
+  SELECT event_id, user_id, ts, value FROM events JOIN anchor USING (user_id)
+  WHERE event_type = 'purchase' AND epoch_us(ts) - epoch_us(anchor_ts) BETWEEN {LO_US} AND {HI_US}),
 ref AS (
   SELECT event_id AS ref_id, user_id, ts AS ref_ts, event_type AS ref_type, CASE
     WHEN event_type = 'click' AND value > 100 THEN NULL
@@ -838,7 +842,7 @@ def oxygenation_match(t: Tables):
     )
 
 
-ANALYSIS_SQL = f"""{COHORT_SQL}, {DAILY_SQL.split("anchor_ts FROM events WHERE event_type = 'signup' GROUP BY user_id), ")[1]}, {TREATED_SQL},
+ANALYSIS_SQL = f"""{COHORT_SQL}, {DAILY_ONLY_SQL}, {TREATED_SQL},
 death AS (SELECT user_id, min(ts) AS death FROM events WHERE event_type = 'error' AND value >= 120 GROUP BY 1)"""
 
 
