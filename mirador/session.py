@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,9 +18,25 @@ RUNTIME_SETTINGS = {
 }
 
 _own_folder: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        with tempfile.TemporaryDirectory(prefix="mirador-ship-") as folder:
+            context.addPyFile(
+                shutil.make_archive(
+                    os.path.join(folder, "mirador"), "zip", os.path.dirname(package), os.path.basename(package)
+                )
+            )
+        _shipped.add(context.applicationId)
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    ship(spark)
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
