@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -26,12 +27,12 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = os.path.dirname(os.path.abspath(__file__))
-        with tempfile.TemporaryDirectory(prefix="mirador-ship-") as folder:
-            context.addPyFile(
-                shutil.make_archive(
-                    os.path.join(folder, "mirador"), "zip", os.path.dirname(package), os.path.basename(package)
-                )
-            )
+        folder = tempfile.mkdtemp(prefix="mirador-ship-")  # the driver serves it until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, "mirador")
+        context.addPyFile(
+            shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+        )
         _shipped.add(context.applicationId)
 
 
