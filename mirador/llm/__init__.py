@@ -1,6 +1,6 @@
 """Training-data operators over documents, pages, conversations and embeddings."""
 
 from .registry import ORACLES, QUERIES
-from . import chat, linefreq, neardup, urls, warc  # noqa: F401  (they register)
+from . import bpe, chat, linefreq, neardup, packing, urls, warc  # noqa: F401  (they register)
 
 __all__ = ["ORACLES", "QUERIES"]
