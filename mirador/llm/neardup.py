@@ -9,9 +9,10 @@ COORDINATES - MATCHES + 1 rarest of either, so the frequent lists are skipped an
 looked at when the collisions of a candidate are counted. Candidates are confirmed on the
 full sets.
 
-Lists are not expanded into all pairs. A list first links its members to one pivot; confirmed
-links join components; later rounds compare, list by list, only members of different
-components, at last all that are left. Every candidate is thus in one component or checked.
+A list of up to HOT members yields its pairs. Longer lists are never expanded: lists that share
+members form a cluster, whose members are dealt out in blocks; each pair of blocks is one task
+that counts collisions, checks candidates on their sets and returns a spanning forest of the
+links it finds, so what leaves it grows with its members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ from .words import pieces, texts, windows, word_hashes
 WIDTH = 5
 COORDINATES = 64
 MATCHES = 41
-PIVOT_ROUNDS = 3
+#: Lists of more members are not expanded into pairs.
+HOT = 64
+#: A block of a cluster has about so many members and shingles at most.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 300_000
 #: Ids a broadcast may hold (8 bytes each); beyond it the join is a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -164,7 +168,8 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
             .distinct()
         )
         after = stage(small, "stars")
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        # both hold each edge once
+        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
         edges = after
         if same:
             break
@@ -172,42 +177,95 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(stars, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def close_in_size(threshold: int):
-    return (F.lit(100) * F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b")) & (
-        F.col("a") != F.col("b")
-    )
-
-
-def member(side: str, *more: str) -> list:
-    return ["token", F.col("node").alias(side), F.col("n_shingles").alias(f"size_{side}"), *more]
-
-
-def pivot_pairs(lists: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """Each list's pivot with its members of other components."""
-    first = lists.groupBy("token").agg(
-        F.min_by(F.struct("node", "n_shingles", "label"), F.xxhash64("node", F.lit(turn))).alias("p")
-    )
-    pivots = first.select(
-        "token", F.col("p.node").alias("a"), F.col("p.n_shingles").alias("size_a"), F.col("p.label").alias("label_a")
-    )
-    return (
-        lists.select(*member("b", "label")).join(pivots, "token").filter(close_in_size(threshold) & (F.col("label") != F.col("label_a")))
-    )
+def cold_pairs(lists: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b: members of one short list whose set sizes allow a link."""
+    side = lambda s: lists.select("token", F.col("node").alias(s), F.col("n_shingles").alias(f"size_{s}"))
+    fits = F.lit(100) * F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b")
+    return side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks, by products of 0/1 matrices."""
+    distinct, place, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in [*left, *right]])
+    common = count[place] > 1
+    column = (np.cumsum(count > 1) - 1)[place[common]]
+    owner = owner[common]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [first, first + columns])
+        shown = np.zeros((len(left) + len(right), columns), dtype=np.float32)
+        shown[owner[a:b], column[a:b] - first] = 1
+        out += shown[: len(left)] @ shown[len(left) :].T
+    return out
 
 
-def remaining_pairs(lists: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of a list in different components: members outside its largest one with all."""
-    largest = (
-        lists.groupBy("token", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("token")
-        .agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of these links, those that join what the ones before them have not."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        tx, ty = top(x), top(y)
+        if tx != ty:
+            root[tx] = ty
+            kept.append((x, y))
+    return kept
+
+
+def block_links(members: pa.Table, matches: int, threshold: int) -> pa.Table:
+    """A spanning forest of the links between two blocks (or within one)."""
+    nodes = members.column("node").to_numpy()
+    second = members.column("second").to_numpy(zero_copy_only=False)
+    sets = [s.values.to_numpy() for s in members.column("shingles")]
+    minima = np.stack([s.values.to_numpy() for s in members.column("signature")])
+    right = np.flatnonzero(second) if second.any() and not second.all() else np.arange(len(nodes))
+    left = np.flatnonzero(~second) if second.any() and not second.all() else right
+    equal = np.zeros((len(left), len(right)), dtype=np.int16)
+    for k in range(minima.shape[1]):
+        equal += minima[left, k][:, None] == minima[right, k][None, :]
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    common = intersections([sets[i] for i in left], [sets[i] for i in right])
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    linked = (equal >= matches) & (100 * common >= threshold * union)
+    linked &= nodes[left][:, None] < nodes[right][None, :] if left is right else nodes[left][:, None] != nodes[right][None, :]
+    x, y = np.nonzero(linked)
+    kept = forest(nodes[left[x]], nodes[right[y]])
+    return pa.table([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def hot_links(hot: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, threshold: int) -> DataFrame:
+    """Links within clusters of long lists, found block by block."""
+    first = hot.groupBy("token").agg(F.min("node").alias("a"))
+    nodes = hot.select("node", "n_shingles").distinct()
+    stars = hot.join(first, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    labels = components(stars, nodes.select("node"))
+    clustered = stage(nodes.join(labels, "node"), "neardup-clusters")
+    blocks = clustered.groupBy("label").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
+        ).cast("int").alias("blocks")
     )
-    outside = lists.join(largest, "token").filter("label <> most")
-    return (
-        lists.select(*member("b", "label"))
-        .join(outside.select(*member("a", F.col("label").alias("label_a"))), "token")
-        .filter(close_in_size(threshold) & (F.col("label") != F.col("label_a")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        clustered.join(blocks, "label")
+        .select("node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(
+            "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") > F.col("other")).alias("second"),
+        )
+    )
+    full = dealt.join(classes.select("node", "signature"), "node").join(sets, "node")
+    return full.groupBy("label", "i", "j").applyInArrow(
+        lambda members: block_links(members, matches, threshold), "a bigint, b bigint"
     )
 
 
@@ -230,7 +288,6 @@ def near_duplicates(
     threshold: int = 85,
     number: int = COORDINATES,
     matches: int = MATCHES,
-    pivot_rounds: int = PIVOT_ROUNDS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -264,23 +321,15 @@ def near_duplicates(
     )
     sets = stage(sets.select("node", "shingles"), "neardup-sets")
 
-    labels = nodes.select("node", F.col("node").alias("label"))
-    tested = None
-    for turn in range(pivot_rounds + 1):
-        labelled = lists.join(labels, "node")
-        mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        open_lists = stage(labelled.join(mixed.select("token"), "token", "left_semi"), "neardup-open")
-        if open_lists.isEmpty():
-            break
-        found = (
-            pivot_pairs(open_lists, turn, threshold) if turn < pivot_rounds else remaining_pairs(open_lists, threshold)
-        )
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        checked = stage(confirmed(pairs, classes, sets, matches, threshold), "neardup-checked")
-        tested = checked if tested is None else tested.unionAll(checked)
-        labels = stage(components(tested.filter("linked"), nodes), "neardup-labels")
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    long = stage(sizes.filter(F.col("members") > HOT), "neardup-long").select("token")
+    cold = lists.join(long, "token", "left_anti")
+    checked = confirmed(cold_pairs(cold, threshold), classes, sets, matches, threshold)
+    hot = stage(lists.join(long, "token", "left_semi"), "neardup-hot")
+    links = checked.filter("linked").select("a", "b")
+    if not hot.isEmpty():
+        links = links.unionByName(hot_links(hot, classes, sets, matches, threshold))
+    labels = components(links, nodes)
 
     named = classes.join(labels, "node", "left").select(
         "set_key", "least_id", F.coalesce("label", "node").alias("label")
