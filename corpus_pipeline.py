@@ -4,11 +4,53 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mirador.llm import langid, linefreq, neardup, packing
 from mirador.session import staging_root, tune
+from mirador.sources.tables import stage
 
-STAGES = []
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text are not among the rejected (doc_id, text_hash).
+
+    The rejected are written first: if they are few, Spark broadcasts them by their size.
+    """
+    gone = stage(rejected.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letters or fit no learned language."""
+    models = langid.learn(langid.teachers(docs))
+    return without(docs, langid.predictions(docs, models).filter("rejected"))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that fail the base rules or are depleted of lines of their own."""
+    return without(docs, linefreq.quality(docs).filter("NOT kept"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate component; one row of it, if rows repeat."""
+    found = neardup.near_duplicates(docs)
+    kept = without(docs, found.filter("NOT kept"))
+    return kept
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents in training sequences of 1024 tokens."""
+    return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text_hash")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("quality_rules", good_quality),
+    ("near_dedup", one_of_each),
+    ("packing", sequences),
+]
 
 #: The stages learn models and pack by a linear program, which SQL cannot express.
 ORACLE_SQL = None
@@ -18,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's rows are the next one's documents."""
     folder = f"{staging_root(tune(spark))}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    for name, function in STAGES:
+        function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -41,8 +41,9 @@ BROADCAST_IDS = 2_000_000
 
 SETS = pa.schema([("set_key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64()))]
-)
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
+     ("signature", pa.list_(pa.int64()))]
+)
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -88,7 +89,7 @@ def signatures(sets: list[np.ndarray], number: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int = WIDTH, number: int = COORDINATES) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) per row; an empty set has null key and signature."""
+    """(doc_id, text_hash, n_shingles, set_key, signature) per row; an empty set has null key and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -98,7 +99,8 @@ def signed(docs: DataFrame, width: int = WIDTH, number: int = COORDINATES) -> Da
                 filled = [len(s) > 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").cast(pa.int64()),
+                        batch.column("doc_id"),
+                        batch.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([m if ok else None for m, ok in zip(minima, filled)], pa.list_(pa.int64())),
@@ -106,8 +108,9 @@ def signed(docs: DataFrame, width: int = WIDTH, number: int = COORDINATES) -> Da
                     schema=SIGNED,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_key binary, signature array<bigint>"
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(
+        run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, signature array<bigint>"
     )
 
 
@@ -289,7 +292,7 @@ def near_duplicates(
     number: int = COORDINATES,
     matches: int = MATCHES,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Documents are linked where 100 * intersection >= threshold * union of their sets; the
     component_id is the smallest doc_id reachable. A null, empty or blank text has an empty
@@ -337,10 +340,11 @@ def near_duplicates(
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = stage(named.join(smallest, "label").select("set_key", "component_id"), "neardup-named")
     return (
-        signed_docs.select("doc_id", "n_shingles", "set_key")
+        signed_docs.select("doc_id", "text_hash", "n_shingles", "set_key")
         .join(named, "set_key", "left")
         .select(
             "doc_id",
+            "text_hash",
             "n_shingles",
             F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
@@ -351,4 +355,4 @@ def near_duplicates(
 @query("op9_minhash_near_dedup")
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, folder, "documents")).drop("text_hash")
