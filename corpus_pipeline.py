@@ -34,10 +34,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate component; one row of it, if rows repeat."""
-    found = neardup.near_duplicates(docs)
-    kept = without(docs, found.filter("NOT kept"))
-    return kept
+    """The first document of each near-duplicate component."""
+    return without(docs, neardup.near_duplicates(docs).filter("NOT kept"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

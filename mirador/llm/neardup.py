@@ -298,8 +298,8 @@ def near_duplicates(
     component_id is the smallest doc_id reachable. A null, empty or blank text has an empty
     set, is linked with nothing and is its own component. Rows of one doc_id and equal sets
     are all kept or none; rows of one doc_id and different sets are separate documents. A row
-    with a null doc_id takes part, but its id is never a component's, so it is not kept. An
-    empty table gives no rows. Other columns are not looked at.
+    with a null doc_id takes part and is kept only where its component has no id, so that no
+    text is lost. An empty table gives no rows. Other columns are not looked at.
     """
     signed_docs = stage(signed(docs, width, number), "neardup-signed")
     classes = (
@@ -348,7 +348,7 @@ def near_duplicates(
             "n_shingles",
             F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 

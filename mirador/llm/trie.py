@@ -148,9 +148,9 @@ class Trie:
         """Nodes reached from ``parents[owner]`` by words of these numbers, -1 where there is none."""
         bases, ids = self.levels[2 * level], self.levels[2 * level + 1]
         out = np.full(len(numbers), -1, dtype=np.int64)
-        real = np.maximum(parents, 0)
-        first, end = bases.get(real), bases.get(real + 1)
-        end = np.where(parents >= 0, end, 0)
+        real = parents >= 0
+        first, end = np.zeros((2, len(parents)), dtype=np.int64)
+        first[real], end[real] = bases.get(parents[real]), bases.get(parents[real] + 1)
         asked = np.flatnonzero((numbers >= 0) & (numbers < (end - first)[owner]))
         out[asked] = ids.find(first[owner[asked]] + numbers[asked])
         return out

@@ -51,7 +51,7 @@ def windows(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width:
         rolled = np.full(len(hashes), GOLDEN, dtype=np.uint64)
         for i in range(width):
             shifted = np.zeros_like(hashes)
-            shifted[: len(hashes) - i] = hashes[i:]
+            shifted[: max(0, len(hashes) - i)] = hashes[i:]
             rolled = mix(rolled * GOLDEN + shifted)
     counts = np.where(lengths >= width, lengths - width + 1, (lengths > 0).astype(lengths.dtype))
     out = np.empty(int(counts.sum()), dtype=np.uint64)
