@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirador.functions.numeric import hex_uniform
 from mirador.operators.ordered import ROWS_PER_BUCKET, ordered_rank, quantiles
 from mirador.operators.summaries import unpivot
 
-# P(X <= k) of a Poisson variable with mean 1, for k = 0, 1, 2, ...
-POISSON_ONE = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898033742501,
-    0.9999988747974149, 0.999999888574217,
-)
+
+def _poisson_steps(resolution: float = 2.0**-32) -> tuple[float, ...]:
+    """P(X <= k) of a Poisson variable with mean 1, as far as a 32-bit uniform can tell."""
+    steps, share, k = [], math.exp(-1), 0
+    while not steps or 1 - steps[-1] > resolution:
+        steps.append((steps[-1] if steps else 0.0) + share)
+        k += 1
+        share /= k
+    return tuple(steps)
+
+
+POISSON_ONE = _poisson_steps()
 DRAWS_PER_DIGEST = 4
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys meet; the key columns come from the left."""
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in on]
+    joined = left.alias("l").join(right.alias("r"), same, how)
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in on])
+
+
 def responder_group(ite: str, lo: float = -0.1, hi: float = 0.1) -> Column:
     """Effect at or below ``lo`` responds, at or above ``hi`` is harmed."""
     return (
@@ -32,7 +47,7 @@ def ate(df: DataFrame, ite: str) -> DataFrame:
 
 
 def describe_by(
-    df: DataFrame, group: str, cols: list[str], hot_rows: int = ROWS_PER_BUCKET
+    df: DataFrame, group: str, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Count, mean, sample sd, min, quartiles and max of each column in each group."""
     long = unpivot(df, [group], cols, "feature", "value")
@@ -41,8 +56,8 @@ def describe_by(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    quartiles = quantiles(long, by, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, hot_rows)
-    return simple.join(quartiles, by, "left").select(
+    quartiles = quantiles(long, by, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, rows_per_bucket)
+    return null_safe(simple, quartiles, by, "left").select(
         *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
@@ -57,7 +72,7 @@ def poisson_weight(u: Column) -> Column:
 
 def bootstrap(
     df: DataFrame, id: str, cols: list[str], group: str, resamples: int = 1000, seed: int = 42,
-    level: float = 0.95, min_rows: int = 3, hot_rows: int = ROWS_PER_BUCKET,
+    level: float = 0.95, min_rows: int = 3, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Percentile interval of each column's mean in each group, with mean and median.
 
@@ -100,9 +115,9 @@ def bootstrap(
     long = unpivot(df, [group], cols, "feature", "value")
     by = [group, "feature"]
     plain = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    medians = quantiles(long, by, "value", {"median": 0.5}, hot_rows)
+    medians = quantiles(long, by, "value", {"median": 0.5}, rows_per_bucket)
     return (
-        plain.filter(F.col("n") >= min_rows).join(medians, by).join(intervals, by)
+        null_safe(null_safe(plain.filter(F.col("n") >= min_rows), medians, by), intervals, by)
         .select(*by, "mean", "median", "low", "high")
     )
 

@@ -60,15 +60,15 @@ def roc(
 
 def brier(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
     gap = F.col(p).cast("double") - F.col(y)
-    return df.groupBy(*by).agg(F.avg(gap * gap).alias("brier"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by).agg(F.avg(gap * gap).alias("brier"), F.count(gap).alias("n"))
 
 
 def log_loss(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
-    """Mean cross entropy with logarithms clamped at −100."""
+    """Mean cross entropy with logarithms clamped at −100; missing predictions do not count."""
     p, y = F.col(p).cast("double"), F.col(y).cast("double")
 
     def log(v: Column) -> Column:
-        return F.when(v > 0, F.greatest(F.log(v), F.lit(-100.0))).otherwise(F.lit(-100.0))
+        return F.when(v > 0, F.greatest(F.log(v), F.lit(-100.0))).when(v.isNotNull(), F.lit(-100.0))
 
     loss = -(y * log(p) + (1 - y) * log(1 - p))
     return df.groupBy(*by).agg(F.avg(loss).alias("log_loss"))
@@ -90,7 +90,9 @@ def confusion(df: DataFrame, y: str, p: str, by: list[str] = (), cut: float = 0.
 
 
 def calibration(df: DataFrame, y: str, p: str, by: list[str] = (), bins: int = 10) -> DataFrame:
-    """Mean prediction and observed share per right-closed bin; empty bins do not appear."""
+    """Mean prediction and observed share per right-closed bin; empty bins do not appear, and
+    neither do rows without a prediction."""
+    df = df.filter(F.col(p).isNotNull())
     bin_no = F.greatest(F.ceil(F.col(p) * bins) - 1, F.lit(0)).cast("int").alias("bin")
     return df.groupBy(*by, bin_no).agg(
         F.avg(p).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed"),

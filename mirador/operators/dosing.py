@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirador.operators.codes import BROADCAST_CODES, lookup_table
+from mirador.operators.ordered import ROWS_PER_BUCKET, Running, running
 from mirador.operators.windows import day_number
+from mirador.sources.tables import stage
 
+# Longer step tables are an array, not a chain of conditions.
 INLINE_STEPS = 500
 
 
@@ -19,8 +22,9 @@ def per_day(
         return daily
     spans = daily.groupBy(*on).agg(F.min("day").alias("_a"), F.max("day").alias("_z"))
     days = spans.select(*on, F.explode(F.sequence("_a", "_z")).alias("day"))
-    filled = days.join(daily, [*on, "day"], "left")
-    return filled.withColumn("total", F.coalesce("total", F.lit(0.0)))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*on, "day"]]
+    filled = days.alias("d").join(daily.alias("t"), same, "left")
+    return filled.select("d.*", F.coalesce("t.total", F.lit(0.0)).alias("total"))
 
 
 def threshold_flag(
@@ -38,11 +42,26 @@ def threshold_flag(
 def step_value(
     group: str | Column, x: str | Column, steps: list[tuple], default: float
 ) -> Column:
-    """Step function by group: rows (group, lo, hi, value) mean lo ≤ x < hi, hi may be None."""
-    if len(steps) > INLINE_STEPS:
-        raise ValueError("long step tables: use join_steps")
+    """Step function by group: rows (group, lo, hi, value) mean lo ≤ x < hi, hi may be None.
+
+    The first row that fits counts. Long tables are searched as an array, which keeps the
+    generated code short; a table of rows is looked up with ``join_steps``.
+    """
     group = F.col(group) if isinstance(group, str) else group
     x = F.col(x) if isinstance(x, str) else x
+    if len(steps) > INLINE_STEPS:
+        rows = F.array(*[
+            F.struct(
+                F.lit(g).alias("g"), F.lit(float(lo)).alias("lo"),
+                F.lit(None if hi is None else float(hi)).cast("double").alias("hi"),
+                F.lit(float(value)).alias("v"),
+            )
+            for g, lo, hi, value in steps
+        ])
+        fits = F.filter(
+            rows, lambda s: (s["g"] == group) & (x >= s["lo"]) & (s["hi"].isNull() | (x < s["hi"]))
+        )
+        return F.coalesce(F.get(fits, 0)["v"], F.lit(float(default)))
     out = None
     for g, lo, hi, value in steps:
         hit = (group == g) & (x >= lo)
@@ -52,6 +71,36 @@ def step_value(
     return out.otherwise(F.lit(float(default)))
 
 
+def join_steps(
+    df: DataFrame, group: str, x: str, steps: DataFrame, default: float, name: str = "step",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """``step_value`` for a table of steps (group, lo, hi, value) that do not overlap.
+
+    A value's step is the last one of its group that starts at or below it, found by a running
+    maximum over the distinct values and the starts together, so no pairs are formed.
+    """
+    steps = steps.toDF("_group", "_lo", "_hi", "_value")
+    known = df.filter(F.col(group).isNotNull() & F.col(x).isNotNull())
+    points = known.select(F.col(group).alias("_group"), F.col(x).cast("double").alias("_x")).distinct()
+    starts = steps.select("_group", F.col("_lo").cast("double").alias("_x"), F.col("_lo").cast("double").alias("_at"))
+    merged = points.unionByName(starts, allowMissingColumns=True).groupBy("_group", "_x").agg(
+        F.max("_at").alias("_at")
+    )
+    placed = running(
+        merged, ["_group"], "_x", [Running("_start", "max", "_at")], rows_per_bucket=rows_per_bucket
+    )
+    rows = steps.select(
+        F.col("_group").alias("_g"), F.col("_lo").cast("double").alias("_l"), F.col("_hi").alias("_h"), "_value"
+    )
+    found = placed.join(rows, (F.col("_group") == F.col("_g")) & (F.col("_start") == F.col("_l"))).filter(
+        F.col("_h").isNull() | (F.col("_x") < F.col("_h"))
+    )
+    found = stage(found.select("_group", "_x", "_value"), "steps")
+    joined = df.join(found, (F.col(group) == F.col("_group")) & (F.col(x).cast("double") == F.col("_x")), "left")
+    return joined.withColumn(name, F.coalesce("_value", F.lit(float(default)))).drop("_group", "_x", "_value")
+
+
 def normalise(
     df: DataFrame, keys: list[str], factors: list[tuple], dose: str, weight: str | None = None,
     name: str = "dose_norm",

@@ -199,7 +199,7 @@ def onset(
     ``ts − before`` and the pick per unit is one aggregate.
     """
     opened = suspicion.filter(F.col(on).isNotNull()).withColumn(
-        "_open", F.col(ts) - F.expr(f"INTERVAL '{to_micros(before) // 1_000_000}' SECOND")
+        "_open", F.col(ts) - F.expr(f"make_dt_interval(0, 0, 0, {to_micros(before)} / 1000000.0BD)")
     )
     matched = asof_match(
         opened, score, on, "_open", score_ts, None, before + after, [score_ts, *payload],
@@ -244,7 +244,9 @@ def rollup_window(
     left out, as with an inner join.
     """
     start, stop = to_micros(lo), to_micros(hi)
-    width = stop - start  # so the window's end always falls in the block after its start's
+    # The window's end always falls in the block after its start's; a window of one instant is
+    # a block of its own, of which the tail alone is the whole.
+    width = max(1, stop - start)
     parts = {**aggregates, "_rows": ("count", ts)}
 
     def fold(how: str, c: Column) -> Column:
@@ -263,10 +265,10 @@ def rollup_window(
     ends = windows.select(
         stay, person,
         F.explode(
-            F.array(
-                F.struct((F.col("_in") + start).alias("_at"), F.lit("tail").alias("_end")),
-                F.struct((F.col("_in") + stop).alias("_at"), F.lit("head").alias("_end")),
-            )
+            F.array(*[
+                F.struct((F.col("_in") + at).alias("_at"), F.lit(end).alias("_end"))
+                for at, end in ([(start, "tail"), (stop, "head")] if stop > start else [(start, "tail")])
+            ])
         ).alias("_e"),
     ).select(stay, person, "_e.*")
     marks = ends.select(person, "_at").distinct()

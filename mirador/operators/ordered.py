@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mirador.sources.tables import stage
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 20_000
+# Groups named in a broadcast; more of them are joined by a shuffle.
+BROADCAST_GROUPS = 20_000
 SAMPLED_PER_BUCKET = 500
 
 
@@ -46,7 +47,7 @@ def cut_points(df: DataFrame, value: str, parts: int, fraction: float = 1.0) ->
     rows = df.select(F.col(value).cast("double").alias("v"))
     rows = rows.sample(fraction, 42) if fraction < 1 else rows
     probs = [i / parts for i in range(1, parts)]
-    return sorted(c + 0.0 for c in rows.approxQuantile("v", probs, max(0.25 / parts, 1e-4)))
+    return sorted(c + 0.0 for c in rows.approxQuantile("v", probs, 0.25 / parts))
 
 
 def running(
@@ -78,7 +79,7 @@ def running(
     if not held:
         return _scan(rows, by, order, tie, columns)
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    keys = F.broadcast(large) if large.count() <= MAX_BUCKETS else large
+    keys = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
     split = {
         kind: rows.alias("l").join(keys.alias("r"), same, kind) for kind in ("left_anti", "left_semi")
     }
@@ -89,7 +90,7 @@ def running(
 
 
 def _bucketed(rows, by, order, tie, columns, total: int, rows_per_bucket: int) -> DataFrame:
-    parts = min(math.ceil(total / rows_per_bucket), MAX_BUCKETS)
+    parts = math.ceil(total / rows_per_bucket)
     fraction = SAMPLED_PER_BUCKET / rows_per_bucket
     cuts = cut_points(rows, order, parts, fraction)
     rows = _bucket(rows, order, cuts, "_bucket")
@@ -164,31 +165,22 @@ def _combine(c: Running, inside: Column, carried: Column) -> Column:
     return (F.least if c.how == "min" else F.greatest)(inside, carried)
 
 
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    """Rows of the biggest group; one number reaches the driver."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def quantiles(
+def order_statistics(
     df: DataFrame,
     by: list[str],
     value: str,
     probs: dict[str, float],
-    hot_rows: int = ROWS_PER_BUCKET,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per entry of ``probs``.
+    """Exact interpolated quantiles per group, one column per entry of ``probs``, and its
+    ``min`` and ``max``.
 
-    Groups up to ``hot_rows`` fit one aggregation buffer and use the built-in; when any
-    group is larger, values are counted, ranked in buckets and picked by rank.
+    Nulls and NaN are skipped, rows with null keys form groups. There is one path for groups of
+    any size: distinct values are counted (partly before the shuffle), the counts are ranked
+    and the places are picked by rank.
     """
-    known = df.filter(F.col(value).isNotNull())
-    if largest_group(known, by) <= hot_rows:
-        return known.groupBy(*by).agg(
-            *[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
-        )
-    counted = known.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+    number = F.col(value).cast("double")
+    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(number)).groupBy(*by, number.alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
     ranked = running(
@@ -210,16 +202,25 @@ def quantiles(
             at(F.ceil(place)).alias(f"_hi_{name}"),
             F.max(place - F.floor(place)).alias(f"_w_{name}"),
         ]
-    found = placed.groupBy(*by).agg(*picks)
+    found = placed.groupBy(*by).agg(*picks, F.min("_v").alias("min"), F.max("_v").alias("max"))
     return found.select(
         *by,
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n)
             for n in probs
         ],
+        "min", "max",
     )
 
 
+def quantiles(
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """The quantiles of ``order_statistics`` alone."""
+    return order_statistics(df, by, value, probs, rows_per_bucket).select(*by, *probs)
+
+
 def ordered_rank(
     df: DataFrame,
     value: str,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mirador.functions.timing import whole_units
 from mirador.operators.lookups import attach
-from mirador.operators.ordered import ROWS_PER_BUCKET, largest_group, quantiles
+from mirador.operators.ordered import ROWS_PER_BUCKET, order_statistics
 
 
 def presence(df: DataFrame, on: list[str], value: str, sep: str = "; ") -> DataFrame:
@@ -19,15 +19,14 @@ def presence(df: DataFrame, on: list[str], value: str, sep: str = "; ") -> DataF
 
 
 def item_stats(
-    df: DataFrame, on: list[str], value: str, hot_rows: int = ROWS_PER_BUCKET
+    df: DataFrame, on: list[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Exact median, max and min per key, skipping nulls."""
-    known = df.filter(F.col(value).isNotNull())
-    extremes = [F.max(value).alias("max"), F.min(value).alias("min")]
-    if largest_group(known, on) <= hot_rows:
-        return known.groupBy(*on).agg(F.median(value).alias("median"), *extremes)
-    medians = quantiles(known, on, value, {"median": 0.5}, hot_rows)
-    return medians.join(known.groupBy(*on).agg(*extremes), on)
+    """Exact median, max and min per key, skipping nulls and NaN; null keys form a group."""
+    found = order_statistics(df, on, value, {"median": 0.5}, rows_per_bucket)
+    kind = df.schema[value].dataType
+    return found.select(
+        *on, "median", F.col("max").cast(kind).alias("max"), F.col("min").cast(kind).alias("min")
+    )
 
 
 def worst_ratio(df: DataFrame, on: list[str], num: str, den: str, name: str = "worst") -> DataFrame:

@@ -4,43 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mirador.operators.ordered import ROWS_PER_BUCKET, quantiles
+from mirador.operators.ordered import ROWS_PER_BUCKET, order_statistics
 from mirador.operators.summaries import unpivot
 
-MAX_FEATURES = 10_000
-
-
 def fit_params(
-    df: DataFrame, x: list[str], where: Column | None = None, hot_rows: int = ROWS_PER_BUCKET
+    df: DataFrame, x: list[str], where: Column | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """One row per feature: min, max and exact median over the rows picked by ``where``.
 
-    Up to ``hot_rows`` rows one pass over the wide table does; beyond that no single task
-    may hold a column's values, and the medians come from the bucketed ranks.
+    Nulls and NaN are skipped; a feature without a value has null parameters. One pass counts
+    the distinct values of every feature, and the statistics come from those counts.
     """
     fitted = (df.filter(where) if where is not None else df).select(
         *[F.col(c).cast("double").alias(c) for c in x]
     )
-    if fitted.count() <= hot_rows:
-        rows = [
-            F.struct(
-                F.lit(c).alias("feature"), F.min(c).alias("min"), F.max(c).alias("max"),
-                F.median(c).alias("median"),
-            )
-            for c in x
-        ]
-        return fitted.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     long = unpivot(fitted, [], list(x), "feature", "value")
-    ends = long.groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max"))
-    medians = quantiles(long, ["feature"], "value", {"median": 0.5}, hot_rows)
-    return ends.join(medians, "feature", "left")
+    stats = order_statistics(long, ["feature"], "value", {"median": 0.5}, rows_per_bucket)
+    names = df.sparkSession.createDataFrame([(c,) for c in x], "feature string")
+    return names.join(stats, "feature", "left").select("feature", "min", "max", "median")
 
 
 def params_of(params: DataFrame) -> dict[str, dict[str, float | None]]:
-    """Parameters as numbers for use in expressions; as many rows as there are features."""
-    rows = params.select("feature", "min", "max", "median").limit(MAX_FEATURES + 1).collect()
-    if len(rows) > MAX_FEATURES:
-        raise ValueError("not a parameter table: too many features")
+    """Parameters as numbers for use in expressions: a row per column of the wide table."""
+    rows = params.select("feature", "min", "max", "median").collect()
     return {r["feature"]: {k: r[k] for k in ("min", "max", "median")} for r in rows}
 
 

@@ -170,7 +170,7 @@ def oxygenation(
     )
     # Of several values at one time, the best unit and specimen: the fraction is the same for all.
     pao2 = lookups.first_by(
-        pao2, ["admissionid", "ts"], ["item_rank", "specimen_rank", -F.col("pao2"), "manual_entry"]
+        pao2, ["admissionid", "ts"], ["item_rank", "specimen_rank", F.col("pao2").isNull(), -F.col("pao2"), "manual_entry"]
     )
     ranks = {item: i + 1 for i, item in enumerate([*d.FIO2_SETTING_ITEMS, *d.OXYGEN_FLOW_ITEMS])}
     found = lookups.asof_match(

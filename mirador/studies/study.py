@@ -19,7 +19,6 @@ from mirador.sources.tables import stage
 
 # How many ranked features each kind of model uses unless told otherwise.
 FEATURES = {"two_head": 11, "other": 13}
-PRESELECTED = 20
 
 
 @dataclass
@@ -38,7 +37,7 @@ class Study:
     def fit(
         cls, table: DataFrame, roles: Roles, learner: str = "t", base: str = "lr", seed: int = 42,
         frac: float = 0.8, features: int | None = None, ranked: list[str] | None = None,
-        preselect: str = "boosted", **params,
+        preselect: str = "boosted", preselected: int = 20, **params,
     ) -> tuple["Study", DataFrame]:
         """Fit on the training rows of an analysis table; returns the study and all rows with
         their split. Give ``ranked`` to skip feature selection."""
@@ -49,7 +48,7 @@ class Study:
         study = cls(usable, learner, base, {c: fitted[c] for c in usable.x}, [], None)
         train = study.prepare(rows).filter(is_train)
         if ranked is None:
-            ranked = select_features(train, usable, preselect, seed)
+            ranked = select_features(train, usable, preselect, seed, preselected)
         study.ranked = list(ranked)
         count = features or FEATURES["two_head" if learner == "two_head" else "other"]
         used = usable.with_x(study.ranked[:count])
@@ -129,9 +128,11 @@ class Study:
         return cls(roles, fact["learner"], fact["base"], params, ranked, load_effect(spark, f"{path}/model"))
 
 
-def select_features(train: DataFrame, roles: Roles, preselect: str = "boosted", seed: int = 42) -> list[str]:
+def select_features(
+    train: DataFrame, roles: Roles, preselect: str = "boosted", seed: int = 42, preselected: int = 20
+) -> list[str]:
     """The most important features of one ranker, in the order recursive elimination leaves them."""
     scored = ranking.importance(train, roles, [preselect], seed)
-    top = scored.orderBy("ranking", "feature").limit(PRESELECTED).collect()
+    top = scored.orderBy("ranking", "feature").limit(preselected).collect()
     order = ranking.eliminate(train, roles.with_x(r["feature"] for r in top), 1, seed)
     return [r["feature"] for r in order.orderBy("rank").collect()]

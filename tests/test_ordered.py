@@ -43,7 +43,7 @@ def test_running_against_pandas(rows):
 def test_quantiles_in_buckets(rows, by):
     probs = {"q": 0.25, "m": 0.5, "t": 0.9, "lo": 0.0, "hi": 1.0}
     plain = quantiles(rows, by, "v", probs).toPandas()
-    cut = quantiles(rows, by, "v", probs, hot_rows=1, rows_per_bucket=20).toPandas()
+    cut = quantiles(rows, by, "v", probs, rows_per_bucket=20).toPandas()
     if by:
         plain, cut = (f.sort_values(by, ignore_index=True) for f in (plain, cut))
     pd.testing.assert_frame_equal(plain, cut)

@@ -152,12 +152,12 @@ def test_wasserstein(scored):
 def test_curve_and_describe(scored):
     same(*[interpretation.ordered_curve(scored, "ite", "id", **kw) for kw in ({}, {"rows_per_bucket": 40})], ["id"])
     grouped = scored.withColumn("grp", interpretation.responder_group("ite"))
-    same(*[interpretation.describe_by(grouped, "grp", ["x1", "x2"], **kw) for kw in ({}, {"hot_rows": 10})],
+    same(*[interpretation.describe_by(grouped, "grp", ["x1", "x2"], **kw) for kw in ({}, {"rows_per_bucket": 10})],
          ["grp", "feature"])
 
 
 def test_fitted_parameters(scored):
-    same(*[scaling.fit_params(scored, ["x1", "x2", "p"], F.col("t") == 1, **kw) for kw in ({}, {"hot_rows": 10})],
+    same(*[scaling.fit_params(scored, ["x1", "x2", "p"], F.col("t") == 1, **kw) for kw in ({}, {"rows_per_bucket": 10})],
          ["feature"])
 
 
