@@ -38,15 +38,17 @@ from .trie import Trie
 from .words import GOLDEN, mix, pieces, texts, word_hashes
 
 CHUNK_TOKENS = 1_500_000
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 3_000_000
 DISCOUNT = 0.9
 PRIOR = 2000.0
-#: Quantised values are 16-bit logarithms: value = e ** (-code / CODES_PER_E); 0 has the last code.
-CODES_PER_E = 1500.0
+#: Quantised values are logarithms, 2 % apart on either side; 0 has the last code.
+CODES_PER_E = 24.0
 NOTHING = 65535
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
-BEGIN_ID, PAD_ID = 1 << 48, (1 << 48) + 1  # beyond the 48-bit ids that words have inside tries
+#: Bits of a word's id inside tries; the two marks have ids beyond them.
+ID_BITS = 40
+BEGIN_ID, PAD_ID = 1 << ID_BITS, (1 << ID_BITS) + 1
 
 CHUNKS = pa.schema(
     [("chunk", pa.int64()), ("n_tokens", pa.int64()), ("train_tokens", pa.int64()), ("n_words", pa.int64()),
@@ -87,7 +89,7 @@ def unpacked(data: bytes) -> list[np.ndarray]:
         at += 16
         planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
         at += n * width
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.int64 if width < 8 else np.uint64))
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n))
     return out
 
 
@@ -99,11 +101,16 @@ def gaps(values: np.ndarray) -> np.ndarray:
 def quantised(values: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         codes = np.rint(-np.log(values) * CODES_PER_E)
-    return np.minimum(codes, NOTHING).astype(np.int64)
+    return np.minimum(codes, NOTHING).astype(np.uint16)
 
 
 def restored(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == NOTHING, 0.0, np.exp(codes / -CODES_PER_E))
+    return np.where(codes == NOTHING, 0.0, np.exp(codes / -CODES_PER_E))  # codes are not negative
+
+
+def counted(codes: np.ndarray) -> np.ndarray:
+    """Counts from the codes of their reciprocals."""
+    return np.divide(1.0, restored(codes), out=np.zeros(len(codes)), where=codes != NOTHING)
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -204,7 +211,7 @@ class Windows:
 
     def __init__(self, codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, hashes: np.ndarray, shards: int):
         words = len(hashes)
-        self.ids = np.concatenate([(hashes >> np.uint64(16)).astype(np.int64), [BEGIN_ID, PAD_ID]])
+        self.ids = np.concatenate([(hashes >> np.uint64(64 - ID_BITS)).astype(np.int64), [BEGIN_ID, PAD_ID]])
         begin, pad = words, words + 1
         docs = len(lengths)
         marked = lengths + 3  # two begin marks, the tokens, one pad
@@ -243,7 +250,7 @@ class Windows:
 def read_chunk(tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     codes, lengths, held, missing, ids = unpacked(tokens)
     signed = ids.astype(np.uint64).view(np.int64)
-    return codes, lengths, held.astype(bool), [None if gone else int(i) for gone, i in zip(missing, signed)]
+    return codes.astype(np.int64), lengths.astype(np.int64), held.astype(bool), [None if gone else int(i) for gone, i in zip(missing, signed)]
 
 
 def read_words(words: bytes) -> np.ndarray:
@@ -265,7 +272,7 @@ def gram_packets(chunks: DataFrame, shards: int) -> DataFrame:
                     ids, number = np.unique(np.concatenate(columns), return_inverse=True)
                     a, b = len(pairs), 2 * len(pairs)
                     payload = packed(
-                        gaps(ids), gaps(np.sort(number[:a])), number[:a], number[a:b], number[b:],
+                        gaps(ids), gaps(number[:a]), number[a:b], number[b:],
                         np.bincount(owner, minlength=a), counts[grams],
                     )
                     yield pa.RecordBatch.from_arrays(
@@ -283,40 +290,45 @@ def answer_grams(packets: pa.Table, discount: float) -> pa.Table:
     shard = packets.column("shard")[0].as_py()
     read = []
     for payload in packets.column("payload"):
-        steps, _, u, v, w, sizes, counts = unpacked(payload.as_buffer())
-        read.append((np.cumsum(steps.astype(np.int64)), u, v, w, sizes, counts))
+        steps, first, *rest = unpacked(payload.as_buffer())
+        read.append((np.cumsum(steps, dtype=np.int64), np.cumsum(first, dtype=np.int32), *rest))
     # training grams of all chunks, as numbers of the shard's own words
     words = np.unique(np.concatenate([r[0] for r in read]))
-    rows = []
-    for ids, u, v, w, sizes, counts in read:
-        number = np.searchsorted(words, ids)
-        owner = np.repeat(np.arange(len(u)), sizes)
-        seen = counts > 0
-        rows.append((number[u][owner[seen]], number[v][owner[seen]], number[w][seen], counts[seen]))
-    u, v, w, n = (np.concatenate(c) for c in zip(*rows))
-    del rows
     size = len(words) + 1
-    pairs, pair = np.unique(u * size + v, return_inverse=True)
-    grams, gram = np.unique(pair * size + w, return_inverse=True)
-    count = np.zeros(len(grams), dtype=np.int64)
-    np.add.at(count, gram, n)
-    pair, w = np.divmod(grams, size)
-    u, v = np.divmod(pairs, size)
-    del gram, grams
+    pairs, thirds, counts = [], [], []
+    for ids, u, v, w, sizes, n in read:
+        number = np.searchsorted(words, ids)
+        seen = n > 0
+        pairs.append(np.repeat(number[u] * size + number[v], sizes)[seen])
+        thirds.append(number[w[seen]].astype(np.int32))
+        counts.append(n[seen].astype(np.int32))
+    pairs, pair = np.unique(np.concatenate(pairs), return_inverse=True)
+    grams = pair * size + np.concatenate(thirds)
+    del pair, thirds
+    order = np.argsort(grams)
+    grams, n = grams[order], np.concatenate(counts)[order]
+    del order, counts
+    first = np.ones(len(grams), dtype=bool)
+    first[1:] = grams[1:] != grams[:-1]
+    starts = np.flatnonzero(first)
+    count = np.add.reduceat(n, starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+    pair, w = np.divmod(grams[starts], size)
+    del grams, n, first
     total = np.bincount(pair, weights=count, minlength=len(pairs))
     kept = np.maximum(count - discount, 0) / total[pair]
     spread = 1 - np.bincount(pair, weights=kept, minlength=len(pairs))
+    u, v = (x.astype(np.int32) for x in np.divmod(pairs, size))
     trie = Trie(
-        np.stack([words[u][pair], words[v][pair], words[w]], axis=1),
-        [quantised(kept).astype(np.uint16), quantised(1 / np.maximum(total, 1)).astype(np.uint16),
-         quantised(np.maximum(spread, 1e-18)).astype(np.uint16)],
-    )
+        words,
+        np.stack([u[pair], v[pair], w.astype(np.int32)], axis=1),
+        [quantised(kept), quantised(1 / np.maximum(total, 1)), quantised(np.maximum(spread, 1e-18))],
+    )
     del u, v, w, pair, pairs, count, kept, total, spread, words
-    kept_codes, total_codes, spread_codes = (np.append(c.astype(np.int64), NOTHING) for c in trie.codes)
+    kept_codes, total_codes, spread_codes = (np.append(c, np.uint16(NOTHING)) for c in trie.codes)
     out = []
     for chunk, (ids, u, v, w, sizes, _) in zip(packets.column("chunk").to_pylist(), read):
         number = trie.numbers(ids)
-        roots, owner = np.unique(u, return_inverse=True)
+        roots, owner = np.unique(u, return_inverse=True)  # in numbers of the packet
         top = trie.children(0, np.zeros(1, dtype=np.int64), np.zeros(len(roots), dtype=np.int64), number[roots])
         middle = trie.children(1, top, owner, number[v])
         bottom = trie.children(2, middle, np.repeat(np.arange(len(u)), sizes), number[w])
@@ -341,7 +353,7 @@ def add_up(rows: pa.Table, shards: int, train_tokens: int, known: int, train_doc
     for shard, pairs, grams in found.packets(shards):
         kept_codes, total_codes, weight_codes = unpacked(payload[of_shard[shard]].as_buffer())
         kept[grams], weight[pairs] = restored(kept_codes), restored(weight_codes)
-        together[pairs] = np.where(total_codes == NOTHING, 0, np.exp(total_codes / CODES_PER_E))
+        together[pairs] = counted(total_codes)
     single = (counts + 0.1) / (train_tokens + 0.1 * (known + 1))
     of_word = np.concatenate([single, [1.0, 1.0]])
     after = np.concatenate([counts, [train_docs, 0]]).astype(np.float64)  # the begin mark stands once before each text
@@ -378,7 +390,7 @@ def score(
     whole. Without training rows every token is unknown. An empty table gives no rows. Other
     columns are not looked at.
 
-    Words are told apart by 64-bit hashes in base counts and by 48 bits inside tries.
+    Words are told apart by 64-bit hashes in base counts and by ID_BITS bits inside tries.
     """
     chunks = stage(chunked(docs, held_out, chunk_tokens), "lm-chunks")
     sizes = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_tokens", "n_words", "train_docs")]).first()

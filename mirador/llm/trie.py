@@ -120,16 +120,15 @@ def levels(path: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
 class Trie:
     """Words, then one level per gram length, with quantised codes at chosen levels.
 
-    ``grams`` holds sorted distinct rows of word ids, which a sorted dictionary turns into
-    small numbers. The children of a node are numbers that rise by its base, where the base of
+    ``grams`` holds sorted distinct rows of places in the sorted dictionary ``words``. The
+    children of a node are numbers that rise by its base, where the base of
     each node is the total width of those before it: bases are the monotone pointers from one
     level to the next, and a child is found by a successor search for base + number, relative
     to its context.
     """
 
-    def __init__(self, grams: np.ndarray, codes: list[np.ndarray]):
-        words = np.unique(grams)
-        parents, children = levels(np.searchsorted(words, grams))
+    def __init__(self, words: np.ndarray, grams: np.ndarray, codes: list[np.ndarray]):
+        parents, children = levels(grams)
         built = [EliasFano.of(words)]
         nodes = 1
         for parent, child in zip(parents, children):
