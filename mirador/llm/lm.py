@@ -41,8 +41,8 @@ CHUNK_TOKENS = 1_500_000
 SHARD_TOKENS = 3_000_000
 DISCOUNT = 0.9
 PRIOR = 2000.0
-#: Quantised values are logarithms, 2 % apart on either side; 0 has the last code.
-CODES_PER_E = 24.0
+#: Quantised values are logarithms in steps of 1 / CODES_PER_E; 0 has the last code.
+CODES_PER_E = 250.0
 NOTHING = 65535
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
