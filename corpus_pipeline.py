@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mirador.llm import langid, linefreq, neardup, packing
-from mirador.session import staging_root, tune
+from mirador.session import tune
 from mirador.sources.tables import stage
+from mirador.sources.workspace import scratch
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -56,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's rows are the next one's documents."""
-    folder = f"{staging_root(tune(spark))}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(tune(spark), "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
         function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

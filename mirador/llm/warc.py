@@ -15,14 +15,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mirador.session import staging_root
 from mirador.sources.tables import stage
+from mirador.sources.workspace import scratch
 
 from .registry import query, table
 
@@ -215,7 +214,7 @@ FROM m
 @query("op2_warc_revisits", ORACLE)
 def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as WARC records, read back, revisits resolved."""
-    path = f"{staging_root(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     pages = table(spark, folder, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
     write_archives(pages, path)
     return with_sizes(read_archives(spark, path, with_payload=False)).drop("url")
