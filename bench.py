@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from mirador.plans import QUERIES  # noqa: E402
 from mirador.session import local_session  # noqa: E402
+from mirador.sources.workspace import Workspace  # noqa: E402
 
 HEADLINE = [
     "anchor_window_filter", "compound_code_filter", "code_list_semi", "band_join",
@@ -37,7 +38,8 @@ def main() -> None:
         taken = []
         for _ in range(runs):
             start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            with Workspace(spark):
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken), 3)
     spark.stop()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mirador.operators.lookups import attach
 from mirador.roles import Roles
+from mirador.sources.tables import stage
 
 
 def cell_means(df: DataFrame, roles: Roles, strata: list[str]) -> DataFrame:
@@ -19,8 +19,11 @@ def cell_means(df: DataFrame, roles: Roles, strata: list[str]) -> DataFrame:
 
 
 def with_cells(df: DataFrame, roles: Roles, strata: list[str]) -> DataFrame:
-    """Every row with its stratum's means."""
-    return attach(df, cell_means(df, roles, strata).drop("n"), strata)
+    """Every row with its stratum's means; rows without a stratum form one."""
+    cells = stage(cell_means(df, roles, strata).drop("n"), "cells")  # its size is then known
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in strata]
+    means = [F.col(f"r.{c}") for c in cells.columns if c not in strata]
+    return df.alias("l").join(cells.alias("r"), same).select("l.*", *means)
 
 
 def stratified(df: DataFrame, roles: Roles, strata: list[str]) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
 from mirador.functions.numeric import clean_number, to_fraction
 from mirador.functions.text import mentions, never_mentions
-from mirador.functions.timing import DAY, HOUR, epoch_micros, whole_units
+from mirador.functions.timing import DAY, HOUR, epoch_micros, from_epoch_millis, whole_units
 from mirador.operators import cleaning, codes, dosing, lookups, reshape, summaries, windows
 from mirador.plans.bindings import (
     ANCHOR_SQL,
@@ -18,6 +17,7 @@ from mirador.plans.bindings import (
     LO,
     LO_US,
     MEASURE_SQL,
+    SALES,
     SALES_SQL,
     anchor,
     cents,
@@ -25,8 +25,9 @@ from mirador.plans.bindings import (
     sales,
 )
 from mirador.plans.registry import Tables, query
-from mirador.session import staging_root
+from mirador.roles import Roles
 from mirador.sources import tables as sources
+from mirador.sources.workspace import scratch
 
 # ---- scans and sinks ---------------------------------------------------------------------
 
@@ -46,11 +47,68 @@ def unit_spine(t: Tables):
 @query("csv_roundtrip", "SELECT * FROM orders")
 def csv_roundtrip(t: Tables):
     orders = t("orders")
-    path = f"{staging_root(t.spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(t.spark, "csv")
     sources.write_csv(orders, path)
     return sources.read_csv(t.spark, path, orders.schema)
 
 
+@query("table_roundtrip", "SELECT * FROM customer")
+def table_roundtrip(t: Tables):
+    """Partitioned table write, read back under its schema contract."""
+    customers = t("customer")
+    path = scratch(t.spark, "customers")
+    sources.write_table(customers, path, ["c_mktsegment"])
+    back = t.spark.read.schema(customers.schema).parquet(path).select(*customers.columns)
+    return sources.validate_schema(back, customers.schema)
+
+
+@query("report_export", """
+SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS price_cents
+FROM orders GROUP BY o_orderpriority""")
+def report_export(t: Tables):
+    """A report table as text and back."""
+    report = t("orders", "o_orderpriority", "o_totalprice").groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents("o_totalprice")).alias("price_cents")
+    )
+    path = scratch(t.spark, "report")
+    sources.write_csv(report.coalesce(1), path)
+    return sources.read_csv(t.spark, path, report.schema)
+
+
+@query("epoch_millis_to_time", """
+SELECT event_id, date_trunc('millisecond', ts) AS ts FROM events""")
+def epoch_millis_to_time(t: Tables):
+    """Times kept as epoch milliseconds, as the internal source does."""
+    millis = t("events", "event_id", "ts").select(
+        "event_id", F.floor(epoch_micros("ts") / 1000).cast("long").alias("ms")
+    )
+    return millis.select("event_id", from_epoch_millis("ms").alias("ts"))
+
+
+@query("total_dose_flag", """
+SELECT l_orderkey AS stay_id, CASE WHEN sum(l_quantity * CASE l_returnflag WHEN 'A' THEN 5.0 WHEN 'N' THEN 0.2
+  WHEN 'R' THEN 1.0 END) >= 100 THEN 1 ELSE 0 END AS treated
+FROM lineitem GROUP BY l_orderkey""")
+def total_dose_flag(t: Tables):
+    """Flag by the equivalent dose of the whole stay."""
+    lines = t("lineitem", "l_orderkey", "l_returnflag", "l_quantity").withColumnRenamed("l_orderkey", "stay_id")
+    factors = {"A": 5.0, "N": 0.2, "R": 1.0}
+    totals = dosing.equivalent(lines, ["stay_id"], "l_returnflag", F.col("l_quantity"), factors, F.lit(1))
+    return totals.select("stay_id", F.coalesce(F.col("total") >= 100, F.lit(False)).cast("int").alias("treated"))
+
+
+@query("role_assignment", f"""
+WITH {SALES_SQL} {" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS known FROM sales"
+    for c in ("c_nationkey", "c_mktsegment", *SALES.x))}""")
+def role_assignment(t: Tables):
+    """Covariates are the columns without another part; their known values."""
+    table = sales(t)
+    roles = Roles.infer(table, SALES.id, SALES.t, SALES.y)
+    counts = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("known")) for c in roles.x]
+    return table.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+
+
 # ---- filters -----------------------------------------------------------------------------
 
 
@@ -132,19 +190,19 @@ def sentinel_dose_cast(t: Tables):
 
 
 RULES = [
-    cleaning.Rule("click", True, lower=2, upper=150),
-    cleaning.Rule("click", False, lower=2.2, open_lower=True, upper=100),
-    cleaning.Rule("purchase", True, divide_above=70),
-    cleaning.Rule("view", lower=5, upper=43, open_lower=True),
-    cleaning.Rule("error", upper=300),
+    cleaning.Rule("click", True, lower=3, upper=140),
+    cleaning.Rule("click", False, lower=4.5, open_lower=True, upper=90),
+    cleaning.Rule("purchase", True, divide_above=60),
+    cleaning.Rule("view", lower=8, upper=40, open_lower=True),
+    cleaning.Rule("error", upper=250),
 ]
 RULED_SQL = f"""{MEASURE_SQL}, ruled AS (
   SELECT event_id, user_id, event_type, ts, validated, CASE
-    WHEN event_type = 'click' AND validated AND (value < 2 OR value > 150) THEN NULL
-    WHEN event_type = 'click' AND NOT validated AND (value <= 2.2 OR value > 100) THEN NULL
-    WHEN event_type = 'purchase' AND validated AND value > 70 THEN value / 10
-    WHEN event_type = 'view' AND (value <= 5 OR value > 43) THEN NULL
-    WHEN event_type = 'error' AND value > 300 THEN NULL
+    WHEN event_type = 'click' AND validated AND (value < 3 OR value > 140) THEN NULL
+    WHEN event_type = 'click' AND NOT validated AND (value <= 4.5 OR value > 90) THEN NULL
+    WHEN event_type = 'purchase' AND validated AND value > 60 THEN value / 10
+    WHEN event_type = 'view' AND (value <= 8 OR value > 40) THEN NULL
+    WHEN event_type = 'error' AND value > 250 THEN NULL
     ELSE value END AS value
   FROM measure)"""
 
@@ -674,26 +732,36 @@ def percent_to_fraction(t: Tables):
 
 
 STEPS = [
-    ("click", 1, 2, 0.22), ("click", 2, 3, 0.25), ("click", 3, 4, 0.27), ("click", 4, 5, 0.30),
-    ("click", 5, None, 0.35), ("view", 6, 7, 0.60), ("view", 7, 8, 0.70), ("view", 8, 9, 0.80),
-    ("view", 9, 10, 0.85), ("view", 10, None, 0.90),
+    ("click", 1, 4, 0.1), ("click", 4, 9, 0.25), ("click", 9, 16, 0.5), ("click", 16, None, 0.75),
+    ("view", 2, 12, 0.2), ("view", 12, 30, 0.4), ("view", 40, None, 0.8),
 ]
+STEP_SQL = """
+SELECT event_id, CAST(CASE
+  WHEN event_type = 'click' THEN CASE WHEN value >= 1 AND value < 4 THEN 0.1
+    WHEN value >= 4 AND value < 9 THEN 0.25 WHEN value >= 9 AND value < 16 THEN 0.5
+    WHEN value >= 16 THEN 0.75 ELSE 0.05 END
+  WHEN event_type = 'view' THEN CASE WHEN value >= 2 AND value < 12 THEN 0.2
+    WHEN value >= 12 AND value < 30 THEN 0.4 WHEN value >= 40 THEN 0.8 ELSE 0.05 END
+  ELSE 0.05 END AS DOUBLE) AS fraction FROM events"""
 
 
-@query("step_lookup", """
-SELECT event_id, CAST(CASE
-  WHEN event_type = 'click' THEN CASE WHEN value >= 1 AND value < 2 THEN 0.22
-    WHEN value >= 2 AND value < 3 THEN 0.25 WHEN value >= 3 AND value < 4 THEN 0.27
-    WHEN value >= 4 AND value < 5 THEN 0.30 WHEN value >= 5 THEN 0.35 ELSE 0.21 END
-  WHEN event_type = 'view' THEN CASE WHEN value >= 6 AND value < 7 THEN 0.60
-    WHEN value >= 7 AND value < 8 THEN 0.70 WHEN value >= 8 AND value < 9 THEN 0.80
-    WHEN value >= 9 AND value < 10 THEN 0.85 WHEN value >= 10 THEN 0.90 ELSE 0.21 END
-  ELSE 0.21 END AS DOUBLE) AS fraction FROM events""")
+@query("step_lookup", STEP_SQL)
 def step_lookup(t: Tables):
-    step = dosing.step_value("event_type", "value", STEPS, 0.21)
+    step = dosing.step_value("event_type", "value", STEPS, 0.05)
     return t("events", "event_id", "event_type", "value").select("event_id", step.alias("fraction"))
 
 
+@query("step_table_join", STEP_SQL)
+def step_table_join(t: Tables):
+    """The same steps as a table."""
+    steps = t.spark.createDataFrame(
+        [(g, float(lo), None if hi is None else float(hi), v) for g, lo, hi, v in STEPS],
+        "grp string, lo double, hi double, value double",
+    )
+    events = t("events", "event_id", "event_type", "value")
+    return dosing.join_steps(events, "event_type", "value", steps, 0.05, "fraction").select("event_id", "fraction")
+
+
 @query("dose_normalise", """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, round(CASE
   WHEN l_returnflag = 'A' AND l_linestatus = 'O' AND l_linenumber = 1 THEN l_quantity / 80

@@ -14,7 +14,9 @@ from mirador.plans.bindings import SALES, SALES_SQL, SCORE_SQL, sales, scored_sa
 from mirador.plans.registry import Tables, query
 from mirador.prep import ranking, scaling, split
 from mirador.roles import Roles
+from mirador.sources.artefacts import load_params, save_params
 from mirador.sources.tables import stage
+from mirador.sources.workspace import scratch
 
 X = list(SALES.x)
 UNIFORM_SQL = "CAST(('0x' || substr(md5('42|' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
@@ -105,7 +107,9 @@ SELECT id, 'test' AS split, {_scale_select("params", True)} FROM parted WHERE c_
 def external_scale_impute(t: Tables):
     table = parted(t)
     internal = (F.col("split") == "train") & (F.col("c_nationkey") < 20)
-    fitted = scaling.params_of(stage(scaling.fit_params(table, X, internal), "params"))
+    path = scratch(t.spark, "params")
+    save_params(scaling.fit_params(table, X, internal), path)
+    fitted = scaling.params_of(load_params(t.spark, path))
     outside = split.external(table.filter("c_nationkey >= 20").select("id", *X))
     return rounded(scaling.impute_scaled(scaling.scale(outside, fitted), fitted), X)
 
@@ -166,9 +170,6 @@ def recursive_elimination(t: Tables):
 
 # ---- effects -----------------------------------------------------------------------------
 
-# Shorter fits than the defaults keep the named queries quick; the operators take any length.
-QUICK = {"lr": {}, "gbt": {"maxIter": 10}, "mlp": {"hidden": 16, "maxIter": 60}}
-
 
 def _register(learner: str, base: str) -> None:
     @query(f"{learner}_learner_{base}")
@@ -180,7 +181,7 @@ def _register(learner: str, base: str) -> None:
             table, flags = learners.with_flags(table, X)
         done = scaling.impute_scaled(scaling.scale(table, fitted), fitted)
         train = done.filter("split = 'train'")
-        model = learners.fit_effect(train, SALES, learner, base, flags=flags, **QUICK[base])
+        model = learners.fit_effect(train, SALES, learner, base, flags=flags)
         return model.score(done).select("id", "split", "t", "y", "y0", "y1", "ite")
 
 
@@ -198,8 +199,10 @@ def propensity_score(t: Tables):
 @query("psm_effect")
 def psm_effect(t: Tables):
     done, train = prepared(t)
-    model, pairs = matching.fit_matched(train, SALES)
-    return matching.matched_effect(model, train, pairs)
+    model, _ = matching.fit_matched(train, SALES)
+    scored = learners.propensity_score(train, done, SALES)
+    pairs = stage(matching.nearest_match(scored, SALES, "propensity"), "pairs")
+    return matching.matched_effect(model, done, pairs)
 
 
 @query("two_head_effect")
@@ -443,7 +446,7 @@ def ite_curve(t: Tables):
     return rounded(interpretation.ordered_curve(scored, "ite", "id"), ["lower", "upper"])
 
 
-BOOT = 200
+BOOT = 1000
 BOOT_COLS = ["c_acctbal", "n_orders", "max_qty"]
 POISSON_CASE = " ".join(
     f"WHEN u < {b!r}::DOUBLE THEN {k}" for k, b in enumerate(interpretation.POISSON_ONE)
@@ -539,25 +542,28 @@ def balance_smd(t: Tables):
 
 # Fixed divisors bring the covariates to comparable size before they are projected.
 SIZES = {"c_acctbal": 10000.0, "n_orders": 20.0, "mean_price": 500000.0, "max_qty": 50.0, "mean_discount": 0.1}
-PROJECTIONS = 8
+PROJECTIONS = 16
 
 
 def _projection_sql() -> str:
     out = []
     for i, d in enumerate(distance.directions(len(X), PROJECTIONS)):
         dot = " + ".join(f"({c} / {SIZES[c]!r}::DOUBLE) * {w!r}::DOUBLE" for c, w in zip(X, d))
-        out.append(
-            f"SELECT 'p{i}' AS projection, t, round({dot}, 6) AS v FROM sales WHERE mean_discount IS NOT NULL"
-        )
+        out.append(f"SELECT 'p{i}' AS projection, t, round({dot}, 6) AS v FROM filled")
     return " UNION ALL ".join(out)
 
 
 @query("sliced_wasserstein", f"""
-WITH {SALES_SQL}, {wasserstein_sql(_projection_sql(), 'projection')}
+WITH {SALES_SQL}, filled AS (SELECT t, {", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), (SELECT round(median(CAST({c} AS DOUBLE)), 6) FROM sales)) AS {c}" for c in X)}
+  FROM sales), {wasserstein_sql(_projection_sql(), 'projection')}
 SELECT round(avg(w1), 6) AS sliced_w1, round(avg(w2), 6) AS sliced_w2_squared
 FROM one JOIN two ON two.projection = one.projection""")
 def sliced_wasserstein(t: Tables):
-    sized = sales(t).withColumns({c: F.col(c) / F.lit(s) for c, s in SIZES.items()})
+    table = stage(sales(t), "analysis")
+    medians = {c: round(p["median"], 6) for c, p in scaling.params_of(scaling.fit_params(table, X)).items()}
+    filled = cleaning.fill_from(table.select("t", *X), medians)
+    sized = filled.withColumns({c: F.col(c) / F.lit(s) for c, s in SIZES.items()})
     result = distance.sliced_wasserstein(sized, SALES, PROJECTIONS, digits=6)
     return rounded(result, ["sliced_w1", "sliced_w2_squared"])
 

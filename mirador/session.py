@@ -53,7 +53,9 @@ def staging_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     if context.applicationId not in _own_folder:
-        _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="mirador-stage-")
+        folder = tempfile.mkdtemp(prefix="mirador-stage-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder[context.applicationId] = folder
     return _own_folder[context.applicationId]
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
-from mirador.session import staging_root
+from mirador.sources.workspace import scratch
 
 
 def scan(spark: SparkSession, path: str, cols: list[str] | None = None) -> DataFrame:
@@ -67,12 +65,12 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read back.
+    """Write to the current workspace in the shared folder and read back.
 
     Cuts the lineage: a lost executor re-reads files instead of recomputing, and every
     later use sees the same values even where they came from floating-point sums.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
