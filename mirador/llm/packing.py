@@ -199,13 +199,39 @@ def memory_of(vocabulary: str, name: str) -> Memory:
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True  # their strings are ordinary text here
 
+        vocabulary_of = tokenizer.get_vocab(with_added_tokens=False)
+        widths = np.zeros(max(vocabulary_of.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary_of.items():
+            widths[i] = len(token)  # one character per byte
+
+        def together(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Segments that can be written one after the other: cut again by their bytes."""
+            runs = ["".join(parts[at : at + 100]) for at in range(0, len(parts), 100)]
+            found = [e.ids for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+            ids = np.concatenate([np.array(f, dtype=np.int32) for f in found])
+            ends = np.searchsorted(np.cumsum(widths[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+            return np.diff(ends, prepend=0), ids
+
         def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            counts, ids = [], []
-            for at in range(0, len(new), 20_000):
-                found = [e.ids for e in tokenizer.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
-                counts += map(len, found)
-                ids.append(np.fromiter((i for f in found for i in f), np.int32))
-            return np.array(counts, dtype=np.int64), np.concatenate(ids)
+            # a segment from its blank to a character that is none has the same tokens anywhere
+            joins = [s[0] == " " and not s[-1].isspace() for s in new]
+            counts = np.zeros(len(new), dtype=np.int64)
+            alone = [e.ids for e in tokenizer.encode_batch_fast([s for s, j in zip(new, joins) if not j], add_special_tokens=False)]
+            rest = np.flatnonzero(np.logical_not(joins))
+            counts[rest] = [len(i) for i in alone]
+            order, ids = [rest], [np.array([i for found in alone for i in found], dtype=np.int32)]
+            joined = np.flatnonzero(joins)
+            for at in range(0, len(joined), 5000):
+                some = joined[at : at + 5000]
+                counts[some], found = together([new[k] for k in some])
+                order.append(some)
+                ids.append(found)
+            order, ids = np.concatenate(order), np.concatenate(ids)
+            # back to the order asked for
+            starts = np.zeros(len(new), dtype=np.int64)
+            starts[order] = np.cumsum(counts[order]) - counts[order]
+            ends = np.cumsum(counts)
+            return counts, ids[np.arange(len(ids)) + np.repeat(starts - ends + counts, counts)]
 
         _memories[name] = Memory(encode)
     return _memories[name]
