@@ -196,6 +196,58 @@ def propensity_score(t: Tables):
     return learners.propensity_score(train, done, SALES).select("id", "t", "propensity")
 
 
+# An unpenalised logistic fit meets Σ p·x = Σ y·x over its rows, for every covariate and for
+# the intercept: the means under the fit have a closed form in the data.
+TIGHT = {"tol": 1e-12, "maxIter": 500}
+
+
+def _moments_sql(outcome: str, by: str, rows: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {by} AS arm, '{c}' AS feature, round(avg({outcome} * {'1' if c == 'intercept' else c}), 3) AS mean "
+        f"FROM scaled WHERE {rows} GROUP BY 1" for c in columns
+    )
+
+
+SCALED_SQL = f"""{SPLIT_SQL}, params AS ({_params_sql("split = 'train'")}),
+scaled AS (SELECT id, split, t, y, {_scale_select("params", True)} FROM parted)"""
+
+
+def _moments(fitted: DataFrame, by: str | None, p: str, columns: list[str]) -> DataFrame:
+    """Means of prediction times covariate, as rows."""
+    value = lambda c: F.lit(1.0) if c == "intercept" else F.round(F.col(c).cast("double"), 6)
+    means = [
+        F.struct(F.lit(c).alias("feature"), F.round(F.avg(F.col(p) * value(c)), 3).alias("mean")) for c in columns
+    ]
+    arm = F.col(by) if by else F.lit(-1)
+    return fitted.groupBy(arm.alias("arm")).agg(F.array(*means).alias("m")).select("arm", F.inline("m"))
+
+
+@query("propensity_moments", f"""
+WITH {SCALED_SQL} {_moments_sql("t", "-1", "split = 'train'", ["intercept", *X])}""")
+def propensity_moments(t: Tables):
+    _, train = prepared(t)
+    fitted = learners.propensity_score(train, train, SALES)
+    return _moments(fitted, None, "propensity", ["intercept", *X])
+
+
+@query("t_learner_moments", f"""
+WITH {SCALED_SQL} {_moments_sql("y", "t", "split = 'train'", ["intercept", *X])}""")
+def t_learner_moments(t: Tables):
+    _, train = prepared(t)
+    model = learners.fit_effect(train, SALES, "t", "lr", **TIGHT)
+    fitted = model.score(train).withColumn("p", scores.observed_arm("t", "y1", "y0"))
+    return _moments(fitted, "t", "p", ["intercept", *X])
+
+
+@query("s_learner_moments", f"""
+WITH {SCALED_SQL} {_moments_sql("y", "-1", "split = 'train'", ["intercept", "t", *X])}""")
+def s_learner_moments(t: Tables):
+    _, train = prepared(t)
+    model = learners.fit_effect(train, SALES, "s", "lr", **TIGHT)
+    fitted = model.score(train).withColumn("p", scores.observed_arm("t", "y1", "y0"))
+    return _moments(fitted, None, "p", ["intercept", "t", *X])
+
+
 @query("psm_effect")
 def psm_effect(t: Tables):
     done, train = prepared(t)

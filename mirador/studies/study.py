@@ -4,18 +4,19 @@ fitted parts on an external cohort, where nothing is fitted again."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mirador.effects.learners import EffectModel, fit_effect
-from mirador.effects.matching import fit_matched
+from mirador.effects.learners import EffectModel, fit_effect, propensity_score
+from mirador.effects.matching import fit_matched, matched_effect, matched_set, nearest_match
 from mirador.effects.store import load_effect, save_effect
 from mirador.effects.two_head import TwoHead, fit_two_head
 from mirador.metrics import distance, interpretation, scores
 from mirador.prep import ranking, scaling, split
 from mirador.roles import Roles
 from mirador.sources.artefacts import load_params, save_params
-from mirador.sources.tables import stage
+from mirador.sources.tables import stage, write_csv
 
 # How many ranked features each kind of model uses unless told otherwise.
 FEATURES = {"two_head": 11, "other": 13}
@@ -55,9 +56,10 @@ class Study:
         if learner == "two_head":
             study.model = fit_two_head(train, used, seed=seed, **params)
         elif learner == "psm":
-            study.model, study.pairs = fit_matched(train, used, base, seed, **params)
+            flags = tuple(f"{c}_missing" for c in used.x) if base == "gbt" else ()
+            study.model, study.pairs = fit_matched(train, used, base, seed, flags=flags, **params)
         else:
-            flags = tuple(f"{c}_missing" for c in used.x) if base == "gbt" and learner != "x" else ()
+            flags = tuple(f"{c}_missing" for c in used.x) if base == "gbt" else ()
             study.model = fit_effect(train, used, learner, base, seed, flags, **params)
         return study, rows
 
@@ -71,8 +73,11 @@ class Study:
         ``table``, next to its own unscaled columns. A table without a split is all test."""
         if "split" not in table.columns:
             table = split.external(table)
-        effects = self.model.score(self.prepare(table)).select(self.roles.id, "y0", "y1", "ite")
-        scored = table.join(effects, self.roles.id)
+        raw = {c: f"_raw_{c}" for c in self.roles.x}
+        kept = table.withColumns({name: F.col(c) for c, name in raw.items()})
+        scored = self.model.score(self.prepare(kept)).select(
+            *[F.col(raw.get(c, c)).alias(c) for c in table.columns], "y0", "y1", "ite"
+        )
         return scored.withColumn("p", scores.observed_arm(self.roles.t, "y1", "y0"))
 
     def evaluate(self, scored: DataFrame) -> dict[str, DataFrame]:
@@ -100,9 +105,33 @@ class Study:
             "curve": interpretation.ordered_curve(scored, "ite", self.roles.id),
         }
 
-    def balance(self, rows: DataFrame) -> DataFrame:
-        """Transport cost between the arms per covariate."""
-        return distance.wasserstein_by_feature(self.prepare(rows), self.roles)
+    def match(self, rows: DataFrame) -> DataFrame:
+        """Each treated unit's nearest control by propensity, fitted afresh on these rows."""
+        used = self.model.roles
+        prepared = self.prepare(rows)
+        return stage(nearest_match(propensity_score(prepared, prepared, used, "_score"), used, "_score"), "pairs")
+
+    def matched(self, rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+        """Effect per treated unit against its match, on the fitting cohort or a new one."""
+        return matched_effect(self.model, self.prepare(rows), self.match(rows) if pairs is None else pairs)
+
+    def balance(self, rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+        """Transport cost between the arms per covariate, before matching and, given pairs, after."""
+        prepared = self.prepare(rows)
+        phases = {"before": prepared}
+        if pairs is not None:
+            phases["after"] = matched_set(prepared, self.roles, pairs)
+        costs = [
+            distance.wasserstein_by_feature(df, self.roles).withColumn("phase", F.lit(phase))
+            for phase, df in phases.items()
+        ]
+        return reduce(lambda a, b: a.unionByName(b), costs)
+
+    def report(self, scored: DataFrame, path: str, resamples: int = 1000) -> None:
+        """Every table of ``evaluate`` and ``interpret`` as text under ``path``."""
+        tables = {**self.evaluate(scored), **self.interpret(scored, resamples)}
+        for name, table in tables.items():
+            write_csv(table, f"{path}/{name}")
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(c, p["min"], p["max"], p["median"]) for c, p in self.params.items()]
@@ -118,6 +147,8 @@ class Study:
             facts, "id string, t string, y string, x array<string>, learner string, base string"
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/study")
         save_effect(spark, self.model, f"{path}/model")
+        if self.pairs is not None:
+            self.pairs.write.mode("overwrite").parquet(f"{path}/pairs")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Study":
@@ -125,7 +156,9 @@ class Study:
         roles = Roles(fact["id"], fact["t"], fact["y"], tuple(fact["x"]))
         ranked = [r["feature"] for r in spark.read.parquet(f"{path}/ranked").orderBy("rank").collect()]
         params = scaling.params_of(load_params(spark, f"{path}/params"))
-        return cls(roles, fact["learner"], fact["base"], params, ranked, load_effect(spark, f"{path}/model"))
+        pairs = spark.read.parquet(f"{path}/pairs") if fact["learner"] == "psm" else None
+        model = load_effect(spark, f"{path}/model")
+        return cls(roles, fact["learner"], fact["base"], params, ranked, model, pairs)
 
 
 def select_features(
@@ -136,3 +169,19 @@ def select_features(
     top = scored.orderBy("ranking", "feature").limit(preselected).collect()
     order = ranking.eliminate(train, roles.with_x(r["feature"] for r in top), 1, seed)
     return [r["feature"] for r in order.orderBy("rank").collect()]
+
+
+def compare(
+    studies: dict[str, Study], cohorts: dict[str, DataFrame], y: str | None = None
+) -> DataFrame:
+    """AUC of every fitted or loaded study (rows) in every cohort's test rows (columns)."""
+    scored = {}
+    for name, study in studies.items():
+        tables = [
+            study.score(table).filter("split = 'test'").select(
+                F.lit(cohort).alias("cohort"), F.col(y or study.roles.y).alias("y"), "p"
+            )
+            for cohort, table in cohorts.items()
+        ]
+        scored[name] = reduce(lambda a, b: a.unionByName(b), tables)
+    return scores.summary(scored, "y", "p", "cohort", list(cohorts))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from mirador.effects import learners, matching, strata, tuning, two_head
 from mirador.effects.store import load_effect, save_effect
-from mirador.prep import ranking
+from mirador.prep import ranking, split
 from mirador.roles import Roles
 from mirador.studies import Study
+from mirador.studies.study import compare
 
 ROLES = Roles("id", "t", "y", ("x1", "x2"))
 TRUTH = 0.25
@@ -98,7 +99,8 @@ def test_selection_prefers_the_covariate_that_matters(planted):
 
 
 @pytest.mark.parametrize("learner,base,params", [
-    ("t", "gbt", {"maxIter": 5}), ("x", "lr", {}), ("psm", "lr", {}), ("two_head", "", {"width": 4, "epochs": 3}),
+    ("t", "gbt", {"maxIter": 5}), ("x", "gbt", {"maxIter": 2}), ("psm", "gbt", {"maxIter": 2}), ("psm", "lr", {}),
+    ("two_head", "", {"width": 4, "epochs": 3}),
 ])
 def test_study_saves_and_reloads(planted, spark, tmp_path, learner, base, params):
     holes = planted.withColumn("x2", F.when(F.col("id") % 5 > 0, F.col("x2")))
@@ -124,3 +126,34 @@ def test_study_reports(planted):
     assert reports["curve"].count() == planted.count()
     assert reports["intervals"].count() and reports["profile"].count()
     assert study.balance(rows).count() == 2
+
+
+def test_matched_study(planted, spark, tmp_path):
+    study, rows = Study.fit(planted, ROLES, "psm", "lr", ranked=["x1", "x2"])
+    scored = study.score(rows)
+    assert scored.select("x1", "x2").exceptAll(rows.select("x1", "x2")).isEmpty()  # unscaled, as they came
+    treated = rows.filter("t = 1").count()
+    pairs = study.match(rows)
+    effects = study.matched(rows, pairs)
+    assert pairs.count() == effects.count() == treated
+    assert effects.agg(F.avg("ite")).first()[0] == pytest.approx(TRUTH, abs=0.15)
+    assert {tuple(r) for r in study.balance(rows, pairs).select("phase", "feature").collect()} == {
+        (p, x) for p in ("before", "after") for x in ("x1", "x2")
+    }
+    study.save(spark, str(tmp_path / "s"))
+    again = Study.load(spark, str(tmp_path / "s"))
+    assert again.pairs.count() == study.pairs.count()
+    new = planted.withColumn("id", F.col("id") + 10**6)  # a new cohort is matched afresh
+    assert again.matched(new).filter("id >= 1000000 AND match_id >= 1000000").count() == treated
+
+
+def test_report_files_and_comparison(planted, spark, tmp_path):
+    studies = {base: Study.fit(planted, ROLES, "t", "lr", ranked=[base])[0] for base in ("x1", "x2")}
+    outside = planted.filter("id % 2 = 0")
+    areas = {r["model"]: r for r in compare(studies, {"all": planted, "even": outside}).collect()}
+    assert areas["x1"]["auc_all"] > areas["x2"]["auc_all"] and 0 < areas["x2"]["auc_even"] < 1
+    study = studies["x1"]
+    study.report(study.score(split.hash_split(planted, "id")), str(tmp_path / "r"), resamples=8)
+    names = {p.name for p in (tmp_path / "r").iterdir()}
+    assert names == {"quality", "confusion", "log_loss", "roc", "calibration", "ate", "groups", "profile", "intervals", "curve"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "r" / "groups")).count() > 0
