@@ -46,9 +46,11 @@ CODES_PER_E = 250.0
 NOTHING = 65535
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
-#: Bits of a word's id inside tries; the two marks have ids beyond them.
-ID_BITS = 40
-BEGIN_ID, PAD_ID = 1 << ID_BITS, (1 << ID_BITS) + 1
+#: Bits that a word's id inside tries has beyond what numbers the words: few words share an id.
+SPARE_BITS = 12
+BEGIN_ID, PAD_ID = 1 << 56, (1 << 56) + 1  # beyond all ids
+#: Sent in place of a probability: how its code differs from that of its pair, from here; 0 for none.
+SENT_FROM = 1 << 14
 
 CHUNKS = pa.schema(
     [("chunk", pa.int64()), ("n_tokens", pa.int64()), ("train_tokens", pa.int64()), ("n_words", pa.int64()),
@@ -118,6 +120,10 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def by_use(uses: np.ndarray) -> np.ndarray:
+    return np.argsort(-uses.astype(np.int64), kind="stable")
+
+
 class Gathering:
     """Documents on their way to a chunk row."""
 
@@ -140,12 +146,15 @@ class Gathering:
         codes, lengths, held = place[codes], np.concatenate(self.lengths), np.array(self.held, dtype=bool)
         trains = np.repeat(~held, lengths)
         counts = np.bincount(codes[trains], minlength=len(distinct))
+        uses = np.bincount(codes, minlength=len(distinct))
+        rank = np.empty(len(order), dtype=np.int64)  # frequent words have small numbers in the token line
+        rank[by_use(uses)] = np.arange(len(order))
         missing = np.array([i is None for i in self.ids])
         ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
         row = [
             chunk, len(codes), int(trains.sum()), len(distinct), int((~held).sum()),
-            packed(codes, lengths, held.astype(np.int64), missing.astype(np.int64), ids.view(np.uint64)),
-            packed(gaps(distinct[order]), counts),
+            packed(rank[codes], lengths, held.astype(np.int64), missing.astype(np.int64), ids.view(np.uint64)),
+            packed(gaps(distinct[order]), counts, uses),
         ]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, CHUNKS)], schema=CHUNKS)
 
@@ -180,7 +189,7 @@ def word_packets(chunks: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words in zip(batch.column("chunk").to_pylist(), batch.column("words")):
-                steps, counts = unpacked(words.as_buffer())
+                steps, counts, _ = unpacked(words.as_buffer())
                 hashes = np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
                 cuts = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
                 rows = [(s, chunk, packed(gaps(hashes[a:b]), counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))]
@@ -209,9 +218,9 @@ def answer_words(packets: pa.Table) -> pa.Table:
 class Windows:
     """The trigrams of a chunk: distinct first pairs, distinct grams, and which each place has."""
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, hashes: np.ndarray, shards: int):
-        words = len(hashes)
-        self.ids = np.concatenate([(hashes >> np.uint64(64 - ID_BITS)).astype(np.int64), [BEGIN_ID, PAD_ID]])
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, ids: np.ndarray, shards: int):
+        words = len(ids)
+        self.ids = np.concatenate([ids, [BEGIN_ID, PAD_ID]])
         begin, pad = words, words + 1
         docs = len(lengths)
         marked = lengths + 3  # two begin marks, the tokens, one pad
@@ -247,24 +256,46 @@ class Windows:
                 yield s, pairs, grams
 
 
-def read_chunk(tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def read_chunk(tokens: bytes, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Word numbers in the order of hashes, document lengths, which are held out, and ids."""
     codes, lengths, held, missing, ids = unpacked(tokens)
     signed = ids.astype(np.uint64).view(np.int64)
-    return codes.astype(np.int64), lengths.astype(np.int64), held.astype(bool), [None if gone else int(i) for gone, i in zip(missing, signed)]
+    names = [None if gone else int(i) for gone, i in zip(missing, signed)]
+    return by_use(uses)[codes], lengths.astype(np.int64), held.astype(bool), names
+
+
+def read_words(words: bytes, id_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids inside tries and uses of a chunk's words."""
+    steps, _, uses = unpacked(words)
+    hashes = np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
+    return (hashes >> np.uint64(64 - id_bits)).astype(np.int64), uses
 
 
-def read_words(words: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(words)[0].astype(np.uint64), dtype=np.uint64)
+def homes(chunks: DataFrame, id_bits: int) -> DataFrame:
+    """The chunks as rows beside their answers, with ids in place of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for words in batch.column("words"):
+                ids, uses = read_words(words.as_buffer(), id_bits)
+                kept.append(packed(gaps(ids), uses))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk"), batch.column("tokens"), pa.array(kept, pa.binary())], ["chunk", "payload", "words"]
+            )
+
+    return chunks.select("chunk", "tokens", "words").mapInArrow(run, "chunk bigint, payload binary, words binary")
 
 
-def gram_packets(chunks: DataFrame, shards: int) -> DataFrame:
+def gram_packets(chunks: DataFrame, shards: int, id_bits: int) -> DataFrame:
     """Distinct trigrams of each chunk, by the shard of their first two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, chunk in enumerate(batch.column("chunk").to_pylist()):
-                codes, lengths, held, _ = read_chunk(batch.column("tokens")[k].as_buffer())
-                found = Windows(codes, lengths, held, read_words(batch.column("words")[k].as_buffer()), shards)
+                word_ids, uses = read_words(batch.column("words")[k].as_buffer(), id_bits)
+                codes, lengths, held, _ = read_chunk(batch.column("tokens")[k].as_buffer(), uses)
+                found = Windows(codes, lengths, held, word_ids, shards)
                 counts = np.bincount(found.gram[found.trains], minlength=len(found.w))
                 for shard, pairs, grams in found.packets(shards):
                     owner = np.searchsorted(pairs, found.gram_pair[grams])
@@ -315,15 +346,18 @@ def answer_grams(packets: pa.Table, discount: float) -> pa.Table:
     pair, w = np.divmod(grams[starts], size)
     del grams, n, first
     total = np.bincount(pair, weights=count, minlength=len(pairs))
-    kept = np.maximum(count - discount, 0) / total[pair]
-    spread = 1 - np.bincount(pair, weights=kept, minlength=len(pairs))
+    total_code = quantised(1 / np.maximum(total, 1)).astype(np.int64)
+    # a product of quantised factors: the code of the probability is the sum of theirs
+    part_code = np.rint(-np.log(np.maximum(count - discount, 1e-9)) * CODES_PER_E).astype(np.int64)
+    kept_code = np.maximum(part_code + total_code[pair], 0)
+    spread = 1 - np.bincount(pair, weights=np.maximum(count - discount, 0) / total[pair], minlength=len(pairs))
     u, v = (x.astype(np.int32) for x in np.divmod(pairs, size))
     trie = Trie(
         words,
         np.stack([u[pair], v[pair], w.astype(np.int32)], axis=1),
-        [quantised(kept), quantised(1 / np.maximum(total, 1)), quantised(np.maximum(spread, 1e-18))],
+        [kept_code.astype(np.uint16), total_code.astype(np.uint16), quantised(np.maximum(spread, 1e-18))],
     )
-    del u, v, w, pair, pairs, count, kept, total, spread, words
+    del u, v, w, pair, pairs, count, kept_code, part_code, total_code, total, spread, words
     kept_codes, total_codes, spread_codes = (np.append(c, np.uint16(NOTHING)) for c in trie.codes)
     out = []
     for chunk, (ids, u, v, w, sizes, _) in zip(packets.column("chunk").to_pylist(), read):
@@ -331,9 +365,12 @@ def answer_grams(packets: pa.Table, discount: float) -> pa.Table:
         roots, owner = np.unique(u, return_inverse=True)  # in numbers of the packet
         top = trie.children(0, np.zeros(1, dtype=np.int64), np.zeros(len(roots), dtype=np.int64), number[roots])
         middle = trie.children(1, top, owner, number[v])
-        bottom = trie.children(2, middle, np.repeat(np.arange(len(u)), sizes), number[w])
+        owner = np.repeat(np.arange(len(u)), sizes)
+        bottom = trie.children(2, middle, owner, number[w])
+        totals = total_codes[middle].astype(np.int64)
+        kept = np.where(bottom >= 0, kept_codes[bottom] - totals[owner] + SENT_FROM, 0)
         weight = np.where(middle >= 0, spread_codes[middle], 0)  # an unseen context leaves all to the next
-        out.append((chunk, 2, shard, packed(kept_codes[bottom], total_codes[middle], weight), 0))
+        out.append((chunk, 2, shard, packed(kept, totals, weight), 0))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWERS)], schema=ANSWERS)
 
 
@@ -344,15 +381,18 @@ def add_up(rows: pa.Table, shards: int, train_tokens: int, known: int, train_doc
         parts[kind].append((shard, k))
     home = parts[0][0][1]
     payload = rows.column("payload")
-    codes, lengths, held, ids = read_chunk(payload[home].as_buffer())
-    hashes = read_words(rows.column("words")[home].as_buffer())
+    steps, uses = unpacked(rows.column("words")[home].as_buffer())
+    word_ids = np.cumsum(steps, dtype=np.int64)
+    codes, lengths, held, ids = read_chunk(payload[home].as_buffer(), uses)
     counts = np.concatenate([unpacked(payload[k].as_buffer())[0] for _, k in parts[1]]).astype(np.int64)
-    found = Windows(codes, lengths, held, hashes, shards)
+    found = Windows(codes, lengths, held, word_ids, shards)
     kept, weight, together = np.zeros(len(found.w)), np.ones(len(found.u)), np.zeros(len(found.u))
     of_shard = {shard: k for shard, k in parts[2]}
     for shard, pairs, grams in found.packets(shards):
-        kept_codes, total_codes, weight_codes = unpacked(payload[of_shard[shard]].as_buffer())
-        kept[grams], weight[pairs] = restored(kept_codes), restored(weight_codes)
+        sent, total_codes, weight_codes = unpacked(payload[of_shard[shard]].as_buffer())
+        own = total_codes[np.searchsorted(pairs, found.gram_pair[grams])].astype(np.int64)
+        kept[grams] = restored(np.where(sent > 0, sent.astype(np.int64) - SENT_FROM + own, NOTHING))
+        weight[pairs] = restored(weight_codes)
         together[pairs] = counted(total_codes)
     single = (counts + 0.1) / (train_tokens + 0.1 * (known + 1))
     of_word = np.concatenate([single, [1.0, 1.0]])
@@ -390,21 +430,23 @@ def score(
     whole. Without training rows every token is unknown. An empty table gives no rows. Other
     columns are not looked at.
 
-    Words are told apart by 64-bit hashes in base counts and by ID_BITS bits inside tries.
+    Words are told apart by 64-bit hashes in base counts and, inside tries, by SPARE_BITS bits more
+    than number them.
     """
     chunks = stage(chunked(docs, held_out, chunk_tokens), "lm-chunks")
     sizes = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_tokens", "n_words", "train_docs")]).first()
     word_shards = max(1, math.ceil(sizes["n_words"] / shard_tokens))
     gram_shards = max(1, math.ceil(sizes["n_tokens"] / shard_tokens))
+    id_bits = min(55, max(1, sizes["n_words"]).bit_length() + SPARE_BITS)
     words = stage(word_packets(chunks, word_shards).groupBy("shard").applyInArrow(answer_words, ANSWERS_DDL), "lm-words")
     known = words.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     grams = (
-        gram_packets(chunks, gram_shards)
+        gram_packets(chunks, gram_shards, id_bits)
         .groupBy("shard")
         .applyInArrow(lambda packets: answer_grams(packets, discount), ANSWERS_DDL)
     )
-    home = chunks.select(
-        "chunk", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("shard"), F.col("tokens").alias("payload"), "words"
+    home = homes(chunks, id_bits).select(
+        "chunk", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("shard"), "payload", "words"
     )
     columns = ["chunk", "kind", "shard", "payload", F.lit(None).cast("binary").alias("words")]
     together = home.unionByName(words.select(*columns)).unionByName(grams.select(*columns))
