@@ -26,6 +26,8 @@ from .registry import query, table
 from .words import GOLDEN, mix, pieces
 
 ORDER = 4
+#: Distinct words whose characters are looked up in one go; bounds a task's memory.
+WORDS_AT_ONCE = 20_000
 UNKNOWN = "und"
 #: Every how-many-th sample document calibrates instead of counting.
 CALIBRATE = 5
@@ -122,7 +124,8 @@ class Models:
         if not words or not self.languages:
             return np.zeros((len(found), len(self.languages))), np.zeros(len(found), dtype=np.int64)
         codes, distinct = pd.factorize(np.array(words, dtype=object))
-        logs, sizes = self.log_probabilities(list(distinct))
+        parts = [self.log_probabilities(list(distinct[at : at + WORDS_AT_ONCE])) for at in range(0, len(distinct), WORDS_AT_ONCE)]
+        logs, sizes = (np.concatenate(c) for c in zip(*parts))
         ends = np.cumsum([0] + [len(ws) for ws in split])
         total = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs[codes], axis=0)])
         count = np.concatenate([[0], np.cumsum(sizes[codes])])

@@ -30,7 +30,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def pieces(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most so many text bytes; a longer text is a slice alone."""
     sizes = batch.column(text).cast(pa.binary())
     ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in sizes]) if len(sizes) else []
