@@ -116,9 +116,9 @@ class EffectModel:
 
 def fit_effect(
     df: DataFrame, roles: Roles, learner: str, base: str, seed: int = 42,
-    flags: tuple[str, ...] = (), **params,
+    flags: tuple[str, ...] = (), weight: str | None = None, **params,
 ) -> EffectModel:
-    """Fit on ``df`` (training rows, scaled and imputed).
+    """Fit on ``df`` (training rows, scaled and imputed), rows counting by ``weight`` if given.
 
     ``flags`` names missing-value indicator columns that join the covariates; boosted trees
     need them, as imputed values alone hide what was missing.
@@ -130,10 +130,11 @@ def fit_effect(
     cols = [*roles.x, *flags] + ([t] if learner == "s" else [])
     data = assembled(
         df.withColumns({t: F.col(t).cast("double"), y: F.col(y).cast("double")}), cols, "_features"
-    ).select(roles.id, t, y, "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    ).select(roles.id, t, y, "_features", *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
 
     def make(label: str, classes: int = 2):
-        return classifier(base, "_features", label, len(cols), classes, seed, **params)
+        weighted = {"weightCol": weight} if weight else {}
+        return classifier(base, "_features", label, len(cols), classes, seed, **weighted, **params)
 
     try:
         if learner == "s":

@@ -52,13 +52,29 @@ def matched_set(df: DataFrame, roles: Roles, pairs: DataFrame) -> DataFrame:
     return treated.unionByName(chosen.join(df, roles.id).select(*df.columns))
 
 
+def matched_weights(df: DataFrame, roles: Roles, pairs: DataFrame, name: str) -> DataFrame:
+    """The treated with weight 1 and their controls with how often each was chosen."""
+    treated = df.filter(F.col(roles.t) == 1).withColumn(name, F.lit(1.0))
+    chosen = pairs.filter(F.col("match_id").isNotNull()).groupBy(F.col("match_id").alias(roles.id)).agg(
+        F.count(F.lit(1)).cast("double").alias(name)
+    )
+    return treated.unionByName(df.join(stage(chosen, "chosen"), roles.id).select(*df.columns, name))
+
+
 def fit_matched(
     df: DataFrame, roles: Roles, base: str = "lr", seed: int = 42, **params
 ) -> tuple[EffectModel, DataFrame]:
-    """Propensity model, matching, and one outcome model per arm of the matched set."""
+    """Propensity model, matching, and one outcome model per arm of the matched set.
+
+    A control chosen many times is one weighted row; the perceptron, which takes no weights,
+    gets it as often as it was chosen.
+    """
     scored = propensity_score(df, df, roles, "_score")
     pairs = stage(nearest_match(scored, roles, "_score"), "pairs")
-    return fit_effect(matched_set(df, roles, pairs), roles, "t", base, seed, **params), pairs
+    if base == "mlp":
+        return fit_effect(matched_set(df, roles, pairs), roles, "t", base, seed, **params), pairs
+    weighted = matched_weights(df, roles, pairs, "_weight")
+    return fit_effect(weighted, roles, "t", base, seed, weight="_weight", **params), pairs
 
 
 def matched_effect(model: EffectModel, df: DataFrame, pairs: DataFrame) -> DataFrame:

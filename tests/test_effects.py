@@ -157,3 +157,13 @@ def test_report_files_and_comparison(planted, spark, tmp_path):
     names = {p.name for p in (tmp_path / "r").iterdir()}
     assert names == {"quality", "confusion", "log_loss", "roc", "calibration", "ate", "groups", "profile", "intervals", "curve"}
     assert spark.read.option("header", True).csv(str(tmp_path / "r" / "groups")).count() > 0
+
+
+def test_weights_stand_for_repeated_controls(planted):
+    scored = learners.propensity_score(planted, planted, ROLES, "_score")
+    pairs = matching.nearest_match(scored, ROLES, "_score").persist()
+    repeated = learners.fit_effect(matching.matched_set(planted, ROLES, pairs), ROLES, "t", "lr", tol=1e-10)
+    weighted, _ = matching.fit_matched(planted, ROLES, "lr", tol=1e-10)
+    for arm in ("m0", "m1"):
+        a, b = repeated.models[arm].coefficients.toArray(), weighted.models[arm].coefficients.toArray()
+        assert np.allclose(a, b, atol=1e-4)
