@@ -15,6 +15,7 @@ length give each task its first number, so no length is ranked in one task.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -194,6 +195,7 @@ _memories: dict[str, Memory] = {}
 def memory_of(vocabulary: str, name: str) -> Memory:
     """This worker's tokens of segments, for the tokenizer whose file has the given text."""
     if name not in _memories:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)

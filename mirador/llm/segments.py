@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -26,38 +27,53 @@ def segments(text: str) -> list[str]:
 
 
 class Memory:
-    """Token ids of segments, encoded on first sight and forgotten when there are too many.
+    """Token ids of segments, encoded on first sight.
 
-    ``encode`` takes new segments and returns their id counts and all ids in a row.
+    ``encode`` takes new segments and returns their id counts and all ids in a row. Beyond
+    ``most`` segments, those that were met only once are forgotten.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 700_000):
         self.encode, self.most = encode, most
-        self.forget()
-
-    def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.counts = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
+        self.met = np.zeros(0, dtype=np.int64)
+
+    def forget(self) -> None:
+        kept = self.met > 1
+        if kept.sum() > self.most // 2:  # too many to keep them all
+            kept &= self.met > np.median(self.met[kept])
+        old = np.flatnonzero(kept)
+        ids = self.tokens(old)
+        place = np.cumsum(kept) - 1
+        self.places = {s: int(place[p]) for s, p in self.places.items() if kept[p]}
+        self.counts, self.met, self.ids = self.counts[old], self.met[old] // 2, ids
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def learn(self, new: list[str]) -> None:
+        counts, ids = self.encode(new)
+        base = len(self.places)
+        self.places.update(zip(new, range(base, base + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(new), dtype=np.int64)])
 
     def places_of(self, found: list[list[str]]) -> list[np.ndarray]:
         """Places of the segments of each text, after new segments are encoded."""
-        self.learn(set().union(*found))
-        place = self.places.__getitem__
-        return [np.fromiter(map(place, segs), np.int64, len(segs)) for segs in found]
-
-    def learn(self, wanted: set[str]) -> None:
         if len(self.places) > self.most:
             self.forget()
-        new = list(wanted.difference(self.places))
-        if new:
-            counts, ids = self.encode(new)
-            base = len(self.places)
-            self.places.update(zip(new, range(base, base + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.ids = np.concatenate([self.ids, ids])
+        every = list(chain.from_iterable(found))
+        at = np.fromiter(map(self.places.get, every, repeat(-1)), np.int64, len(every))
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            wanted = [every[k] for k in unseen]
+            self.learn(list(dict.fromkeys(wanted)))
+            at[unseen] = list(map(self.places.__getitem__, wanted))
+        self.met += np.bincount(at, minlength=len(self.met))
+        return np.split(at, np.cumsum([len(segs) for segs in found])[:-1]) if found else []
 
     def tokens(self, places: np.ndarray) -> np.ndarray:
         counts = self.counts[places]
