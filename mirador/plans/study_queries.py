@@ -268,7 +268,7 @@ def two_head_effect(t: Tables):
 def tuning_trials(t: Tables):
     train = prepared(t)[1]
     space = {"regParam": (1e-6, 1e-1, "log"), "features": (2, len(X), "int")}
-    trials = tuning.search(train, SALES, space, trials=4)
+    trials = tuning.search(train, SALES, space, trials=10)
     return trials.select(
         "trial", F.col("params")["regParam"].alias("reg_param"),
         F.col("params")["features"].cast("int").alias("features"), "auc",
