@@ -10,13 +10,18 @@ from mirador.session import tune
 from mirador.sources.tables import stage
 from mirador.sources.workspace import scratch
 
+#: Rejected rows (two numbers each) that a broadcast may hold.
+BROADCAST_ROWS = 2_000_000
+
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id and text are not among the rejected (doc_id, text_hash).
 
-    The rejected are written first: if they are few, Spark broadcasts them by their size.
+    The rejected are written and counted first. Up to BROADCAST_ROWS of them are broadcast, so
+    that texts stay where they are; more are joined by a shuffle.
     """
     gone = stage(rejected.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
     return docs.join(gone, same, "left_anti")
 
