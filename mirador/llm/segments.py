@@ -1,5 +1,5 @@
 """Cutting texts where no token of a byte-level BPE pattern can cross: between a character
-that is not white space and white space. A segment is tokenised by itself, and only once
+that is not white space and white space, and before a last full stop or comma. A segment is tokenised by itself, and only once
 while a worker remembers it."""
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0  -     　"
 GENERAL = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 UNSAFE = re.compile(r"\s ")
+ENDS = (".", ",")
 
 
 def segments(text: str) -> list[str]:
@@ -23,7 +24,13 @@ def segments(text: str) -> list[str]:
     if UNSAFE.search(text):
         return GENERAL.findall(text)
     first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + part for part in rest]
+    out = [first] if first else []
+    for part in rest:
+        if part[-1:] in ENDS and part[-2:-1].isalnum():  # a mark after a letter or digit is a token of its own
+            out += (" " + part[:-1], part[-1])
+        else:
+            out.append(" " + part)
+    return out
 
 
 class Memory:
@@ -33,7 +40,7 @@ class Memory:
     ``most`` segments, those that were met only once are forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 700_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.encode, self.most = encode, most
         self.places: dict[str, int] = {}
         self.counts = np.zeros(0, dtype=np.int64)
