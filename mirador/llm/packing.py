@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,12 +189,15 @@ class Places:
         return self.sequence[at] + number - self.start[at], self.offset[at]
 
 
-_memories: dict[str, Memory] = {}
+_encoders: dict[str, Callable] = {}
 
 
 def memory_of(vocabulary: str, name: str) -> Memory:
-    """This worker's tokens of segments, for the tokenizer whose file has the given text."""
-    if name not in _memories:
+    """A new memory for one task, with this worker's tokenizer of the given file text.
+
+    It ends with the task: a worker that goes on to other stages does not carry it along.
+    """
+    if name not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -235,8 +238,8 @@ def memory_of(vocabulary: str, name: str) -> Memory:
             ends = np.cumsum(counts)
             return counts, ids[np.arange(len(ids)) + np.repeat(starts - ends + counts, counts)]
 
-        _memories[name] = Memory(encode)
-    return _memories[name]
+        _encoders[name] = encode
+    return Memory(_encoders[name])
 
 
 def cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
