@@ -5,9 +5,9 @@ are hashed, the distinct documents of a line are counted per host (the ``source`
 lines above the limits count as removed, and a document most of whose words are in such
 lines is rejected as depleted.
 
-Documents are distinct by a sketch, the least hash of their 3-word windows, so that copies of
-one text count once and do not turn its lines into boilerplate. A removed line stays in the
-first document of its host that has it.
+Documents are distinct by a hash of their whole text, lower-cased and with single blanks, so that
+copies of one text count once and do not turn its lines into boilerplate, and pages that share all
+but a few words count each. A removed line stays in the first document of its host that has it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), *[(c, pa.int64()) for c in COLUMNS], ("sketch", pa.int64()),
+    [("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), *[(c, pa.int64()) for c in COLUMNS], ("content", pa.int64()),
      ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))]
 )
 LINES = SCHEMA.field("lines").type
@@ -52,15 +52,11 @@ def of_bytes(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return sums(in_word[data], ends), sums(symbol[data], ends)
 
 
-def repeats(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words inside 3-word windows that come twice or more in their text, and least window hashes."""
+def repeats(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Words inside 3-word windows that come twice or more in their text."""
     found, counts = windows(hashes, starts, lengths, 3)
     ends = np.cumsum(counts)
     owner = np.repeat(np.arange(len(lengths)), counts)
-    least = np.zeros(len(lengths), dtype=np.uint64)
-    filled = counts > 0
-    if len(found):
-        least[filled] = np.minimum.reduceat(found, (ends - counts)[filled])
     keyed = found ^ mix(owner.astype(np.uint64) + np.uint64(1))
     order = np.argsort(keyed, kind="stable")
     same = np.zeros(len(found), dtype=bool)
@@ -71,7 +67,7 @@ def repeats(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     covered = np.zeros(len(hashes), dtype=bool)
     for i in range(3):
         covered[at + i] = True
-    return sums(covered, np.cumsum(lengths)), least
+    return sums(covered, np.cumsum(lengths))
 
 
 def lines_of(text: bytes) -> tuple[int, list[tuple[int, int]]]:
@@ -94,7 +90,8 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     lengths = np.array([len(w) for w in split], dtype=np.int64)
     hashes = word_hashes([w for ws in split for w in ws])
     chars, symbols = of_bytes(found)
-    repeated, least = repeats(hashes, np.cumsum(lengths) - lengths, lengths)
+    repeated = repeats(hashes, np.cumsum(lengths) - lengths, lengths)
+    contents = word_hashes([b" ".join(ws).lower() for ws in split])
     again, lines = zip(*map(lines_of, found))
     counts = [lengths, chars, symbols, again, repeated]
     listed = pa.array([[{"line": k, "words": n} for k, n in doc] for doc in lines], LINES)
@@ -102,7 +99,7 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         [
             *[batch.column(c) for c in ("doc_id", "host", "text_hash")],
             *[pa.array(c, pa.int64()) for c in counts],
-            pa.array(least.view(np.int64)),
+            pa.array(contents.view(np.int64)),
             listed,
         ],
         schema=SCHEMA,
@@ -110,7 +107,7 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def measured(docs: DataFrame, host: str) -> DataFrame:
-    """One row per document: its counts, its sketch and its distinct lines."""
+    """One row per document: its counts, its content and its distinct lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,7 +124,7 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
         run,
         "doc_id bigint, host string, text_hash bigint, "
         + ", ".join(f"{c} bigint" for c in COLUMNS)
-        + ", sketch bigint, lines array<struct<line: bigint, words: bigint>>",
+        + ", content bigint, lines array<struct<line: bigint, words: bigint>>",
     )
 
 
@@ -153,13 +150,13 @@ def quality(
     texts are read whole. An empty table gives no rows. Other columns are not looked at.
     """
     rows = stage(measured(docs, host).withColumn("row", F.monotonically_increasing_id()), "line-counts")
-    lines = rows.select("row", "doc_id", "host", "sketch", F.inline("lines"))
-    limits = rows.groupBy("host", "sketch").agg(F.lit(1).alias("one")).groupBy("host").agg(
+    lines = rows.select("row", "doc_id", "host", "content", F.inline("lines"))
+    limits = rows.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(
         F.greatest(F.lit(float(line_docs)), F.count("one") * F.lit(line_share)).alias("most")
     )
-    # documents of a line: equal sketches first, so that a frequent line is counted in parts
+    # documents of a line: equal contents first, so that a frequent line is counted in parts
     frequent = (
-        lines.groupBy("host", "line", "sketch")
+        lines.groupBy("host", "line", "content")
         .agg(F.min("doc_id").alias("first_id"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("documents"), F.min("first_id").alias("first_id"))

@@ -266,6 +266,19 @@ def test_line_frequency(spark):
     assert linefreq.quality(docs, line_docs=20, line_share=1.0).filter("kept").count() == len(rows)
 
 
+def test_line_frequency_of_template_pages(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    template = words(60)
+    rows = [(i, template + "\n" + words(5), "a") for i in range(400)]  # different pages with few words of their own
+    rows += [(1000 + i, words(60), "a") for i in range(10)]
+    copy = words(60)
+    rows += [(2000 + i, copy.upper() if i % 2 else copy.replace(" ", "  "), "a") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = {r.doc_id for r in linefreq.quality(docs).filter("kept").collect()}
+    assert kept == {0, *range(1000, 1010), *range(2000, 2100)}
+
+
 def test_line_frequency_empty(no_documents):
     assert linefreq.quality(no_documents).count() == 0
 
