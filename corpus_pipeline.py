@@ -33,8 +33,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that fail the base rules or are depleted of lines of their own."""
-    return without(docs, linefreq.quality(docs).filter("NOT kept"))
+    """Without lines above the limits, and without documents that fail the base rules or are depleted.
+
+    ``n_chars``, where there is one, is that of the text that is left.
+    """
+    kept = linefreq.cleaned(docs).filter("kept")
+    columns = {c: F.col("doc")[c].alias(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        now = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("removed_words") > 0, now).otherwise(F.col("doc.n_chars")).alias("n_chars")
+    return kept.select(*columns.values())
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Base rules look at one text. The method looks at lines across documents: normalised lines
 are hashed, the distinct documents of a line are counted per host (the ``source`` column),
-lines above the limits count as removed, and a document most of whose words are in such
-lines is rejected as depleted.
+lines above the limits are removed from the texts, and a document most of whose words were in such
+lines is rejected as depleted. Texts are read twice: for the counts, and to cut the lines.
 
 Documents are distinct by a hash of their whole text, lower-cased and with single blanks, so that
 copies of one text count once and do not turn its lines into boilerplate, and pages that share all
@@ -12,12 +12,13 @@ but a few words count each. A removed line stays in the first document of its ho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from mirador.sources.tables import stage
 
@@ -28,11 +29,15 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), *[(c, pa.int64()) for c in COLUMNS], ("content", pa.int64()),
-     ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))]
+LINES = pa.schema(
+    [("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), ("content", pa.int64()), ("lines", pa.list_(pa.int64()))]
 )
-LINES = SCHEMA.field("lines").type
+LINES_DDL = "doc_id bigint, host string, text_hash bigint, content bigint, lines array<bigint>"
+#: Frequent lines that every task may hold; more are joined to their documents by a shuffle.
+LOOKUP_LINES = 200_000
+
+#: Of each host, its frequent lines and the first document of each.
+Lookup = dict[str, dict[int, int | None]]
 
 
 def sums(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,92 +75,103 @@ def repeats(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return sums(covered, np.cumsum(lengths))
 
 
-def lines_of(text: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """Lines equal to an earlier one; distinct normalised lines with all their words."""
-    seen, again, words = set(), 0, {}
+def line_key(parts: list[bytes]) -> int:
+    """Hash of a normalised line, from its words."""
+    key = xxhash.xxh3_64_intdigest(b" ".join(parts).lower().translate(DIGITS))
+    return key - (1 << 64) if key >> 63 else key
+
+
+def lines_of(text: bytes) -> list[int]:
+    """Distinct normalised lines."""
+    return list({line_key(parts) for line in text.split(b"\n") if (parts := line.split())})
+
+
+def cut(text: bytes, gone: Callable[[int], bool] | None) -> tuple[int, int, bytes]:
+    """Lines equal to an earlier one; words in lines that are gone; the text without those."""
+    seen, again, removed, left = set(), 0, 0, []
     for line in text.split(b"\n"):
         parts = line.split()
-        if not parts:
-            continue
-        again += line in seen
-        seen.add(line)
-        key = xxhash.xxh3_64_intdigest(b" ".join(parts).lower().translate(DIGITS))
-        words[key] = words.get(key, 0) + len(parts)
-    return again, [(k - (1 << 64) if k >> 63 else k, n) for k, n in words.items()]
+        if parts:
+            again += line in seen
+            seen.add(line)
+            if gone and gone(line_key(parts)):
+                removed += len(parts)
+                continue
+        left.append(line)
+    return again, removed, b"\n".join(left) if removed else text
 
 
-def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = texts(batch.column("text"))
+    contents = word_hashes([b" ".join(t.split()).lower() for t in found])
+    return pa.RecordBatch.from_arrays(
+        [
+            *[batch.column(c) for c in ("doc_id", "host", "text_hash")],
+            pa.array(contents.view(np.int64)),
+            pa.array(map(lines_of, found), LINES.field("lines").type),
+        ],
+        schema=LINES,
+    )
+
+
+def removals(batch: pa.RecordBatch, lookup: Lookup | None) -> Iterator[Callable[[int], bool] | None]:
+    """For each row, whether a line is removed from it; None if none is."""
+    if lookup is None:
+        for lines in batch.column("cut").to_pylist():
+            yield set(lines).__contains__ if lines else None
+    else:
+        for doc_id, host in zip(batch.column("doc_id").to_pylist(), batch.column("host").to_pylist()):
+            first = lookup.get(host)
+            yield first and (lambda key, first=first, doc_id=doc_id: key in first and first[key] != doc_id)
+
+
+def measure(batch: pa.RecordBatch, lookup: Lookup | None) -> pa.RecordBatch:
     found = texts(batch.column("text"))
     split = [t.split() for t in found]
     lengths = np.array([len(w) for w in split], dtype=np.int64)
     hashes = word_hashes([w for ws in split for w in ws])
     chars, symbols = of_bytes(found)
     repeated = repeats(hashes, np.cumsum(lengths) - lengths, lengths)
-    contents = word_hashes([b" ".join(ws).lower() for ws in split])
-    again, lines = zip(*map(lines_of, found))
-    counts = [lengths, chars, symbols, again, repeated]
-    listed = pa.array([[{"line": k, "words": n} for k, n in doc] for doc in lines], LINES)
+    again, removed, left = zip(*map(cut, found, removals(batch, lookup)))
+    known = batch.column("text").is_valid().to_pylist()
+    counts = [lengths, chars, symbols, again, repeated, removed]
     return pa.RecordBatch.from_arrays(
         [
-            *[batch.column(c) for c in ("doc_id", "host", "text_hash")],
+            *[batch.column(c) for c in ("doc", "doc_id", "text_hash")],
             *[pa.array(c, pa.int64()) for c in counts],
-            pa.array(contents.view(np.int64)),
-            listed,
+            pa.array([t if k else None for t, k in zip(left, known)], pa.binary()).view(pa.string()),
         ],
-        schema=SCHEMA,
+        names=["doc", "doc_id", "text_hash", *COLUMNS, "removed_words", "text"],
     )
 
 
-def measured(docs: DataFrame, host: str) -> DataFrame:
-    """One row per document: its counts, its content and its distinct lines."""
-
+def in_pieces(function: Callable[[pa.RecordBatch], pa.RecordBatch]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                yield measure(batch)
+                yield function(batch)
 
-    rows = docs.select(
+    return run
+
+
+def keyed(docs: DataFrame, host: str, *more: Column) -> DataFrame:
+    return docs.select(
+        *more,
         F.col("doc_id").cast("bigint"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.xxhash64("text").alias("text_hash"),
         "text",
     )
-    return rows.mapInArrow(
-        run,
-        "doc_id bigint, host string, text_hash bigint, "
-        + ", ".join(f"{c} bigint" for c in COLUMNS)
-        + ", content bigint, lines array<struct<line: bigint, words: bigint>>",
-    )
-
-
-def quality(
-    docs: DataFrame,
-    host: str = "source",
-    line_docs: int = 50,
-    line_share: float = 0.005,
-    depleted: float = 0.3,
-    min_words: int = 50,
-    repeat_percent: int = 50,
-) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text and the ``host`` column).
 
-    doc_id, text_hash (xxhash64 of the text), n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, removed_words, base_failed, kept. A line is removed if more than
-    ``line_docs`` distinct documents of its host and more than the share ``line_share`` of them
-    have it; a document is depleted if less than the share ``depleted`` of its words remains.
 
-    Null and empty texts have no words and fail the base rules. Null hosts and empty ones are
-    one host. Repeated rows are judged each and count as one document. A line's first document
-    is the one with the smallest doc_id; rows with a null doc_id are first nowhere. Very long
-    texts are read whole. An empty table gives no rows. Other columns are not looked at.
-    """
-    rows = stage(measured(docs, host).withColumn("row", F.monotonically_increasing_id()), "line-counts")
-    lines = rows.select("row", "doc_id", "host", "content", F.inline("lines"))
+def frequent_lines(rows: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """(host, line, first_id) of the lines above the limits."""
+    lines = rows.select("doc_id", "host", "content", F.explode("lines").alias("line"))
     limits = rows.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(
         F.greatest(F.lit(float(line_docs)), F.count("one") * F.lit(line_share)).alias("most")
     )
     # documents of a line: equal contents first, so that a frequent line is counted in parts
-    frequent = (
+    return (
         lines.groupBy("host", "line", "content")
         .agg(F.min("doc_id").alias("first_id"))
         .groupBy("host", "line")
@@ -165,31 +181,71 @@ def quality(
         .filter("documents > most")
         .select("host", "line", "first_id")
     )
-    frequent = stage(frequent, "line-frequent")
-    removed = (
-        lines.join(frequent, ["host", "line"])
-        .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("row")
-        .agg(F.sum("words").alias("removed_words"))
-    )
+
+
+def cleaned(
+    docs: DataFrame,
+    host: str = "source",
+    line_docs: int = 50,
+    line_share: float = 0.005,
+    depleted: float = 0.3,
+    min_words: int = 50,
+    repeat_percent: int = 50,
+) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text and the ``host`` column), with its remaining text.
+
+    doc (the row's columns but the text, as they are), doc_id, text_hash (xxhash64 of the text
+    given), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, text
+    (without the removed lines), base_failed, kept. A line is removed if more than ``line_docs``
+    distinct documents of its host and more than the share ``line_share`` of them have it; a
+    document is depleted if less than the share ``depleted`` of its words remains. The counts but
+    removed_words, and the base rules, are those of the text given.
+
+    Null and empty texts have no words and fail the base rules; they stay as they are. Null hosts
+    and empty ones are one host. Repeated rows are judged each and count as one document. A line's
+    first document is the one with the smallest doc_id; rows with a null doc_id are first nowhere.
+    Very long texts are read whole. An empty table gives no rows.
+    """
+    rows = stage(keyed(docs, host).mapInArrow(in_pieces(listed), LINES_DDL), "line-lists")
+    frequent = stage(frequent_lines(rows, line_docs, line_share), "line-frequent")
+    whole = keyed(docs, host, F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("doc"))
+    lookup = None
+    if frequent.count() <= LOOKUP_LINES:
+        lookup = {}
+        for name, line, first_id in frequent.collect():
+            lookup.setdefault(name, {})[line] = first_id
+    else:
+        names = ["host", "doc_id", "text_hash"]
+        cuts = (
+            rows.select(*names, F.explode("lines").alias("line"))
+            .join(frequent, ["host", "line"])
+            .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+            .groupBy(*names)
+            .agg(F.collect_set("line").alias("cut"))
+        )
+        cuts = stage(cuts.select(*[F.col(c).alias(f"cut_{c}") for c in names], "cut"), "line-cuts")
+        same = [F.col(c).eqNullSafe(F.col(f"cut_{c}")) for c in names]
+        whole = whole.join(cuts, same, "left").drop(*[f"cut_{c}" for c in names])
+    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+    schema = StructType([whole.schema["doc"]])
+    for c in ["doc_id", "text_hash", *COLUMNS, "removed_words"]:
+        schema = schema.add(c, "long")
     base_failed = (F.col("n_words") < min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(repeat_percent) * F.col("n_words")
     )
     left = F.col("n_words") - F.col("removed_words")
     return (
-        rows.join(removed, "row", "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint")))
-        .select(
-            "doc_id",
-            "text_hash",
-            *COLUMNS,
-            "removed_words",
-            base_failed.alias("base_failed"),
-            (~base_failed & (left >= F.lit(depleted) * F.col("n_words"))).alias("kept"),
-        )
+        whole.mapInArrow(in_pieces(lambda batch: measure(batch, shared.value)), schema.add("text", "string"))
+        .withColumn("base_failed", base_failed)
+        .withColumn("kept", ~F.col("base_failed") & (left >= F.lit(depleted) * F.col("n_words")))
     )
 
 
+def quality(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
+    """The columns of ``cleaned`` (see there, also for ``limits``) without doc and text."""
+    return cleaned(docs.select(*dict.fromkeys(["doc_id", "text", host])), host, **limits).drop("doc", "text")
+
+
 @query("op8_line_frequency")
 def op8_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and line frequency of all documents, by source."""

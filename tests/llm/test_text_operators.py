@@ -279,6 +279,27 @@ def test_line_frequency_of_template_pages(spark):
     assert kept == {0, *range(1000, 1010), *range(2000, 2100)}
 
 
+@pytest.mark.parametrize("lookup_lines", [linefreq.LOOKUP_LINES, 0])
+def test_frequent_lines_leave_the_text(spark, monkeypatch, lookup_lines):
+    import corpus_pipeline
+
+    monkeypatch.setattr(linefreq, "LOOKUP_LINES", lookup_lines)
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    head, foot = words(8), words(4) + " 1"
+    own = {i: words(60) + "\n\n  " + words(20) for i in range(60)}
+    text = lambda i: f"{head.upper()}\n{own[i]}\n {foot[:-1]}{i:02d}\n{head}"
+    rows = [(i, text(i), "a", len(text(i)), i) for i in own] + [(None, text(5), "a", 0, 60), (70, text(6), None, 7, 61)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int, doc int")
+    found = {r.doc: r for r in linefreq.cleaned(docs).select("text", "removed_words", "kept", "doc.doc").collect()}
+    assert {k: r.text for k, r in found.items()} == {**own, 0: text(0), 60: own[5], 61: text(6)}
+    assert {k: r.removed_words for k, r in found.items()} == {**dict.fromkeys(own, 21), 0: 0, 60: 21, 61: 0}
+    after = corpus_pipeline.good_quality(spark, docs, "")
+    assert after.schema == docs.schema
+    want = {**{i: (own[i], len(own[i])) for i in own}, 0: (text(0), len(text(0))), 60: (own[5], len(own[5])), 61: (text(6), 7)}
+    assert {r.doc: (r.text, r.n_chars) for r in after.collect()} == want
+
+
 def test_line_frequency_empty(no_documents):
     assert linefreq.quality(no_documents).count() == 0
 
