@@ -14,16 +14,17 @@ from mirador.sources.workspace import scratch
 BROADCAST_ROWS = 2_000_000
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+def without(docs: DataFrame, rejected: DataFrame, how: str = "left_anti") -> DataFrame:
     """Rows of ``docs`` whose id and text are not among the rejected (doc_id, text_hash).
 
-    The rejected are written and counted first. Up to BROADCAST_ROWS of them are broadcast, so
-    that texts stay where they are; more are joined by a shuffle.
+    With ``how`` left_semi, the rows that are. The rejected are written and counted first. Up to
+    BROADCAST_ROWS of them are broadcast, so that texts stay where they are; more are joined by a
+    shuffle.
     """
     gone = stage(rejected.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "rejected")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone, same, how)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate component."""
-    return without(docs, neardup.near_duplicates(docs).filter("NOT kept"))
+    """The first document of each near-duplicate component, in one row.
+
+    Of several texts under the first id, or without any id, the one of least hash stays. Of rows
+    that repeat an id and a text, any one stays, also where the text is empty.
+    """
+    key = ["doc_id", "text_hash"]
+    found = stage(neardup.grouped(docs).select(*key, "label", "kept"), "components")
+    first = stage(found.filter("kept").groupBy("label", *key).agg(F.count(F.lit(1)).alias("copies")), "first")
+    least = first.filter("label IS NOT NULL").groupBy("label").agg(F.min("text_hash").alias("least"))
+    other = first.join(least, "label").filter("text_hash <> least").select(*key)
+    one = without(docs, found.filter("NOT kept").select(*key).distinct().unionByName(other))
+    repeated = stage(first.filter("copies > 1").select(*key), "repeated")
+    if repeated.isEmpty():
+        return one
+    return without(one, repeated).unionByName(without(one, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,15 +285,16 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: in
     return both.select("a", "b", (F.lit(100) * common >= F.lit(threshold) * union).alias("linked"))
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame,
     width: int = WIDTH,
     threshold: int = 85,
     number: int = COORDINATES,
     matches: int = MATCHES,
 ) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, component_id, label, kept for every row of ``docs`` (doc_id, text).
 
+    Rows of a component share a label, which no other component has; it is null for an empty set.
     Documents are linked where 100 * intersection >= threshold * union of their sets; the
     component_id is the smallest doc_id reachable. A null, empty or blank text has an empty
     set, is linked with nothing and is its own component. Rows of one doc_id and equal sets
@@ -338,7 +339,7 @@ def near_duplicates(
         "set_key", "least_id", F.coalesce("label", "node").alias("label")
     )
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = stage(named.join(smallest, "label").select("set_key", "component_id"), "neardup-named")
+    named = stage(named.join(smallest, "label").select("set_key", "component_id", "label"), "neardup-named")
     return (
         signed_docs.select("doc_id", "text_hash", "n_shingles", "set_key")
         .join(named, "set_key", "left")
@@ -347,11 +348,17 @@ def near_duplicates(
             "text_hash",
             "n_shingles",
             F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            "label",
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def near_duplicates(docs: DataFrame, **limits: int) -> DataFrame:
+    """The columns of ``grouped`` (see there, also for ``limits``) without label."""
+    return grouped(docs, **limits).drop("label")
+
+
 @query("op9_minhash_near_dedup")
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents."""

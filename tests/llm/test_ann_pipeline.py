@@ -90,6 +90,21 @@ def test_pipeline(spark, data):
     assert kept["near_dedup"] < kept["quality_rules"] < kept["language_id"] <= all_ids
 
 
+def test_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    words = [[f"w{n}x{i}" for i in range(100)] for n in range(6)]
+    a, b, c, d, e, f = (" ".join(w) for w in words)
+    rows = [(1, a), (1, a), (1, a.upper()), (1, a + " more"), (2, a), (1, b)]  # two components of one id
+    rows += [(None, c), (None, c), (None, d), (3, d), (4, e), (5, f), (5, f), (6, ""), (6, ""), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    after = corpus_pipeline.one_of_each(spark, docs, "")
+    assert after.columns == docs.columns
+    left = sorted(((r.doc_id, (r.text or "")[:4].lower()) for r in after.collect()), key=str)
+    want = [(1, a[:4]), (1, b[:4]), (None, c[:4]), (3, d[:4]), (4, e[:4]), (5, f[:4]), (6, ""), (7, "")]
+    assert left == sorted(want, key=str)
+
+
 def test_pipeline_of_odd_documents(spark, odd_documents, no_documents):
     import corpus_pipeline
 
