@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from mirador.sources.tables import stage
 
@@ -180,10 +181,10 @@ def nearest(
     ``vectors``: vec_id, embedding. The rotation and the radius are fitted on at most about
     ``sample_rows`` rows; every row is indexed. Queries with fewer than ``k`` codes within the
     radius are searched again with a radius that takes all. Null ids, and vectors that are
-    null, empty, zero or hold null or non-finite components, take no part; nor do vectors of
-    another length than the longest usable one. Rows of one id count once, with their least
-    vector. Ties go to the smaller id. An empty table gives no rows. Other columns are not
-    looked at.
+    null, empty, zero or hold null or non-finite components, take no part. Vectors are compared
+    with those of their own length, and each length has a rotation and a radius of its own. Rows
+    of one id count once, with their least vector. Ties go to the smaller id. An empty table gives
+    no rows. Other columns are not looked at.
     """
     rows = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
@@ -191,14 +192,30 @@ def nearest(
         F.coalesce(is_query, F.lit(False)).alias("is_query"),
     ).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = stage(rows.groupBy("vec_id", "is_query").agg(F.min("vector").alias("vector")), "ann-vectors")
-    size = rows.agg(
-        F.max(F.size("vector")).alias("width"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count(F.when(F.col("is_query"), 1)).alias("queries"),
-    ).first()
-    schema = "query_id bigint, vec_id bigint, score double"
-    if not size["queries"]:
+    sizes = rows.groupBy(F.size("vector").alias("width")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("is_query"), 1)).alias("queries")
+    )
+    found = [
+        nearest_of_length(rows, size, k, substrings, recall, sample_rows, block_rows, query_rows)
+        for size in sizes.filter("rows > 1 AND queries > 0").orderBy("width").collect()
+    ]
+    if not found:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearest_of_length(
+    rows: DataFrame,
+    size: Row,
+    k: int,
+    substrings: int,
+    recall: float,
+    sample_rows: int,
+    block_rows: int,
+    query_rows: int,
+) -> DataFrame:
+    """``nearest`` among the vectors of one length; ``size``: the length, its rows and its queries."""
+    schema = "query_id bigint, vec_id bigint, score double"
     width = size["width"]
     rows = rows.filter(F.size("vector") == width)
     share = min(1.0, sample_rows / size["rows"])
@@ -224,7 +241,7 @@ def nearest(
 
     asked = rows.filter("is_query")
     first = stage(search(asked, coder), "ann-found")
-    complete = first.filter(F.col("rank") == min(k, max(1, size["rows"] - 1))).select(F.col("query_id").alias("vec_id"))
+    complete = first.filter(F.col("rank") == min(k, size["rows"] - 1)).select(F.col("query_id").alias("vec_id"))
     short = stage(asked.join(complete, "vec_id", "left_anti"), "ann-short")
     if not short.isEmpty():
         again = search(short, Coder(coder.rotation, substrings, width))

@@ -67,6 +67,17 @@ def test_odd_vectors(spark):
     assert [i for i, _ in got[0]][:2] == [4, 5]  # ties go to the smaller id
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    normal = [(i, rng.normal(size=8).tolist(), 0, 0, 0) for i in range(40)]
+    short = [(100 + i, rng.normal(size=3).tolist(), 0, 0, 0) for i in range(20)]
+    stray = [(200, rng.normal(size=9).tolist(), 0, 0, 0)]
+    got = found(spark, normal + short + stray, F.lit(True), k=3)
+    assert set(got) == {*range(40), *range(100, 120)}
+    assert all(len(v) == 3 and all((i < 100) == (q < 100) for i, _ in v) for q, v in got.items())
+    assert got == found(spark, normal, F.lit(True), k=3) | found(spark, short, F.lit(True), k=3)
+
+
 def test_few_vectors(spark):
     assert found(spark, [(0, [1.0], 0, 0, 0)], F.lit(True)) == {}
     assert found(spark, [], F.lit(True)) == {}
