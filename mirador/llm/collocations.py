@@ -1,52 +1,54 @@
 """Phrase collocations: phrases of two to five words, counted in HAT-tries and scored by their cuts.
 
-Texts are read once, into chunks of tokens with numbers of the chunk's own. A chunk sends its
-distinct words once; words that are frequent in their language get dense ids, without gaps or
-collisions, and the chunk's tokens are rewritten in these ids. Then phrases are counted size by
-size: a task counts the phrases of its chunks in one HAT-trie and gives out sorted runs; runs are
-dealt out by their first two words and merged. A phrase can only be frequent if both phrases of
-one word less in it are, so the frequent phrases of one size, as a bitmap of a fixed size, thin out
-the next; a false positive costs a count and no more, so the counts are exact.
-
-The language is part of a word: equal words of two languages have two ids.
+Texts are read once, into chunks of tokens with numbers of the chunk's own. A word's id is a
+64-bit hash of language and word. Counts are grouped by id, and if a frequent id turns out to
+stand for two words, all words are hashed anew with another seed, so ids are as good as the words.
+
+Words, then phrases, are counted size by size: a task counts the phrases of its chunks in one
+HAT-trie and gives out sorted runs; runs are dealt out by their first two words and merged. A
+phrase can only be frequent if both phrases of one word less in it are, so what is frequent in one
+size, as a bitmap of a fixed size, thins out the next; a false positive costs a count and no more,
+so the counts are exact and nothing that is sent to the tasks grows.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
-from itertools import accumulate, count
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mirador.sources.tables import stage
 
-from .hattrie import HatTrie, hashed, packed
+from .hattrie import HatTrie, hashed
 from .registry import query, table
 
 #: Bytes that end a piece, and the mark put for them: a byte that no UTF-8 text has.
 ENDS, MARK = b".,;:!?\n\x0b\x0c\r", b"\xff"
 PLAIN = bytes.maketrans(ENDS + bytes(range(65, 91)), b"\n" * len(ENDS) + bytes(range(97, 123)))
-#: Bytes of a text that are split at a time, tokens of a chunk, bytes of its distinct words.
-SLICE, CHUNK_TOKENS, CHUNK_BYTES = 8 << 20, 4_000_000, 64 << 20
-#: Shards that number words, and bits of the bitmap of frequent phrases (8 MB).
-SHARDS, BITMAP = 256, 26
+#: Bytes of a text that are split at a time, bytes of a chunk's texts, tokens whose phrases are made at a time.
+SLICE, CHUNK_BYTES, WINDOWS = 8 << 20, 64 << 20, 1 << 19
 
-WORD = pa.struct([("pos", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-CHUNKS = pa.schema([("chunk", pa.string()), ("tokens", pa.binary()), ("words", pa.list_(WORD))])
-CHUNKS_DDL = "chunk string, tokens binary, words array<struct<pos:int,lang:string,word:string,n:bigint>>"
+WORD = pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+CHUNKS = pa.schema([("tokens", pa.binary()), ("words", pa.list_(WORD))])
+CHUNKS_DDL = "tokens binary, words array<struct<id:bigint,lang:string,word:string,n:bigint>>"
+
+
+def word_id(lang: str, word: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d\xff%b\xff%b" % (seed, lang.encode(), word)) or 1
 
 
 class Chunk:
     """Tokens of whole texts as numbers; 0 between pieces and texts."""
 
-    def __init__(self):
-        self.next = count(1).__next__
+    def __init__(self, slice_bytes: int = SLICE):
+        self.slice_bytes, self.next = slice_bytes, count(1).__next__
         self.numbers: dict[str, dict[bytes, int]] = {}
         self.parts: list[np.ndarray] = [np.zeros(1, dtype=np.int32)]
         self.tokens = self.bytes = 0
@@ -59,7 +61,7 @@ class Chunk:
         text = text.translate(PLAIN).replace(b"\n", b" " + MARK + b" ")
         start = 0
         while start < len(text):
-            end = text.find(b" ", start + SLICE)
+            end = text.find(b" ", start + self.slice_bytes)
             end = len(text) if end < 0 else end
             found = text[start:end].split()
             self.parts.append(np.fromiter(map(number, found), np.int32, len(found)))
@@ -68,22 +70,34 @@ class Chunk:
         self.parts.append(np.zeros(1, dtype=np.int32))
         self.bytes += len(text)
 
-    def row(self, name: str) -> pa.RecordBatch:
+    def row(self, identify: Callable[[str, bytes], int]) -> pa.RecordBatch:
+        """Tokens, and the chunk's words in the order of their numbers 1, 2 ..."""
         tokens = np.concatenate(self.parts)
-        held = [(n, lang, w) for lang, of in self.numbers.items() for w, n in of.items() if n]
-        pos, langs, words = (list(c) for c in zip(*held)) if held else ([], [], [])
-        number = np.bincount(tokens, minlength=len(held) + 1)[np.array(pos, dtype=np.int64)]
-        columns = [pa.array(pos, pa.int32()), pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
-        struct = pa.StructArray.from_arrays([*columns, pa.array(number, pa.int64())], fields=list(WORD))
-        packed_tokens = zstandard.compress(tokens.tobytes(), 1)
-        listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), struct)
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([packed_tokens], pa.binary()), listed], schema=CHUNKS)
-
-
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.parts = []
+        pos, langs, words, ids = [], [], [], []
+        for place, (lang, numbers) in enumerate(self.numbers.items()):
+            del numbers[MARK]
+            pos += numbers.values()
+            words += numbers
+            langs += [place] * len(numbers)
+            ids += [identify(lang, w) for w in numbers]
+        order = pa.array(np.argsort(np.array(pos, dtype=np.int64)))
+        named = pa.DictionaryArray.from_arrays(pa.array(langs, pa.int32()), pa.array(list(self.numbers), pa.string()))
+        columns = [
+            pa.array(np.array(ids, dtype=np.uint64).view(np.int64)).take(order),
+            named.cast(pa.string()).take(order),
+            pa.array(words, pa.binary()).cast(pa.string()).take(order),
+            pa.array(np.bincount(tokens, minlength=len(pos) + 1)[1:], pa.int64()),
+        ]
+        listed = pa.ListArray.from_arrays(pa.array([0, len(pos)], pa.int32()), pa.StructArray.from_arrays(columns, fields=list(WORD)))
+        return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(tokens, 1)], pa.binary()), listed], schema=CHUNKS)
+
+
+def chunked(
+    batches: Iterator[pa.RecordBatch], identify: Callable[[str, bytes], int], chunk_tokens: int
+) -> Iterator[pa.RecordBatch]:
     """Chunks of a task's rows (lang, text)."""
-    chunk, numbered = Chunk(), count()
-    name = lambda: f"{TaskContext.get().partitionId()}-{next(numbered)}"
+    chunk = Chunk()
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for place, lang in enumerate(batch.column("lang").to_pylist()):
@@ -91,137 +105,126 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text:
                 chunk.add(lang, text)
             # every text may be new words, so its bytes bound those of the words
-            if chunk.tokens >= CHUNK_TOKENS or chunk.bytes >= CHUNK_BYTES:
-                yield chunk.row(name())
+            if chunk.tokens >= chunk_tokens or chunk.bytes >= CHUNK_BYTES:
+                yield chunk.row(identify)
                 chunk = Chunk()
     if chunk.tokens:
-        yield chunk.row(name())
+        yield chunk.row(identify)
 
 
-def numbered(words: DataFrame) -> DataFrame:
-    """Add ``id``: 1, 2, 3 ... over all rows of (lang, word), by shard and within it."""
-    shard = F.pmod(F.xxhash64("lang", "word"), F.lit(SHARDS)).cast("int")
-    words = stage(words.withColumn("shard", shard), "phrase-words")
-    sizes = dict(words.groupBy("shard").count().collect())
-    bases = [0, *accumulate(sizes.get(s, 0) for s in range(SHARDS))]
-    base = F.element_at(F.array(*[F.lit(b).cast("bigint") for b in bases]), F.col("shard") + 1)
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("lang", "word"))
-    return stage(words.withColumn("id", base + place).drop("shard"), "phrase-ids")
+def spots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the hash of each key is in a bitmap of 2 ** bits bits."""
+    return hashed(keys) >> np.uint64(64 - bits)
 
 
-def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of (tokens, ids: which numbers have which ids) in these ids; 0 for other words."""
-    for batch in batches:
-        for place in range(batch.num_rows):
-            tokens = np.frombuffer(zstandard.decompress(batch.column("tokens")[place].as_py()), dtype=np.int32)
-            known = np.zeros(int(tokens.max(initial=0)) + 1, dtype=np.uint32)
-            answer = batch.column("ids")[place].values
-            if answer is not None:
-                known[answer.field("pos").to_numpy()] = answer.field("id").to_numpy()
-            ids = known[tokens]
-            some = ids != 0
-            some[1:] |= some[:-1]  # one 0 of a run is enough
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(ids[some].tobytes(), 1)], pa.binary())], names=["ids"])
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has each key."""
+    spot = spots(keys, len(bits).bit_length() + 5)
+    return bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1) != 0
 
 
 def phrases_in(ids: np.ndarray, size: int, shorter: np.ndarray | None) -> np.ndarray:
     """Phrases of ``size`` ids, where the bitmap has both phrases of one id less."""
     windows = len(ids) - size + 1
-    if windows <= 0:
-        return packed([ids[:0]] * size)
-    whole = np.ones(windows, dtype=bool)
+    whole = np.ones(max(0, windows), dtype=bool)
     for i in range(size):
-        whole &= ids[i : windows + i] != 0
+        whole &= ids[i : windows + i] != 0 if windows > 0 else whole
     at = np.flatnonzero(whole)
-    if shorter is not None:
-        for skip in (0, 1):
-            spot = hashed(packed([ids[at + i + skip] for i in range(size - 1)])) >> np.uint64(64 - BITMAP)
-            bit = np.uint64(1) << (spot & np.uint64(63))
-            at = at[shorter[(spot >> np.uint64(6)).astype(np.int64)] & bit != 0]
-    return packed([ids[at + i] for i in range(size)])
+    for skip in (0, 1) if shorter is not None else ():
+        at = at[marked(shorter, np.stack([ids[at + i + skip] for i in range(size - 1)]))]
+    return np.stack([ids[at + i] for i in range(size)])
+
+
+def streams_of(batch: pa.RecordBatch, frequent_words: np.ndarray, overlap: int) -> Iterator[np.ndarray]:
+    """Ids of the tokens of each chunk of (tokens, ids), slice by slice; 0 for rare words and ends of pieces."""
+    for raw, own in zip(batch.column("tokens"), batch.column("ids")):
+        tokens = np.frombuffer(zstandard.decompress(raw.as_py()), dtype=np.int32)
+        ids = own.values.to_numpy().view(np.uint64)
+        known = np.concatenate([np.zeros(1, dtype=np.uint64), np.where(marked(frequent_words, ids[None]), ids, np.uint64(0))])
+        for start in range(0, len(tokens), WINDOWS):
+            yield known[tokens[start : start + WINDOWS + overlap]]
 
 
 def keys_of(size: int) -> list[str]:
-    return [f"key_{i}" for i in range((size + 1) // 2)]
+    return [f"id_{i}" for i in range(size)]
 
 
-def counted(streams: DataFrame, size: int, shorter: np.ndarray | None, min_count: int, trie_phrases: int) -> DataFrame:
-    """(key_0 ..., n) of the phrases of ``size`` words that come ``min_count`` times or more."""
-    sent = streams.sparkSession.sparkContext.broadcast(shorter)
+def counted(
+    chunks: DataFrame, size: int, words: np.ndarray, shorter: np.ndarray | None, min_count: int, trie_phrases: int
+) -> DataFrame:
+    """(id_0 ..., a) of the phrases of ``size`` words that come ``min_count`` times or more."""
+    sent = chunks.sparkSession.sparkContext.broadcast((words, shorter))
     names = keys_of(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             trie = HatTrie(size, trie_phrases)
             for batch in batches:
-                for raw in batch.column("ids"):
-                    ids = np.frombuffer(zstandard.decompress(raw.as_py()), dtype=np.uint32)
-                    yield from trie.add(phrases_in(ids, size, sent.value))
+                for ids in streams_of(batch, sent.value[0], size - 1):
+                    yield from trie.add(phrases_in(ids, size, sent.value[1]))
             yield from trie.rest()
 
         for keys, numbers in runs():
             columns = [pa.array(k.view(np.int64)) for k in np.ascontiguousarray(keys)]
-            whole = pa.RecordBatch.from_arrays([*columns, pa.array(numbers)], names=[*names, "n"])
+            whole = pa.RecordBatch.from_arrays([*columns, pa.array(numbers)], names=[*names, "a"])
             for at in range(0, whole.num_rows, 1 << 16):
                 yield whole.slice(at, 1 << 16)
 
-    rows = streams.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n"]))
-    merged = rows.repartition(names[0]).groupBy(*names).agg(F.sum("n").alias("n"))
-    found = stage(merged.filter(F.col("n") >= min_count), f"phrases-{size}")
+    rows = chunks.select("tokens", F.col("words.id").alias("ids"))
+    rows = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "a"]))
+    merged = rows.repartition(*names[:2]).groupBy(*names).agg(F.sum("a").alias("a"))
+    found = stage(merged.filter(F.col("a") >= min_count), f"phrases-{size}")
     sent.destroy()
     return found
 
 
-def bitmap(found: DataFrame, size: int) -> np.ndarray:
-    """The hashes of all phrases as bits of an array of 2 ** BITMAP bits."""
+def bitmap(found: DataFrame, size: int, bits: int) -> np.ndarray:
+    """The hashes of all phrases in 2 ** bits bits, as an array of numbers of 64 bits."""
     names = keys_of(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = hashed(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names])) >> np.uint64(64 - BITMAP)
-            bits = (np.uint64(1) << (spot & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).view(np.int64)), pa.array(bits)], names=["cell", "bits"])
+            spot = spots(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names]), bits)
+            one = (np.uint64(1) << (spot & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).view(np.int64)), pa.array(one)], names=["cell", "bits"])
 
     cells = found.select(*names).mapInArrow(run, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(1 << (BITMAP - 6), dtype=np.uint64)
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     held = cells.toArrow()  # at most one row per cell
     out[held.column("cell").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def as_words(size: int) -> Column:
-    """The ids of a phrase as an array."""
-    high = lambda c: F.shiftrightunsigned(c, 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    parts = [part for c in keys_of(size) for part in (high(c), low(c))]
-    return F.array(*parts[:size])
-
-
-def frequent(docs: DataFrame, min_count: int, longest: int, trie_phrases: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words, a) of all frequent phrases of one word or more; (id, lang, word); (lang, n)."""
+def read(docs: DataFrame, min_count: int, chunk_tokens: int, identify: Callable[[str, bytes, int], int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks; (id, a, lang, word) of the frequent words; (lang, n)."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    chunks = stage(docs.select(lang, "text").mapInArrow(chunked, CHUNKS_DDL), "phrase-chunks")
-    seen = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.*")
-    langs = stage(seen.groupBy("lang").agg(F.sum("n").alias("words")), "phrase-langs")
-    totals = seen.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    words = numbered(totals)
-    answers = (
-        seen.join(words, ["lang", "word"])
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
-    )
-    number = chunks.count()
-    streams = chunks.select("chunk", "tokens").join(answers, "chunk", "left").repartition(max(1, number), "chunk")
-    streams = stage(streams.select("tokens", "ids").mapInArrow(rewritten, "ids binary"), "phrase-streams")
-    found = [words.select(F.array("id").alias("words"), F.col("f").alias("a"))]
-    shorter = None
+    rows = docs.select(lang, "text")
+    for seed in count():
+        run = partial(chunked, identify=partial(identify, seed=seed), chunk_tokens=chunk_tokens)
+        chunks = stage(rows.mapInArrow(run, CHUNKS_DDL), "phrase-chunks")
+        seen = chunks.select(F.explode("words").alias("w")).select("w.*")
+        named = F.struct("lang", "word")
+        words = seen.groupBy("id").agg(F.sum("n").alias("a"), F.min(named).alias("least"), F.max(named).alias("most"))
+        words = stage(words.filter(F.col("a") >= min_count), "phrase-words")
+        if words.filter("least <> most").isEmpty():
+            langs = stage(seen.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-langs")
+            return chunks, words.select("id", "a", "least.*"), langs
+
+
+def frequent(
+    chunks: DataFrame, words: DataFrame, min_count: int, longest: int, trie_phrases: int, bits: int
+) -> DataFrame:
+    """(words, a) of all frequent phrases of one word or more."""
+    found = [words.select(F.array("id").alias("words"), "a")]
+    shorter = known = bitmap(words.withColumnRenamed("id", "id_0"), 1, bits)
     for size in range(2, longest + 1):
-        level = counted(streams, size, shorter, min_count, trie_phrases)
+        # the frequent words are applied to the tokens themselves
+        level = counted(chunks, size, known, shorter if size > 2 else None, min_count, trie_phrases)
         if level.isEmpty():
             break  # nor is there any longer one
-        found.append(level.select(as_words(size).alias("words"), F.col("n").alias("a")))
-        shorter = bitmap(level, size) if size < longest else None
-    return reduce(DataFrame.unionByName, found), words.select("id", "lang", "word"), langs
+        found.append(level.select(F.array(*keys_of(size)).alias("words"), "a"))
+        shorter = bitmap(level, size, bits)
+    return reduce(DataFrame.unionByName, found)
 
 
 def collocations(
@@ -231,6 +234,9 @@ def collocations(
     absorbed: int = 100,
     most: int | None = 2000,
     trie_phrases: int = 1_000_000,
+    chunk_tokens: int = 4_000_000,
+    bitmap_bits: int = 26,
+    identify: Callable[[str, bytes, int], int] = word_id,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the collocations of each language, best first.
 
@@ -241,14 +247,16 @@ def collocations(
     where n is the number of words of the language; the cut of the lowest score counts, of equal
     ones the earliest. Candidates inside a longer one that occurs at least ``absorbed`` per cent as
     often are dropped. The first ``most`` of each language are returned by score, then a, both
-    descending, then the phrase in byte order; ``None`` returns all.
+    descending, then the phrase in byte order; ``None`` returns all. The last four parameters bound
+    the memory of tasks and name words; they change no result.
 
     Null and empty texts have no words. A null lang is ``und``; an empty one is a language. Every
     row counts, repeated ones too. Very long texts are read whole, slice by slice, and pieces go
     on across slices. An empty table gives no rows. Other columns are not looked at.
     """
-    phrases, words, langs = frequent(docs, min_count, longest, trie_phrases)
-    phrases = stage(phrases, "phrases")
+    chunks, words, langs = read(docs, min_count, chunk_tokens, identify)
+    phrases = stage(frequent(chunks, words, min_count, longest, trie_phrases, bitmap_bits), "phrases")
+    words = words.drop("a")
     size = F.size("words")
     candidates = phrases.filter(size > 1)
 
@@ -271,7 +279,7 @@ def collocations(
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
     cuts = cuts.withColumns({"left": F.slice("words", F.lit(1), F.col("k")), "right": F.slice("words", F.col("k") + 1, size - F.col("k"))})
     cuts = cuts.join(count_of("left", "l"), "left").join(count_of("right", "r"), "right")
-    cuts = cuts.join(named, "words").join(langs.withColumnRenamed("words", "n"), "lang")
+    cuts = cuts.join(named, "words").join(langs, "lang")
     wide = {c: F.col(c).cast("decimal(20,0)") for c in ("a", "l", "r", "n")}
     score = F.expr("thousandfold div parts")
     cuts = cuts.withColumns({"thousandfold": wide["a"] * wide["n"] * 1000, "parts": wide["l"] * wide["r"]}).withColumn("score", score)

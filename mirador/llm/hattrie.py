@@ -1,11 +1,10 @@
 """Counting phrases in a HAT-trie: hash containers below a shallow trie of word ids.
 
-A phrase is a run of word ids, two to a 64-bit column: the order of the columns is the order of
-the words. All phrases of a trie have as many words. A container is an open-addressing hash
-table over the phrases whose next id lies in a range. One that gets too full bursts: a range of
-several ids is halved, and a single id becomes a trie node with a container for the ids that
-follow. When the trie holds too many phrases, whole subtrees of the root are taken out as sorted
-runs, the largest first.
+A phrase is a run of 64-bit word ids, a column each; all phrases of a trie have as many words. A
+container is an open-addressing hash table over the phrases whose next id lies in a range. One
+that gets too full bursts: a range of several ids is halved, and a single id becomes a trie node
+with a container for the ids that follow. When the trie holds too many phrases, whole subtrees of
+the root are taken out as sorted runs, the largest first.
 """
 
 from __future__ import annotations
@@ -16,26 +15,12 @@ import numpy as np
 
 from .words import GOLDEN, mix
 
-LOW = np.uint64(0xFFFFFFFF)
-HALF = np.uint64(32)
 #: Phrases at which a container bursts, and keys that are inserted in one go.
 BURST = 32_768
 AT_ONCE = 32_768
+LARGEST = (1 << 64) - 1
 
-Keys = np.ndarray  # shape (columns, phrases), uint64
-
-
-def packed(words: list[np.ndarray]) -> Keys:
-    """Columns of phrases from their first, second ... ids."""
-    out = np.zeros(((len(words) + 1) // 2, len(words[0])), dtype=np.uint64)
-    for place, ids in enumerate(words):
-        out[place // 2] |= ids.astype(np.uint64) << (HALF if place % 2 == 0 else np.uint64(0))
-    return out
-
-
-def word(keys: Keys, depth: int) -> np.ndarray:
-    """The ids at a place of the phrases."""
-    return keys[depth // 2] >> HALF if depth % 2 == 0 else keys[depth // 2] & LOW
+Keys = np.ndarray  # shape (words, phrases), uint64
 
 
 def hashed(keys: Keys) -> np.ndarray:
@@ -53,12 +38,12 @@ def in_order(keys: Keys) -> np.ndarray:
 class Container:
     """Phrases with the same first ``depth`` ids and the next one from ``low`` up, counted."""
 
-    def __init__(self, depth: int, low: int, columns: int, room: int = 1024):
-        self.depth, self.low, self.columns, self.size = depth, low, columns, 0
+    def __init__(self, depth: int, low: int, words: int, room: int = 1024):
+        self.depth, self.low, self.words, self.size = depth, low, words, 0
         self.clear(room)
 
     def clear(self, room: int) -> None:
-        self.keys = np.zeros((self.columns, room), dtype=np.uint64)
+        self.keys = np.zeros((self.words, room), dtype=np.uint64)
         self.counts = np.zeros(room, dtype=np.int64)
 
     def add(self, keys: Keys, counts: np.ndarray) -> None:
@@ -95,15 +80,16 @@ class Container:
     def burst(self) -> list[Container | Node]:
         """What takes its place: two halves of its range, or a node for its only id."""
         keys, counts = self.entries()
-        ids = word(keys, self.depth)
+        ids = keys[self.depth]
         if ids.min() == ids.max():
-            node = Node(self.depth + 1, int(ids[0]), self.columns)
+            node = Node(self.depth + 1, int(ids[0]), self.words)
             node.add(keys, counts)
-            before = [Container(self.depth, self.low, self.columns)] if node.low > self.low else []
-            return [*before, node, Container(self.depth, node.low + 1, self.columns)]
+            before = [Container(self.depth, self.low, self.words)] if node.low > self.low else []
+            after = [Container(self.depth, node.low + 1, self.words)] if node.low < LARGEST else []
+            return [*before, node, *after]
         middle = np.partition(ids, len(ids) // 2)[len(ids) // 2]
         middle = middle if middle > ids.min() else ids[ids > middle].min()
-        halves = [Container(self.depth, low, self.columns) for low in (self.low, int(middle))]
+        halves = [Container(self.depth, low, self.words) for low in (self.low, int(middle))]
         for half, chosen in zip(halves, (ids < middle, ids >= middle)):
             half.add(keys[:, chosen], counts[chosen])
         return halves
@@ -112,9 +98,9 @@ class Container:
 class Node:
     """Children by ranges of the id at ``depth``; ``low``: the id before it (0 for the root)."""
 
-    def __init__(self, depth: int, low: int, columns: int):
-        self.depth, self.low, self.columns = depth, low, columns
-        self.children: list[Container | Node] = [Container(depth, 0, columns)]
+    def __init__(self, depth: int, low: int, words: int):
+        self.depth, self.low, self.words = depth, low, words
+        self.children: list[Container | Node] = [Container(depth, 0, words)]
 
     @property
     def size(self) -> int:
@@ -124,7 +110,7 @@ class Node:
         if keys.shape[1] == 0:
             return
         lows = np.array([child.low for child in self.children], dtype=np.uint64)
-        owner = np.searchsorted(lows, word(keys, self.depth), side="right") - 1
+        owner = np.searchsorted(lows, keys[self.depth], side="right") - 1
         order = np.argsort(owner, kind="stable")
         ends = np.cumsum(np.bincount(owner, minlength=len(lows)))
         children = []
@@ -145,7 +131,7 @@ def filled(child: Container | Node, keys: Keys, counts: np.ndarray) -> list[Cont
     for at in range(0, keys.shape[1], AT_ONCE):
         child.add(keys[:, at : at + AT_ONCE], counts[at : at + AT_ONCE])
         if child.size > BURST:
-            parts = Node(child.depth, child.low, child.columns)
+            parts = Node(child.depth, child.low, child.words)
             parts.children = child.burst()
             parts.add(keys[:, at + AT_ONCE :], counts[at + AT_ONCE :])
             return parts.children
@@ -156,7 +142,7 @@ class HatTrie:
     """Counts phrases of ``size`` words; sorted runs of (keys, counts) come out when it is full, and at its end."""
 
     def __init__(self, size: int, most: int = 1_000_000):
-        self.most, self.root = most, Node(0, 0, (size + 1) // 2)
+        self.most, self.root = most, Node(0, 0, size)
 
     def add(self, keys: Keys) -> Iterator[tuple[Keys, np.ndarray]]:
         for at in range(0, keys.shape[1], self.most // 4):
@@ -176,7 +162,7 @@ class HatTrie:
             keys, counts = child.entries()
             order = in_order(keys)
             yield keys[:, order], counts[order]
-            self.root.children[place] = Container(0, child.low, self.root.columns)
+            self.root.children[place] = Container(0, child.low, self.root.words)
 
     def rest(self) -> Iterator[tuple[Keys, np.ndarray]]:
         return self.spill(0)
