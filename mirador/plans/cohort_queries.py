@@ -862,6 +862,9 @@ def assumption_fill(t: Tables):
     return cleaning.fill(measurement_cohort_table(t), {"median_activity": 0.0, "max_money": 400.0})
 
 
+VIEW_STEPS = ", ".join(
+    f"({low}, {'NULL' if high is None else high}, {share}::DOUBLE)" for kind, low, high, share in STEPS if kind == "view"
+)
 OXY_SQL = f"""{ANCHOR_SQL}, probe AS (
   SELECT event_id, user_id, ts, value FROM events JOIN anchor USING (user_id)
   WHERE event_type = 'purchase' AND epoch_us(ts) - epoch_us(anchor_ts) BETWEEN {LO_US} AND {HI_US}),
@@ -871,9 +874,8 @@ ref AS (
     WHEN event_type = 'click' AND value >= 20 THEN value / 100
     WHEN event_type = 'click' AND value > 1 THEN NULL
     WHEN event_type = 'click' THEN value
-    WHEN value >= 6 AND value < 7 THEN 0.60::DOUBLE WHEN value >= 7 AND value < 8 THEN 0.70::DOUBLE
-    WHEN value >= 8 AND value < 9 THEN 0.80::DOUBLE WHEN value >= 9 AND value < 10 THEN 0.85::DOUBLE
-    WHEN value >= 10 THEN 0.90::DOUBLE ELSE 0.21::DOUBLE END AS ref_value
+    ELSE coalesce((SELECT max(share) FROM (VALUES {VIEW_STEPS}) steps (low, high, share)
+                   WHERE value >= low AND (high IS NULL OR value < high)), 0.21::DOUBLE) END AS ref_value
   FROM events WHERE event_type IN ('click', 'view') AND value > 0)"""
 
 
