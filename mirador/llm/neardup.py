@@ -3,7 +3,7 @@
 A document's set is its distinct 5-word windows. Equal sets are one class. Each class has a
 signature of COORDINATES minima, and is posted under its (coordinate, value) pairs. Two
 classes are candidates if at least MATCHES coordinates agree, which a pair at the threshold
-misses with a probability of about 4e-6. Of the posting lists only a prefix is merged: with
+misses with a probability of about 9e-6. Of the posting lists only a prefix is merged: with
 pairs ordered by frequency, two classes with MATCHES common pairs share one among the
 COORDINATES - MATCHES + 1 rarest of either, so the frequent lists are skipped and only
 looked at when the collisions of a candidate are counted. Candidates are confirmed on the
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mirador.sources.tables import stage
 
 from .registry import query, table
-from .words import pieces, texts, windows, word_hashes
+from .words import lean, pieces, texts, windows, word_hashes
 
 WIDTH = 5
 COORDINATES = 64
@@ -110,7 +110,7 @@ def signed(docs: DataFrame, width: int = WIDTH, number: int = COORDINATES) -> Da
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(
-        run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, signature array<bigint>"
+        lean(run), "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, signature array<bigint>"
     )
 
 
@@ -129,7 +129,7 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     schema=SETS,
                 )
 
-    return docs.select("text").mapInArrow(run, "set_key binary, shingles array<bigint>")
+    return docs.select("text").mapInArrow(lean(run), "set_key binary, shingles array<bigint>")
 
 
 def postings(classes: DataFrame, number: int, matches: int) -> DataFrame:

@@ -12,12 +12,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch: texts are long.
+BATCH_ROWS = "1000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The library's session settings, with batches that fit texts of some kilobytes."""
+    spark = tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def query(name: str, sql: str | None = None):
     """Register ``build(spark, folder)`` under a query key."""
 
     def add(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(tune(spark), folder)
+            return build(prepared(spark), folder)
 
         QUERIES[name] = run
         if sql is not None:

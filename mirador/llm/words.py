@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 
 #: Odd 64-bit constants of the usual splitmix finaliser (fixed values).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_sent: list[Broadcast] = []
+
+
+def send(rows: DataFrame, value) -> Broadcast:
+    """A broadcast that ``unsend`` takes back."""
+    _sent.append(rows.sparkSession.sparkContext.broadcast(value))
+    return _sent[-1]
+
+
+def unsend() -> None:
+    """Free what the workers hold of all broadcasts; a later use fetches it again."""
+    while _sent:
+        _sent.pop().unpersist()
+
+
+def lean(run: Run) -> Run:
+    """``run``, after which the worker gives its free memory back to the machine.
+
+    Workers go on to other stages; what the allocators keep would add up with theirs.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     with np.errstate(over="ignore"):
