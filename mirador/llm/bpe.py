@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import query, table
 from .segments import Memory, segments
-from .words import pieces
+from .words import lean, pieces, send
 
 #: Longer words (in bytes) are contracted at all places of their least pair at once.
 LONG_WORD = 48
@@ -94,7 +95,8 @@ class Codec:
             if t[:cut] in ranks and t[cut:] in ranks
         ]
         pair, merged = (np.array(c, dtype=np.int64) for c in zip(*joins))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        spill = tempfile.gettempdir()  # the task's own temporary folder
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill})
         self.put("merges", pair=pair, merged=merged)
         self.put(
             "vocabulary",
@@ -102,7 +104,7 @@ class Codec:
             chars=[t.decode("latin-1") for t in ranks],  # one character per byte
         )
         self.words = Memory(self.encode_words)
-        self.memory = Memory(self.encode_segments)
+        self.memory = Memory(self.encode_segments, spells=True)
 
     def put(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -137,8 +139,11 @@ class Codec:
         ends = np.cumsum([len(p) for p in places])
         return np.diff(sizes[np.concatenate([[0], ends])]), self.words.tokens(joined)
 
-    def encode(self, found: list[str]) -> list[np.ndarray]:
-        return [self.memory.tokens(p) for p in self.memory.places_of([segments(t) for t in found])]
+    def encode(self, found: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Ids of each text, and the same as decimal numbers with commas between."""
+        places = self.memory.places_of([segments(t) for t in found])
+        spelled = self.memory.spelled.__getitem__
+        return [self.memory.tokens(p) for p in places], [",".join(map(spelled, p.tolist())) for p in places]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         lengths = [len(i) for i in ids]
@@ -169,20 +174,21 @@ def codec_of(ranks: dict[bytes, int], name: str, pattern: str) -> Codec:
 
 
 def in_tasks(docs: DataFrame, path: str, pattern: str, make, schema: pa.Schema, ddl: str) -> DataFrame:
-    """Run ``make(doc_ids, ids, decoded)`` over encoded and decoded documents.
+    """Run ``make(doc_ids, ids, spelled ids, decoded)`` over encoded and decoded documents.
 
     The vocabulary's size is that of its file, so it is sent to the workers once.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    sent = send(docs, read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(sent.value, path, pattern)
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
-                ids = codec.encode([t or "" for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays(make(batch.column("doc_id"), ids, codec.decode(ids)), schema=schema)
+                ids, spelled = codec.encode([t or "" for t in batch.column("text").to_pylist()])
+                columns = make(batch.column("doc_id"), ids, spelled, codec.decode(ids))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), ddl)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -192,7 +198,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     null doc_id stays null; texts are encoded whole, however long. An empty table gives no
     rows. Other columns are not looked at.
     """
-    make = lambda doc_ids, ids, decoded: [
+    make = lambda doc_ids, ids, _, decoded: [
         doc_ids.cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())
     ]
     return in_tasks(docs, path, pattern, make, OUT, "doc_id bigint, ids array<int>, decoded binary")
@@ -206,10 +212,10 @@ DIGESTS = pa.schema(
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Like ``round_trip``, but only counts and digests leave the tasks."""
     sha = lambda data: hashlib.sha256(data).hexdigest()
-    make = lambda doc_ids, ids, decoded: [
+    make = lambda doc_ids, ids, spelled, decoded: [
         doc_ids.cast(pa.int64()),
         pa.array([len(i) for i in ids], pa.int64()),
-        pa.array([sha(",".join(map(str, i.tolist())).encode()) for i in ids]),
+        pa.array([sha(s.encode()) for s in spelled]),
         pa.array([sha(d) for d in decoded]),
     ]
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 
@@ -15,6 +15,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 GENERAL = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 UNSAFE = re.compile(r"\s ")
 ENDS = (".", ",")
+#: Characters of a segment that is not remembered for later batches.
+LONG = 1000
 
 
 def segments(text: str) -> list[str]:
@@ -37,22 +39,33 @@ class Memory:
     """Token ids of segments, encoded on first sight.
 
     ``encode`` takes new segments and returns their id counts and all ids in a row. Beyond
-    ``most`` segments, those that were met only once are forgotten.
+    ``most`` segments, or ``most_chars`` characters of them, those that were met only once are
+    forgotten, as are long ones. ``spells`` keeps the decimal ids of each segment as a text, too.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
-        self.encode, self.most = encode, most
+    def __init__(
+        self,
+        encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+        most: int = 500_000,
+        most_chars: int = 16 << 20,
+        spells: bool = False,
+    ):
+        self.encode, self.most, self.most_chars, self.spells = encode, most, most_chars, spells
         self.places: dict[str, int] = {}
+        self.spelled: list[str] = []
+        self.sizes = np.zeros(0, dtype=np.int64)
         self.counts = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
         self.met = np.zeros(0, dtype=np.int64)
 
     def forget(self) -> None:
-        kept = self.met > 1
-        if kept.sum() > self.most // 2:  # too many to keep them all
+        kept = (self.met > 1) & (self.sizes <= LONG)
+        while kept.sum() > self.most // 2 or self.sizes[kept].sum() > self.most_chars // 2:  # too many to keep them all
             kept &= self.met > np.median(self.met[kept])
         old = np.flatnonzero(kept)
+        self.spelled = [self.spelled[k] for k in old] if self.spells else []
+        self.sizes = self.sizes[old]
         ids = self.tokens(old)
         place = np.cumsum(kept) - 1
         self.places = {s: int(place[p]) for s, p in self.places.items() if kept[p]}
@@ -67,10 +80,14 @@ class Memory:
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, ids])
         self.met = np.concatenate([self.met, np.zeros(len(new), dtype=np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64, len(new))])
+        if self.spells:
+            texts, ends = list(map(str, ids.tolist())), np.cumsum(counts).tolist()
+            self.spelled += [",".join(texts[a:b]) for a, b in zip([0, *ends], ends)]
 
     def places_of(self, found: list[list[str]]) -> list[np.ndarray]:
         """Places of the segments of each text, after new segments are encoded."""
-        if len(self.places) > self.most:
+        if len(self.places) > self.most or self.sizes.sum() > self.most_chars:
             self.forget()
         every = list(chain.from_iterable(found))
         at = np.fromiter(map(self.places.get, every, repeat(-1)), np.int64, len(every))
@@ -80,7 +97,8 @@ class Memory:
             self.learn(list(dict.fromkeys(wanted)))
             at[unseen] = list(map(self.places.__getitem__, wanted))
         self.met += np.bincount(at, minlength=len(self.met))
-        return np.split(at, np.cumsum([len(segs) for segs in found])[:-1]) if found else []
+        ends = list(accumulate(map(len, found)))
+        return [at[a:b] for a, b in zip([0, *ends], ends)]
 
     def tokens(self, places: np.ndarray) -> np.ndarray:
         counts = self.counts[places]
