@@ -6,8 +6,8 @@ configuration is a multiset of lengths that fits a sequence. The covering progra
 configurations as cover every length's count) is solved by multiplicative weights: each
 length's dual weight starts at its size and falls as it gets covered; a knapsack dynamic
 program prices the configuration of largest dual value, which is then used for a small step.
-The fractional counts are rounded down, the program is solved again over what is left, and
-the last few pieces are placed best fit first.
+The fractional counts are rounded and the program is solved again over what is left, for the
+fullest configurations first. The pieces that no rounding places go best fit first.
 
 Pieces are then matched with places by their number within their length: counts per task and
 length give each task its first number, so no length is ranked in one task.
@@ -15,9 +15,11 @@ length give each task its first number, so no length is ranked in one task.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from mirador.sources.tables import stage
 
 from .registry import query, table
 from .segments import Memory, segments
-from .words import pieces
+from .words import lean, pieces, send
 
 CAPACITY = 1024
 STEP = 0.34
@@ -36,8 +38,8 @@ STEP = 0.34
 LONGER_FIRST = 1.03
 #: Fullest configurations first; what they cannot cover is left to emptier ones.
 FILLS = (1.0, 0.995, 0.97, 0.9, 0.0)
-#: Pieces that are placed one by one at the end; more are packed by the program again.
-SMALL_REST = 20_000
+#: Amounts of configurations so full are rounded to the nearest, those of others down.
+ALMOST_FULL = 0.995
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -148,19 +150,21 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[Configurat
     if rest.get(capacity):
         packed[((capacity, 1),)] = rest.pop(capacity)
     for least_fill in FILLS:
-        placed = True
-        while placed and sum(rest.values()) > SMALL_REST:
+        placed = 1
+        while placed and rest:
             placed = 0
             before = sum(rest.values())
             for configuration, amount in sorted(cover(rest, capacity, least_fill), key=lambda c: -c[1]):
-                whole = min([int(amount + 1e-6), *(rest[length] // copies for length, copies in configuration)])
+                # to the nearest whole number if the sequence is full, else down
+                wanted = int(amount + (0.5 if least_fill >= ALMOST_FULL else 1e-6))
+                whole = min([wanted, *(rest[length] // copies for length, copies in configuration)])
                 if whole:
                     packed[configuration] = packed.get(configuration, 0) + whole
                     placed += whole * sum(copies for _, copies in configuration)
                     for length, copies in configuration:
                         rest[length] -= copies * whole
             rest = {length: n for length, n in rest.items() if n > 0}
-            placed = placed if placed > 0.1 * before or not least_fill else 0
+            placed = placed if placed > 0.1 * before else 0
     for configuration, n in best_fit(rest, capacity).items():
         packed[configuration] = packed.get(configuration, 0) + n
     return packed
@@ -189,21 +193,16 @@ class Places:
         return self.sequence[at] + number - self.start[at], self.offset[at]
 
 
-_encoders: dict[str, Callable] = {}
+_memories: dict[str, Memory] = {}
 
 
 def memory_of(vocabulary: str, name: str) -> Memory:
-    """A new memory for one task, with this worker's tokenizer of the given file text.
-
-    It ends with the task: a worker that goes on to other stages does not carry it along.
-    """
-    if name not in _encoders:
+    """This worker's memory and tokenizer of the given file text, for one task after the other."""
+    if name not in _memories:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.encode_special_tokens = True  # their strings are ordinary text here
-
         vocabulary_of = tokenizer.get_vocab(with_added_tokens=False)
         widths = np.zeros(max(vocabulary_of.values()) + 1, dtype=np.int64)
         for token, i in vocabulary_of.items():
@@ -238,22 +237,37 @@ def memory_of(vocabulary: str, name: str) -> Memory:
             ends = np.cumsum(counts)
             return counts, ids[np.arange(len(ids)) + np.repeat(starts - ends + counts, counts)]
 
-        _encoders[name] = encode
-    return Memory(_encoders[name])
+        _memories[name] = Memory(encode)
+    return _memories[name]
+
+
+def added_tokens(vocabulary: str) -> re.Pattern | None:
+    """The strings that the tokenizer file takes out of a text before it is cut into words."""
+    added = json.loads(vocabulary).get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+    return re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")") if added else None
+
+
+def parts_of(text: str, added: re.Pattern | None) -> list[str]:
+    """Segments of a text; added tokens are segments, and no segment goes across them."""
+    if added is None or not added.search(text):
+        return segments(text)
+    return [s for k, part in enumerate(added.split(text)) for s in ([part] if k % 2 else segments(part))]
 
 
 def cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of every document, with the task that made them and their number there."""
     with open(path, encoding="utf-8") as file:
-        sent = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary file
+        sent = send(docs, file.read())  # a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = memory_of(sent.value, path)
+        memory, added = memory_of(sent.value, path), added_tokens(sent.value)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
                 rows = []
-                places = memory.places_of([segments(t or "") for t in batch.column("text").to_pylist()])
+                places = memory.places_of([parts_of(t or "", added) for t in batch.column("text").to_pylist()])
                 for doc_id, text_hash, found in zip(
                     batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), places
                 ):
@@ -273,7 +287,7 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, PIECES_DDL)
+    return rows.mapInArrow(lean(run), PIECES_DDL)
 
 
 def packed_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -281,7 +295,8 @@ def packed_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = C
 
     doc_id, text_hash (xxhash64 of the text), piece, start, length, ids_crc32, sequence_id,
     offset. ``path`` is a tokenizer file; every document's ids are followed by ``end_id``, so a
-    null or empty text is one piece of one token. Longer documents are cut so that only their
+    null or empty text is one piece of one token; strings of the file's added tokens have their own
+    ids, as the library has it. Longer documents are cut so that only their
     first piece is shorter than ``capacity``. Repeated rows and null ids are packed like
     others; an empty table gives no rows. Other columns are not looked at.
     """
@@ -304,9 +319,9 @@ def packed_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = C
                 names=[*[f.name for f in PIECES][:6], "sequence_id", "offset"],
             )
 
-    numbered = made.join(firsts.select("length", "task", "first"), ["length", "task"]).select(
-        *[f.name for f in PIECES][:6], (F.col("first") + F.col("number")).alias("nth")
-    )
+    of_task = firsts.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "first"))).alias("firsts"))
+    nth = F.element_at("firsts", F.col("length")) + F.col("number")
+    numbered = made.join(of_task, "task").select(*[f.name for f in PIECES][:6], nth.alias("nth"))
     ddl = PIECES_DDL.split(", task")[0] + ", sequence_id bigint, offset bigint"
     return numbered.mapInArrow(place, ddl)
 
