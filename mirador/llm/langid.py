@@ -3,8 +3,8 @@
 One model per language over the letters of lower-cased words, each word between blanks, up to
 ORDER characters a gram. Highest-order counts come from a bounded sample of labelled
 documents; lower orders use the number of distinct characters seen before a gram. All
-languages share one sorted array of gram hashes per order, with a row of discounted
-probabilities and one of back-off weights per gram. A text gets the language of lowest
+languages share one sorted array of gram hashes per order, with the discounted probabilities and
+back-off weights of the languages that have the gram. A text gets the language of lowest
 cross-entropy per character. The temperature of the score and the entropy above which a text
 is rejected are calibrated on sample documents that the models have not seen.
 """
@@ -12,6 +12,7 @@ is rejected are calibrated on sample documents that the models have not seen.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,16 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mirador.sources.tables import stage
 
 from .registry import query, table
-from .words import GOLDEN, mix, pieces
+from .words import GOLDEN, lean, mix, pieces, send
 
 ORDER = 4
-#: Distinct words whose characters are looked up in one go; bounds a task's memory.
-WORDS_AT_ONCE = 20_000
+#: Stands between words; no word has it.
+BLANK = ord(" ")
+#: Distinct words, times languages, whose characters are looked up in one go; bounds a task's memory.
+WORDS_AT_ONCE = 80_000
 UNKNOWN = "und"
 #: Every how-many-th sample document calibrates instead of counting.
 CALIBRATE = 5
-#: Languages a model may hold: each is a column of its tables.
-MOST_LANGUAGES = 1000
 
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 PREDICTED = pa.schema(
@@ -52,9 +53,9 @@ def letters() -> np.ndarray:
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, each followed by a blank (0), with blanks for what is no letter."""
-    points = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(letters()[points], points, 0), np.cumsum([len(w) + 1 for w in words])
+    """Code points of the words, each followed by a blank, with blanks for what is no letter."""
+    points = np.frombuffer(" ".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(letters()[points], points, np.uint32(BLANK)), np.cumsum([len(w) + 1 for w in words])
 
 
 def contexts(points: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -62,14 +63,14 @@ def contexts(points: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarr
 
     A place counts if it is a letter or the blank after one.
     """
-    before = np.concatenate([[0], points[:-1]]).astype(np.uint32)
-    events = (points != 0) | (before != 0)
+    before = np.concatenate([[BLANK], points[:-1]]).astype(np.uint32)
+    events = (points != BLANK) | (before != BLANK)
     back, inside = [points], np.ones(len(points), dtype=bool)
     for i in range(1, order):
-        shifted = np.concatenate([np.zeros(i, dtype=np.uint32), points[:-i] if i < len(points) else points[:0]])
+        shifted = np.concatenate([np.full(i, BLANK, dtype=np.uint32), points[:-i] if i < len(points) else points[:0]])
         shifted = shifted[: len(points)]
-        inside = inside & (shifted != 0)
-        back.append(np.where(inside, shifted, 0))
+        inside = inside & (shifted != BLANK)
+        back.append(np.where(inside, shifted, np.uint32(BLANK)))
     return back, events
 
 
@@ -82,14 +83,38 @@ def hashes(back: list[np.ndarray], size: int, skip: int = 0) -> np.ndarray:
     return out
 
 
+@dataclass
+class Sparse:
+    """Numbers by row and language: only those that differ from ``default`` are held."""
+
+    starts: np.ndarray  # of each row, and the end; the last row is empty
+    columns: np.ndarray
+    values: np.ndarray
+    default: float
+
+    @classmethod
+    def of(cls, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, default: float) -> Sparse:
+        order = np.lexsort((column, row))
+        starts = np.searchsorted(row[order], np.arange(rows + 2))
+        return cls(starts, column[order].astype(np.int32), value[order], default)
+
+    def dense(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.full((len(rows), width), self.default)
+        first, size = self.starts[rows], np.diff(self.starts)[rows]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+        out[np.repeat(np.arange(len(rows)), size), self.columns[at]] = self.values[at]
+        return out
+
+
 @dataclass
 class Models:
     """Sorted gram hashes per order; per gram and language, probability and back-off weight."""
 
     languages: list[str]
     keys: list[np.ndarray]
-    shares: list[np.ndarray]
-    weights: list[np.ndarray]  # by the order of the context
+    shares: list[Sparse]
+    weights: list[Sparse]  # by the order of the context
     floor: np.ndarray
     start: np.ndarray  # weight of the floor under single characters
     temperature: float = 1.0
@@ -108,11 +133,15 @@ class Models:
         back, events = contexts(points, len(self.keys))
         at = np.flatnonzero(events)
         back = [b[at] for b in back]
-        probability = np.broadcast_to(self.floor, (len(at), len(self.languages))).astype(np.float64)
+        width = len(self.languages)
+        probability = np.broadcast_to(self.floor, (len(at), width)).astype(np.float64)
         for level in range(len(self.keys)):
-            weight = self.weights[level - 1][self.find(level - 1, hashes(back, level, skip=1))] if level else self.start
-            probability = probability * weight
-            probability = probability + self.shares[level][self.find(level, hashes(back, level + 1))]
+            if level:
+                context = self.find(level - 1, hashes(back, level, skip=1))
+                probability *= self.weights[level - 1].dense(context, width)
+            else:
+                probability *= self.start
+            probability += self.shares[level].dense(self.find(level, hashes(back, level + 1)), width)
         total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(np.log(probability), axis=0)])
         until = np.searchsorted(at, np.concatenate([[0], ends]))
         return np.diff(total[until], axis=0), np.diff(until)
@@ -123,14 +152,20 @@ class Models:
         words = [w for ws in split for w in ws]
         if not words or not self.languages:
             return np.zeros((len(found), len(self.languages))), np.zeros(len(found), dtype=np.int64)
-        codes, distinct = pd.factorize(np.array(words, dtype=object))
-        parts = [self.log_probabilities(list(distinct[at : at + WORDS_AT_ONCE])) for at in range(0, len(distinct), WORDS_AT_ONCE)]
+        distinct = list(dict.fromkeys(words))
+        number = {w: k for k, w in enumerate(distinct)}
+        codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        step = max(1, WORDS_AT_ONCE // len(self.languages))
+        parts = [self.log_probabilities(distinct[at : at + step]) for at in range(0, len(distinct), step)]
         logs, sizes = (np.concatenate(c) for c in zip(*parts))
         ends = np.cumsum([0] + [len(ws) for ws in split])
-        total = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs[codes], axis=0)])
-        count = np.concatenate([[0], np.cumsum(sizes[codes])])
-        characters = np.diff(count[ends])
-        return -np.diff(total[ends], axis=0) / np.maximum(characters, 1)[:, None], characters
+
+        def per_text(of_words: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(of_words[codes])])[ends])
+
+        characters = per_text(sizes)
+        total = np.stack([per_text(logs[:, k]) for k in range(logs.shape[1])], axis=1)
+        return -total / np.maximum(characters, 1)[:, None], characters
 
     def predict(self, found: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and cross-entropy; without letters ``und``, 0 and 0."""
@@ -147,8 +182,9 @@ class Models:
 
 def smoothed(counts: pd.DataFrame, order: int) -> Models:
     """Interpolated Kneser-Ney tables from highest-order gram counts (lang, gram, n)."""
-    languages = sorted(counts["lang"].unique())
+    languages = sorted(set(counts["lang"]))
     column = {name: i for i, name in enumerate(languages)}
+    counts = counts.assign(lang=[column[name] for name in counts["lang"]])  # numbers are safe to group by
     alphabet = len(set("".join(counts["gram"].str[-1]))) + 1
     levels, frame = [], counts
     for size in range(order, 0, -1):
@@ -178,33 +214,34 @@ def smoothed(counts: pd.DataFrame, order: int) -> Models:
         key = hashed(grams)
         by_key = np.argsort(key)
         row = {grams[k]: i for i, k in enumerate(by_key)}
-        share = np.zeros((len(grams) + 1, len(languages)))
-        share[frame["gram"].map(row), frame["lang"].map(column)] = frame["share"]
-        weight = np.ones((len(grams) + 1, len(languages)))
+        held = (frame["gram"].map(row).to_numpy(), frame["lang"].to_numpy(), frame["share"].to_numpy())
+        none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        known = none
         if following is not None:
-            weight[following["context"].map(row), following["lang"].map(column)] = following["weight"]
+            known = (following["context"].map(row).to_numpy(), following["lang"].to_numpy(), following["weight"].to_numpy())
         keys.append(key[by_key])
-        shares.append(share)
-        weights.append(weight)
-    first = tables[0][1].set_index("lang")["weight"]
-    start = np.array([first[name] for name in languages])
+        shares.append(Sparse.of(*held, len(grams), 0.0))
+        weights.append(Sparse.of(*known, len(grams), 1.0))
+    start = tables[0][1].set_index("lang")["weight"].loc[range(len(languages))].to_numpy()
     return Models(languages, keys, shares, weights, np.full(len(languages), 1 / alphabet), start)
 
 
 def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) of all highest-order grams; blanks are the character 0."""
+    """(lang, gram, n) of all highest-order grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
-                for lang, found in frame.groupby("lang")["text"]:
-                    words = pd.Series([w for t in found if t for w in t.lower().split()], dtype=object).value_counts()
-                    if not len(words):
+                by_lang: dict[str, Counter] = {}
+                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                    by_lang.setdefault(lang, Counter()).update((text or "").lower().split())
+                for lang, words in by_lang.items():
+                    if not words:
                         continue
-                    points, ends = spelled(list(words.index))
+                    points, ends = spelled(list(words))
                     back, events = contexts(points, order)
-                    weight = np.repeat(words.to_numpy(), np.diff(np.concatenate([[0], ends])))[events]
+                    times = np.fromiter(words.values(), np.int64, len(words))
+                    weight = np.repeat(times, np.diff(np.concatenate([[0], ends])))[events]
                     columns = np.stack([b[events] for b in back[::-1]], axis=1)
                     if not len(columns):
                         continue
@@ -217,7 +254,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
 
     return (
         docs.select("lang", "text")
-        .mapInArrow(run, "lang string, gram string, n bigint")
+        .mapInArrow(lean(run), "lang string, gram string, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -230,17 +267,10 @@ def learn(docs: DataFrame, sample_docs: int = 1000, order: int = ORDER, quantile
     ones; their number bounds the model. Rows without a lang or without text teach nothing.
     """
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return Models([], [], [], [], np.zeros(0), np.zeros(0))
+    shares = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample_docs / r["count"])).otherwise(share)
     sample = stage(
-        labelled.filter(drawn < share).select(
+        labelled.join(stage(shares, "language-shares"), "lang").filter(drawn < F.col("share")).select(
             "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0).alias("calibrates")
         ),
         "language-sample",
@@ -257,7 +287,7 @@ def learn(docs: DataFrame, sample_docs: int = 1000, order: int = ORDER, quantile
 
 def calibrate(models: Models, sample: DataFrame, quantile: float, slack: float) -> None:
     """Set the temperature that fits the labels best, and the entropy of rejection."""
-    sent = sample.sparkSession.sparkContext.broadcast(models)
+    sent = send(sample, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -269,7 +299,7 @@ def calibrate(models: Models, sample: DataFrame, quantile: float, slack: float)
                     names=["lang", "entropy"],
                 )
 
-    rows = sample.filter("calibrates").select("lang", "text").mapInArrow(run, "lang string, entropy array<double>").toPandas()
+    rows = sample.filter("calibrates").select("lang", "text").mapInArrow(lean(run), "lang string, entropy array<double>").toPandas()
     rows = rows[rows["lang"].isin(models.languages)]
     if not len(rows):
         return
@@ -294,7 +324,7 @@ def predictions(docs: DataFrame, models: Models) -> DataFrame:
     rows and null ids are judged like others. Without any learned language every row is
     ``und``. The models' size is bounded by their sample, so they are sent to the workers once.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    sent = send(docs, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -308,7 +338,7 @@ def predictions(docs: DataFrame, models: Models) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
     limit = models.most_entropy
-    return rows.mapInArrow(run, PREDICTED_DDL).withColumn(
+    return rows.mapInArrow(lean(run), PREDICTED_DDL).withColumn(
         "rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("entropy") > F.lit(limit))
     )
 
