@@ -7,7 +7,8 @@ lines is rejected as depleted. Texts are read twice: for the counts, and to cut
 
 Documents are distinct by a hash of their whole text, lower-cased and with single blanks, so that
 copies of one text count once and do not turn its lines into boilerplate, and pages that share all
-but a few words count each. A removed line stays in the first document of its host that has it.
+but a few words count each. A removed line stays in the first document of its host that has
+it, so that one of many near copies is left for later stages.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql.types import StructType
 from mirador.sources.tables import stage
 
 from .registry import query, table
-from .words import mix, pieces, texts, windows, word_hashes
+from .words import lean, mix, pieces, send, texts, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -122,7 +123,7 @@ def removals(batch: pa.RecordBatch, lookup: Lookup | None) -> Iterator[Callable[
     else:
         for doc_id, host in zip(batch.column("doc_id").to_pylist(), batch.column("host").to_pylist()):
             first = lookup.get(host)
-            yield first and (lambda key, first=first, doc_id=doc_id: key in first and first[key] != doc_id)
+            yield first and (lambda key, first=first, doc_id=doc_id: key in first and (doc_id is None or first[key] != doc_id))
 
 
 def measure(batch: pa.RecordBatch, lookup: Lookup | None) -> pa.RecordBatch:
@@ -151,7 +152,7 @@ def in_pieces(function: Callable[[pa.RecordBatch], pa.RecordBatch]):
             for batch in pieces(whole, "text"):
                 yield function(batch)
 
-    return run
+    return lean(run)
 
 
 def keyed(docs: DataFrame, host: str, *more: Column) -> DataFrame:
@@ -164,11 +165,13 @@ def keyed(docs: DataFrame, host: str, *more: Column) -> DataFrame:
     )
 
 
-def frequent_lines(rows: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+def frequent_lines(rows: DataFrame, line_docs: int, line_share: float, least_docs: int) -> DataFrame:
     """(host, line, first_id) of the lines above the limits."""
     lines = rows.select("doc_id", "host", "content", F.explode("lines").alias("line"))
     limits = rows.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(
-        F.greatest(F.lit(float(line_docs)), F.count("one") * F.lit(line_share)).alias("most")
+        F.least(
+            F.lit(float(line_docs)), F.greatest(F.lit(float(least_docs)), F.count("one") * F.lit(line_share))
+        ).alias("most")
     )
     # documents of a line: equal contents first, so that a frequent line is counted in parts
     return (
@@ -176,7 +179,7 @@ def frequent_lines(rows: DataFrame, line_docs: int, line_share: float) -> DataFr
         .agg(F.min("doc_id").alias("first_id"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("documents"), F.min("first_id").alias("first_id"))
-        .filter(F.col("documents") > line_docs)
+        .filter(F.col("documents") > min(line_docs, least_docs))
         .join(limits, "host")
         .filter("documents > most")
         .select("host", "line", "first_id")
@@ -187,7 +190,9 @@ def cleaned(
     docs: DataFrame,
     host: str = "source",
     line_docs: int = 50,
-    line_share: float = 0.005,
+    line_share: float = 0.1,
+    least_docs: int = 5,
+    keep_first: bool = True,
     depleted: float = 0.3,
     min_words: int = 50,
     repeat_percent: int = 50,
@@ -197,7 +202,8 @@ def cleaned(
     doc (the row's columns but the text, as they are), doc_id, text_hash (xxhash64 of the text
     given), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, text
     (without the removed lines), base_failed, kept. A line is removed if more than ``line_docs``
-    distinct documents of its host and more than the share ``line_share`` of them have it; a
+    distinct documents of its host have it or, in a small host, more than the share ``line_share``
+    of them and than ``least_docs``; with ``keep_first`` it stays in the first of them. A
     document is depleted if less than the share ``depleted`` of its words remains. The counts but
     removed_words, and the base rules, are those of the text given.
 
@@ -207,7 +213,10 @@ def cleaned(
     Very long texts are read whole. An empty table gives no rows.
     """
     rows = stage(keyed(docs, host).mapInArrow(in_pieces(listed), LINES_DDL), "line-lists")
-    frequent = stage(frequent_lines(rows, line_docs, line_share), "line-frequent")
+    frequent = frequent_lines(rows, line_docs, line_share, least_docs)
+    if not keep_first:
+        frequent = frequent.withColumn("first_id", F.lit(None).cast("bigint"))
+    frequent = stage(frequent, "line-frequent")
     whole = keyed(docs, host, F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("doc"))
     lookup = None
     if frequent.count() <= LOOKUP_LINES:
@@ -219,14 +228,14 @@ def cleaned(
         cuts = (
             rows.select(*names, F.explode("lines").alias("line"))
             .join(frequent, ["host", "line"])
-            .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+            .filter(F.col("doc_id").isNull() | F.col("first_id").isNull() | (F.col("doc_id") != F.col("first_id")))
             .groupBy(*names)
             .agg(F.collect_set("line").alias("cut"))
         )
         cuts = stage(cuts.select(*[F.col(c).alias(f"cut_{c}") for c in names], "cut"), "line-cuts")
         same = [F.col(c).eqNullSafe(F.col(f"cut_{c}")) for c in names]
         whole = whole.join(cuts, same, "left").drop(*[f"cut_{c}" for c in names])
-    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+    shared = send(docs, lookup)
     schema = StructType([whole.schema["doc"]])
     for c in ["doc_id", "text_hash", *COLUMNS, "removed_words"]:
         schema = schema.add(c, "long")

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -61,7 +63,8 @@ def test_bpe_words_of_any_shape(vocabularies):
     odd += ["=" * 200, "a" * 999, "abcabc" * 50, "é" * 40]
     odd += ["".join(rng.choice(list("abcdefgh "), size=int(n))) for n in rng.integers(1, 300, 60)]
     codec = bpe.Codec(ranks, pattern)
-    ids = codec.encode(odd)
+    ids, spelled = codec.encode(odd)
+    assert spelled == [",".join(map(str, i.tolist())) for i in ids]
     assert [i.tolist() for i in ids] == [library.encode_ordinary(t) for t in odd]
     assert codec.decode(ids) == [t.encode() for t in odd]
 
@@ -95,6 +98,31 @@ def test_packing(docs, vocabularies):
     assert len(places) <= math.ceil(total / 1024) * 1.01 + 2
 
 
+def test_packing_has_added_tokens_as_the_library(spark, vocabularies):
+    path = vocabularies["byte_bpe_50k.json"]
+    library = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b.", "x <|endoftext|", "<|endof text|>. <|endoftext|>."]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id int, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.packed_pieces(docs, path).collect()}
+    for i, text in enumerate(texts * 3):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+    assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("number", [60, 1500, 19_000, 21_000])
+def test_small_and_large_tables_go_through_the_program(number, monkeypatch):
+    """Most pieces are placed by configurations of the program, at any size."""
+    lengths = np.minimum(np.random.default_rng(number).geometric(1 / 300, number), 1024)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+    left = []
+    whole = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda rest, capacity: left.append(sum(rest.values())) or whole(rest, capacity))
+    packed = packing.pack(histogram)
+    assert left[0] <= (0.9 if number < 1000 else 0.6) * number
+    assert sum(packed.values()) <= sum(whole(histogram, 1024).values()) * 1.005 + 1
+
+
 @pytest.mark.parametrize("kind", ["uniform", "long", "short", "one"])
 def test_configurations_hold_the_histogram(kind):
     rng = np.random.default_rng(1)
@@ -145,11 +173,12 @@ def test_lm_scores(docs, sizes):
     rows = rows_of(docs)
     held = [zlib.crc32(str(i if i is not None else "").encode()) % 10 == 0 for i, _ in rows]
     condition = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
-    got = multiset(map(tuple, lm.score(docs, condition, **sizes).collect()))
-    want = multiset(brute_scores(rows, held, lm.DISCOUNT, lm.PRIOR))
-    assert [g[:5] for g in sorted(got, key=lambda r: str(r[:5]))] == [w[:5] for w in sorted(want, key=lambda r: str(r[:5]))]
-    assert sorted(g[5] for g in got) == pytest.approx(sorted(w[5] for w in want), rel=1e-9)
-    assert sorted(g[6] for g in got) == pytest.approx(sorted(w[6] for w in want), rel=1e-2)
+    paired = lambda found: sorted(map(tuple, found), key=lambda r: (str(r[:5]), r[5]))
+    got = paired(lm.score(docs, condition, **sizes).collect())
+    want = paired(brute_scores(rows, held, lm.DISCOUNT, lm.PRIOR))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
+    assert [g[6] for g in got] == pytest.approx([w[6] for w in want], rel=1e-2)
 
 
 def test_lm_without_teachers(odd_documents):
@@ -196,15 +225,87 @@ def test_language_of_held_out_documents(documents):
     assert sum(r.rejected for r in rows) <= 0.02 * len(rows)
 
 
+def plain_kneser_ney(words_of, order):
+    """Probability of a character after others, from the formula; words are padded with blanks."""
+    models = {}
+    for lang, words in words_of.items():
+        grams = collections.Counter()
+        for word, n in words.items():
+            shown = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in word)
+            for part in shown.split():
+                line = " " * (order - 1) + part + " "
+                for i in range(order - 1, len(line)):
+                    grams[line[i - order + 1 : i + 1]] += n
+        levels = [grams]
+        for _ in range(order - 1):
+            lower = collections.Counter()
+            for gram in levels[0]:
+                lower[gram[1:]] += 1
+            levels.insert(0, lower)
+        models[lang] = levels
+    alphabet = len({g[-1] for levels in models.values() for g in levels[-1]}) + 1
+
+    def probability(lang, context, char):
+        p = 1 / alphabet
+        for size, counts in enumerate(models[lang]):
+            before = context[len(context) - size :]
+            once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+            d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+            seen = [n for g, n in counts.items() if g[:-1] == before]
+            if seen:
+                spread = 1 - sum(max(n - d, 0) for n in seen) / sum(seen)
+                p = max(counts[before + char] - d, 0) / sum(seen) + spread * p
+        return p
+
+    return probability, models
+
+
+def test_language_models_are_kneser_ney(spark):
+    """Tables, cross-entropies and sums over the alphabet against the plain formula."""
+    rng = np.random.default_rng(9)
+    words_of = {
+        lang: collections.Counter("".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(120))
+        for lang, letters in (("a", "xyzé"), ("b", "xyq漢"), ("c", "z"))
+    }
+    words_of["a"].update({"x\0y": 3, "1x": 2, "\0\0": 1, "é1": 5})
+    rows = [(lang, " ".join([w] * n)) for lang, words in words_of.items() for w, n in words.items()]
+    frame = langid.count_grams(spark.createDataFrame(rows, "lang string, text string"), 4).toPandas()
+    models = langid.smoothed(frame, 4)
+    probability, plain = plain_kneser_ney(words_of, 4)
+    for word in ["x", "xyz", "zzzzz", "q", "é漢x", "unknown", "yx"]:
+        logs, characters = models.log_probabilities([word])
+        assert characters.tolist() == [len(word) + 1]
+        line = "   " + word + " "
+        for k, lang in enumerate(models.languages):
+            want = sum(math.log(probability(lang, line[i - 3 : i], line[i])) for i in range(3, len(line)))
+            assert logs[0, k] == pytest.approx(want, rel=1e-12)
+    for lang, levels in plain.items():
+        letters = {g[-1] for of in plain.values() for g in of[-1]}
+        for context in {g[:-1] for g in levels[-1]} | {"   ", "qqq"}:
+            # what is not in any alphabet shares one place
+            assert sum(probability(lang, context, c) for c in [*letters, "unseen"]) == pytest.approx(1)
+
+
+def test_many_languages(spark):
+    """More languages than a dense table would be made for; no limit on their number."""
+    letters = [chr(0x4E00 + i) for i in range(1200)]
+    rows = [(i, (c + " ") * 5, f"l{i:04d}") for i, c in enumerate(letters)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = langid.learn(docs)
+    assert len(models.languages) > 900
+    known = [i for i in range(1200) if f"l{i:04d}" in models.languages][:20]
+    assert models.predict([letters[i] for i in known])[0] == [f"l{i:04d}" for i in known]
+
+
 def test_language_probabilities_add_up():
     import pandas as pd
 
     counts = pd.DataFrame(
-        [(lang, gram, n) for lang, gram, n in [("a", "\0\0\0x", 5), ("a", "\0\0xy", 4), ("a", "\0xy\0", 4), ("a", "\0\0x\0", 1), ("b", "\0\0\0y", 2), ("b", "\0\0y\0", 2)]],
+        [(lang, gram, n) for lang, gram, n in [("a", "   x", 5), ("a", "  xy", 4), ("a", " xy ", 4), ("a", "  x ", 1), ("b", "   y", 2), ("b", "  y ", 2)]],
         columns=["lang", "gram", "n"],
     )
     models = langid.smoothed(counts, 4)
-    # the events after a blank: x, y, the blank of an empty word (0) and one unseen letter
+    # the events after a blank: x, y, the blank of an empty word and one unseen letter
     total = np.zeros(2)
     for word in ("x", "y", "q"):
         logs, _ = models.log_probabilities([word])
@@ -263,7 +364,56 @@ def test_line_frequency(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     kept = {r.doc_id for r in linefreq.quality(docs, line_docs=20, line_share=0.0).filter("kept").collect()}
     assert kept == {0, *range(30, 60), *range(100, 105), *range(200, 240)}
-    assert linefreq.quality(docs, line_docs=20, line_share=1.0).filter("kept").count() == len(rows)
+    assert linefreq.quality(docs, line_docs=100, line_share=1.0).filter("kept").count() == len(rows)
+    assert not {0, *range(30)} & {r.doc_id for r in linefreq.quality(docs, line_docs=20, keep_first=False).filter("kept").collect()}
+
+
+def lines_by_hand(rows, line_docs, line_share, least_docs, keep_first=True):
+    """removed_words and kept of each row, from plain counts."""
+    rows = [(i, (t or "").encode(), h) for i, t, h in rows]
+    key = lambda line: re.sub(b"[1-9]", b"0", b" ".join(line.lower().split()))
+    split = lambda text: [part for part in text.split(b"\n") if part.split()]
+    contents, docs, first = collections.defaultdict(set), collections.defaultdict(set), {}
+    for doc_id, text, host in rows:
+        content = b" ".join(text.split()).lower()
+        contents[host or ""].add(content)
+        for line in {key(line) for line in split(text)}:
+            docs[host or "", line].add(content)
+            if doc_id is not None:
+                first[host or "", line] = min(first.get((host or "", line), doc_id), doc_id)
+    out = []
+    for doc_id, text, host in rows:
+        host, removed = host or "", 0
+        limit = min(line_docs, max(least_docs, line_share * len(contents[host])))
+        for line in split(text):
+            stays = keep_first and doc_id is not None and first[host, key(line)] == doc_id
+            removed += len(line.split()) if len(docs[host, key(line)]) > limit and not stays else 0
+        out.append((doc_id, removed, len(text.split()) - removed >= 0.3 * len(text.split())))
+    return out
+
+
+@pytest.mark.parametrize("limits", [(50, 0.1, 5, True), (8, 0.5, 2, False), (3, 0.0, 1, True)])
+def test_line_frequency_by_hand(spark, data, limits):
+    documents = spark.read.parquet(f"{os.path.dirname(data)}/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in documents.select("doc_id", "text", "source").collect()]
+    got = linefreq.quality(documents, **dict(zip(["line_docs", "line_share", "least_docs", "keep_first"], limits))).collect()
+    want = lines_by_hand(rows, *limits)
+    assert sum(w[1] > 0 for w in want) > 0
+    assert multiset((r.doc_id, r.removed_words, r.kept) for r in got if not r.base_failed) == multiset(
+        w for w, failed in zip(want, [base_rules(t)[-1] for _, t, _ in rows]) if not failed
+    )
+
+
+def test_a_hot_host_and_a_small_one_lose_the_same_lines(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    common = words(9)
+    rows = [(i, common + "\n" + words(60), "small") for i in range(8)]
+    rows += [(100 + i, common + "\n" + words(60), "hot") for i in range(60)]
+    rows += [(1000 + i, words(60), "hot") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    removed = {r.doc_id for r in linefreq.quality(docs).filter("removed_words > 0").collect()}
+    assert removed == {*range(1, 8), *range(101, 160)}
 
 
 def test_line_frequency_of_template_pages(spark):
@@ -285,7 +435,7 @@ def test_frequent_lines_leave_the_text(spark, monkeypatch, lookup_lines):
 
     monkeypatch.setattr(linefreq, "LOOKUP_LINES", lookup_lines)
     rng = np.random.default_rng(7)
-    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    words = lambda n: " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (n, 9)))
     head, foot = words(8), words(4) + " 1"
     own = {i: words(60) + "\n\n  " + words(20) for i in range(60)}
     text = lambda i: f"{head.upper()}\n{own[i]}\n {foot[:-1]}{i:02d}\n{head}"
