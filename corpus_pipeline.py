@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mirador.llm import langid, linefreq, neardup, packing
-from mirador.session import tune
+from mirador.llm.registry import prepared
+from mirador.llm.words import unsend
 from mirador.sources.tables import stage
 from mirador.sources.workspace import scratch
 
@@ -28,7 +29,11 @@ def without(docs: DataFrame, rejected: DataFrame, how: str = "left_anti") -> Dat
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letters or fit no learned language."""
+    """Without documents that have no letters or fit no learned language.
+
+    Null and empty texts have no letters and go. Repeated rows, and rows without an id, are judged
+    each; without any known language all rows go.
+    """
     models = langid.learn(langid.teachers(docs))
     return without(docs, langid.predictions(docs, models).filter("rejected"))
 
@@ -36,7 +41,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines above the limits, and without documents that fail the base rules or are depleted.
 
-    ``n_chars``, where there is one, is that of the text that is left.
+    ``n_chars``, where there is one, is that of the text that is left. Null and empty texts fail the
+    base rules and go. Repeated rows are judged each and count as one document of their host; a row
+    without an id is judged like others.
     """
     kept = linefreq.cleaned(docs).filter("kept")
     columns = {c: F.col("doc")[c].alias(c) for c in docs.columns} | {"text": F.col("text")}
@@ -50,7 +57,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate component, in one row.
 
     Of several texts under the first id, or without any id, the one of least hash stays. Of rows
-    that repeat an id and a text, any one stays, also where the text is empty.
+    that repeat an id and a text, the least by its other columns stays, also where the text is empty.
     """
     key = ["doc_id", "text_hash"]
     found = stage(neardup.grouped(docs).select(*key, "label", "kept"), "components")
@@ -61,11 +68,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = stage(first.filter("copies > 1").select(*key), "repeated")
     if repeated.isEmpty():
         return one
-    return without(one, repeated).unionByName(without(one, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = without(one, repeated, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("doc_id", *rest)).alias("row"))
+    again = again.select(*[F.col(c) if c in ("doc_id", "text") else F.col("row")[c].alias(c) for c in docs.columns])
+    return without(one, repeated).unionByName(again)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in training sequences of 1024 tokens."""
+    """The pieces of the remaining documents in training sequences of 1024 tokens.
+
+    Null and empty texts are one end token each; repeated rows, and rows without an id, are packed
+    each; an empty table gives no rows.
+    """
     return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text_hash")
 
 
@@ -82,9 +96,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's rows are the next one's documents."""
-    folder = scratch(tune(spark), "pipeline")
+    folder = scratch(prepared(spark), "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
         function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        unsend()  # models and lookups of this stage
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
