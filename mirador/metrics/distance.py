@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mirador.operators.ordered import ROWS_PER_BUCKET, Running, running
@@ -98,3 +101,65 @@ def sliced_wasserstein(
     long = unpivot(lines, [roles.t], [f"p{i}" for i in range(projections)], "projection", "value")
     costs = wasserstein(long, ["projection"], "value", roles.t, rows_per_bucket)
     return costs.agg(F.avg("w1").alias("sliced_w1"), F.avg("w2_squared").alias("sliced_w2_squared"))
+
+
+def frequencies(dim: int, features: int, scale: float, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Seeded frequencies and phases of cosines whose products stand for a Gaussian kernel of width ``scale``."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(features, dim)) / scale, rng.uniform(0, 2 * np.pi, features)
+
+
+def mean_discrepancy(
+    df: DataFrame, vector: str, dim: int, t: str, features: int = 128, scale: float | None = None,
+    seed: int = 42, weight: str | None = None,
+) -> DataFrame:
+    """Squared kernel mean discrepancy of the arms over a column of vectors, as one row (mmd2, n1, n0).
+
+    The kernel is Gaussian, written as random cosine features, so the cost is one pass: every
+    partition returns its sums per arm and feature, and their differences are squared and added.
+    ``scale`` is by default the square root of ``dim``. Rows without a vector, of another length or
+    with missing components take no part; rows count by ``weight`` if given. Without rows in an arm
+    mmd2 is null.
+    """
+    frequency, phase = frequencies(dim, features, scale or dim ** 0.5, seed)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((2, features)), np.zeros(2)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                arm, times = batch.column("_t").to_numpy(), batch.column("_w").to_numpy()
+                shown = np.cos(x @ frequency.T + phase)
+                for side in (0, 1):
+                    own = np.where(arm == side, times, 0.0)
+                    total[side] += own @ shown
+                    count[side] += own.sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(features)), *map(pa.array, total[::-1]), *[pa.array(np.full(features, n)) for n in count[::-1]]],
+            names=["k", "s1", "s0", "n1", "n0"],
+        )
+
+    known = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = df.select(
+        F.col(vector).cast("array<double>").alias("_v"), F.col(t).cast("int").alias("_t"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
+    ).filter((F.size("_v") == dim) & known & F.col("_t").isNotNull() & F.col("_w").isNotNull())
+    parts = rows.mapInArrow(sums, "k bigint, s1 double, s0 double, n1 double, n0 double")
+    per_feature = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("s1", "s0", "n1", "n0")])
+    mean = lambda side: F.col(f"s{side}") / F.nullif(F.col(f"n{side}"), F.lit(0.0))
+    gap = mean(1) - mean(0)
+    return per_feature.agg(
+        (F.sum(gap * gap) * F.lit(2.0 / features)).alias("mmd2"), F.max("n1").alias("n1"), F.max("n0").alias("n0")
+    )
+
+
+def by_phase(phases: dict[str, tuple[DataFrame, str, int]], t: str, **settings) -> DataFrame:
+    """The mean discrepancy of several tables (rows, vector column, its length), a row for each by name."""
+    found = [
+        mean_discrepancy(rows, vector, dim, t, **settings).select(F.lit(name).alias("phase"), "*")
+        for name, (rows, vector, dim) in phases.items()
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

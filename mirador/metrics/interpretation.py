@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from mirador.functions.numeric import hex_uniform
 from mirador.operators.ordered import ROWS_PER_BUCKET, ordered_rank, quantiles
 from mirador.operators.summaries import unpivot
 
@@ -23,6 +28,8 @@ def _poisson_steps(resolution: float = 2.0**-32) -> tuple[float, ...]:
 
 POISSON_ONE = _poisson_steps()
 DRAWS_PER_DIGEST = 4
+#: Rows whose weights a task makes at a time, and groups that it holds sums of.
+ROWS_AT_ONCE, GROUPS_HELD = 500, 200
 
 
 def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -62,12 +69,49 @@ def describe_by(
     )
 
 
-def poisson_weight(u: Column) -> Column:
-    """How often a row is drawn in one resample: inverse distribution function at u."""
-    out = F.when(u < POISSON_ONE[0], 0)
-    for k, bound in enumerate(POISSON_ONE[1:], start=1):
-        out = out.when(u < bound, k)
-    return out.otherwise(len(POISSON_ONE))
+def resample_weights(ids: list[str], seed: int, resamples: int) -> np.ndarray:
+    """How often each id is drawn in each resample: Poisson(1) numbers from 32 bits of its digests."""
+    digests = -(-resamples // DRAWS_PER_DIGEST)
+    tails = [f"|{k}".encode() for k in range(digests)]
+    raw = b"".join(hashlib.md5(head + tail).digest() for i in ids for head in (f"{seed}|{i}".encode(),) for tail in tails)
+    uniform = np.frombuffer(raw, dtype=">u4").reshape(len(ids), -1)[:, :resamples] / 4294967296.0
+    return np.searchsorted(POISSON_ONE, uniform, side="right").astype(np.float64)
+
+
+def resampled_sums(
+    batches: Iterator[pa.RecordBatch], resamples: int, columns: int, seed: int, key: pa.DataType
+) -> Iterator[pa.RecordBatch]:
+    """Per group of a partition, one row per resample: weighted sums and weights of each column.
+
+    The accumulator is groups x resamples x columns; with too many groups it is given out and
+    started again.
+    """
+    names = ["_key", "_replicate", *[f"{part}{i}" for part in "sn" for i in range(columns)]]
+    held: dict = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for value, (total, weight) in held.items():
+            parts = [pa.array(c) for side in (total, weight) for c in side.T]
+            yield pa.RecordBatch.from_arrays([pa.array([value] * resamples, key), pa.array(np.arange(resamples)), *parts], names=names)
+        held.clear()
+
+    for whole in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
+            weights = resample_weights(batch.column("_id").to_pylist(), seed, resamples)
+            values = np.column_stack([batch.column(f"_c{i}").to_numpy(zero_copy_only=False) for i in range(columns)])
+            known = np.column_stack([batch.column(f"_c{i}").is_valid().to_numpy(zero_copy_only=False) for i in range(columns)])
+            values = np.where(known, values, 0.0)
+            coded = batch.column("_key").dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy()
+            for code, value in enumerate(coded.dictionary.to_pylist()):
+                own = codes == code
+                if value not in held:
+                    held[value] = (np.zeros((resamples, columns)), np.zeros((resamples, columns)))
+                held[value][0][:] += weights[own].T @ values[own]
+                held[value][1][:] += weights[own].T @ known[own].astype(np.float64)
+            if len(held) > GROUPS_HELD:
+                yield from rows()
+    yield from rows()
 
 
 def bootstrap(
@@ -77,36 +121,28 @@ def bootstrap(
     """Percentile interval of each column's mean in each group, with mean and median.
 
     Poisson resampling: in every replicate a row counts as often as a Poisson(1) number
-    drawn from its own id says, so a replicate is a weighted sum and map-side aggregation
-    leaves groups × replicates rows to shuffle, whatever the size of a group. Groups with
-    fewer than ``min_rows`` rows are left out.
+    drawn from its own id says, so a replicate is a weighted sum. Every row is read once: a batch's
+    weight matrix is multiplied with its columns and added to the partition's sums, which leaves
+    groups × replicates rows of a partition to shuffle, whatever the size of a group. Groups
+    with fewer than ``min_rows`` rows are left out.
     """
+    columns = len(cols)
     narrow = df.select(
-        group, F.col(id).cast("string").alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]
+        F.col(group).alias("_key"), F.coalesce(F.col(id).cast("string"), F.lit("")).alias("_id"),
+        *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)],
     )
-    digests = -(-resamples // DRAWS_PER_DIGEST)
-    drawn = narrow.withColumn("_digest_no", F.explode(F.sequence(F.lit(0), F.lit(digests - 1))))
-    drawn = drawn.withColumn(
-        "_digest",
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_id"), F.col("_digest_no").cast("string"))),
-    )
-    weights = [poisson_weight(hex_uniform(F.col("_digest"), d)) for d in range(DRAWS_PER_DIGEST)]
-    drawn = drawn.withColumns({f"_w{d}": w for d, w in enumerate(weights)})
-    sums = drawn.groupBy(group, "_digest_no").agg(*[
-        F.sum(F.when(F.col(c).isNotNull(), F.col(f"_w{d}")) * factor).alias(f"{part}{d}_{i}")
-        for d in range(DRAWS_PER_DIGEST)
-        for i, c in enumerate(cols)
-        for part, factor in (("s", F.col(c)), ("n", F.lit(1)))
-    ])
+    key = to_arrow_type(narrow.schema["_key"].dataType)
+    schema = StructType([narrow.schema["_key"]]).add("_replicate", "long")
+    for part in "sn":
+        for i in range(columns):
+            schema = schema.add(f"{part}{i}", "double")
+    parts = narrow.mapInArrow(lambda batches: resampled_sums(batches, resamples, columns, seed, key), schema)
+    sums = parts.groupBy("_key", "_replicate").agg(*[F.sum(f"{p}{i}").alias(f"{p}{i}") for p in "sn" for i in range(columns)])
     means = F.array(*[
-        F.struct(
-            (F.col("_digest_no") * DRAWS_PER_DIGEST + d).alias("_replicate"),
-            F.lit(c).alias("feature"),
-            F.try_divide(F.col(f"s{d}_{i}"), F.col(f"n{d}_{i}")).alias("_mean"),
-        )
-        for d in range(DRAWS_PER_DIGEST) for i, c in enumerate(cols)
+        F.struct(F.lit(c).alias("feature"), F.try_divide(f"s{i}", F.nullif(f"n{i}", F.lit(0.0))).alias("_mean"))
+        for i, c in enumerate(cols)
     ])
-    replicates = sums.select(group, F.inline(means)).filter(F.col("_replicate") < resamples)
+    replicates = sums.select(F.col("_key").alias(group), F.inline(means))
     tail = (1 - level) / 2
     intervals = replicates.groupBy(group, "feature").agg(
         F.percentile("_mean", F.lit(tail)).alias("low"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mirador.functions.timing import whole_units
 from mirador.operators.lookups import attach
@@ -10,7 +10,10 @@ from mirador.operators.ordered import ROWS_PER_BUCKET, order_statistics
 
 
 def presence(df: DataFrame, on: list[str], value: str, sep: str = "; ") -> DataFrame:
-    """Existence flag and the distinct values as text, in alphabetical order."""
+    """Existence flag and the distinct values as text, in alphabetical order.
+
+    For values of which a key has few; ``distinct_texts`` bounds them.
+    """
     distinct = df.select(*on, value).distinct()
     return distinct.groupBy(*on).agg(
         (F.count(F.lit(1)) > 0).alias("present"),
@@ -18,6 +21,23 @@ def presence(df: DataFrame, on: list[str], value: str, sep: str = "; ") -> DataF
     )
 
 
+def distinct_texts(df: DataFrame, on: list[str], value: str, most: int = 100, sep: str = "; ") -> DataFrame:
+    """The first ``most`` distinct values per key as one text, and how many more there are.
+
+    A key's values are ranked under the limit, so each partition passes on ``most`` of them at most
+    and no task or row holds more, whatever a key has. Null values are left out; null keys are one
+    key. ``rest`` is 0 where the text is complete.
+    """
+    pairs = df.filter(F.col(value).isNotNull()).select(*on, value).distinct()
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(value))
+    first = pairs.withColumn("_place", place).filter(F.col("_place") <= most)
+    texts = first.groupBy(*on).agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias("texts"))
+    counts = pairs.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in on]
+    joined = texts.alias("l").join(counts.alias("r"), same)
+    return joined.select(*[F.col(f"l.{k}") for k in on], "texts", F.greatest(F.col("_n") - most, F.lit(0)).alias("rest"))
+
+
 def item_stats(
     df: DataFrame, on: list[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:

@@ -491,6 +491,19 @@ def mode_presence(t: Tables):
     return summaries.presence(kept, ["user_id"], "event_type")
 
 
+@query("distinct_texts", """
+WITH pairs AS (SELECT DISTINCT l_suppkey, l_returnflag || ' ' || l_linenumber AS mode FROM lineitem),
+placed AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY mode) AS place,
+                  count(*) OVER (PARTITION BY l_suppkey) AS n FROM pairs)
+SELECT l_suppkey, string_agg(mode, '; ' ORDER BY mode) AS texts, greatest(max(n) - 5, 0) AS rest
+FROM placed WHERE place <= 5 GROUP BY l_suppkey""")
+def distinct_texts(t: Tables):
+    """The first five kinds of lines of each supplier, and how many more it has."""
+    lines = t("lineitem", "l_suppkey", "l_returnflag", "l_linenumber")
+    modes = lines.select("l_suppkey", F.concat_ws(" ", "l_returnflag", "l_linenumber").alias("mode"))
+    return summaries.distinct_texts(modes, ["l_suppkey"], "mode", most=5)
+
+
 DAILY_ONLY_SQL = """daily AS (
   SELECT e.user_id, e.event_type,
     CAST(floor((epoch_us(e.ts) - epoch_us(a.anchor_ts)) / 86400e6) AS BIGINT) AS day,

@@ -15,7 +15,7 @@ from mirador.plans.registry import Tables, query
 from mirador.prep import ranking, scaling, split
 from mirador.roles import Roles
 from mirador.sources.artefacts import load_params, save_params
-from mirador.sources.tables import stage
+from mirador.sources.tables import read_positions, stage, write_sorted
 from mirador.sources.workspace import scratch
 
 X = list(SALES.x)
@@ -259,13 +259,35 @@ def psm_effect(t: Tables):
 
 @query("two_head_effect")
 def two_head_effect(t: Tables):
+    """The network at its own size: width, epochs and rate of the defaults."""
     done, train = prepared(t)
-    model = two_head.fit_two_head(train, SALES, width=16, epochs=40)
+    model = two_head.fit_two_head(train, SALES)
+    return model.score(done).select("id", "split", "t", "y", "y0", "y1", "ite")
+
+
+@query("two_head_effect_short")
+def two_head_effect_short(t: Tables):
+    """A small network and 40 epochs, each a job over all partitions."""
+    done, train = prepared(t)
+    model = two_head.fit_two_head(train, SALES, width=16, epochs=40, lr=1e-2, task_cells=0)
     return model.score(done).select("id", "split", "t", "y", "y0", "y1", "ite")
 
 
 @query("tuning_trials")
 def tuning_trials(t: Tables):
+    """Ten networks from the network's space; the table has five covariates to choose from."""
+    train = prepared(t)[1]
+    space = tuning.NETWORK_SPACE | {"features": (3, len(X), "int")}
+    params = F.col("params")
+    return tuning.search(train, SALES, space, trials=10, learner="two_head").select(
+        "trial", params["lr"].alias("lr"), params["epochs"].cast("int").alias("epochs"),
+        params["width"].cast("int").alias("width"), params["features"].cast("int").alias("features"), "auc",
+    )
+
+
+@query("tuning_trials_lr")
+def tuning_trials_lr(t: Tables):
+    """The same search for a T-learner's penalty."""
     train = prepared(t)[1]
     space = {"regParam": (1e-6, 1e-1, "log"), "features": (2, len(X), "int")}
     trials = tuning.search(train, SALES, space, trials=10)
@@ -473,6 +495,54 @@ def ate_summary(t: Tables):
     return rounded(interpretation.ate(scored_sales(t), "ite"), ["ate", "sd"])
 
 
+@query("sorted_output", f"""
+WITH {SALES_SQL}, {SCORE_SQL}
+SELECT id, ite, row_number() OVER (ORDER BY ite DESC NULLS LAST, id) AS position FROM scored""")
+def sorted_output(t: Tables):
+    """Effects written in order and read back with their place in the files."""
+    path = scratch(t.spark, "sorted")
+    write_sorted(scored_sales(t).select("id", "ite"), path, [F.desc_nulls_last("ite"), F.asc("id")])
+    return read_positions(t.spark, path)
+
+
+FREQUENCIES, PHASES = (x.tolist() for x in distance.frequencies(len(X), 12, 1.0))
+DISCREPANCY_SQL = " + ".join(
+    f"(avg(CASE WHEN t = 1 THEN {wave} END) - avg(CASE WHEN t = 0 THEN {wave} END)) ** 2"
+    for wave in (
+        "cos(" + " + ".join([f"{w!r}::DOUBLE * {c}" for w, c in zip(row, X)]) + f" + {phase!r}::DOUBLE)"
+        for row, phase in zip(FREQUENCIES, PHASES)
+    )
+)
+
+
+@query("mean_discrepancy", f"""
+WITH {SCALED_SQL}
+SELECT round(({DISCREPANCY_SQL}) / 6, 6) AS mmd2, count(CASE WHEN t = 1 THEN 1 END)::DOUBLE AS n1,
+       count(CASE WHEN t = 0 THEN 1 END)::DOUBLE AS n0 FROM scaled""")
+def mean_discrepancy(t: Tables):
+    """How far apart the arms are in all covariates together, by twelve random cosines."""
+    done = prepared(t)[0].withColumn("x", F.array(*[F.col(c).cast("double") for c in X]))
+    return rounded(distance.mean_discrepancy(done, "x", len(X), "t", features=12, scale=1.0), ["mmd2"])
+
+
+@query("representation_distance")
+def representation_distance(t: Tables):
+    """The arms' distance before matching, after it, and in the network's representation."""
+    done, train = prepared(t)
+    done = stage(done.withColumn("x", F.array(*[F.col(c).cast("double") for c in X])), "prepared")
+    scored = learners.propensity_score(train, done, SALES)
+    pairs = stage(matching.nearest_match(scored, SALES, "propensity"), "pairs")
+    model = two_head.fit_two_head(train, SALES, width=16, epochs=400, lr=1e-3)
+    return distance.by_phase(
+        {
+            "before": (done, "x", len(X)),
+            "matched": (matching.matched_set(done, SALES, pairs), "x", len(X)),
+            "represented": (model.represent(done), "representation", model.width),
+        },
+        "t",
+    )
+
+
 @query("subgroup_describe", f"""
 WITH {SALES_SQL}, {SCORE_SQL}, {GROUP_SQL}, long AS ({" UNION ALL ".join(
     f"SELECT grp, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM grouped" for c in X)})

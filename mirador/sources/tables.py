@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from mirador.sources.workspace import scratch
@@ -46,6 +46,25 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def write_sorted(df: DataFrame, path: str, by: list[Column | str], files: int | None = None) -> None:
+    """Write so that the files, in the order of their names, hold the rows in order.
+
+    Rows are dealt out by ranges of ``by``, whose last column should be an id: it cuts long ties.
+    """
+    dealt = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def read_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """Sorted output with the place of each row, from 1: rows of the files before, and the row in its file."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(files, "_file").withColumn(name, F.col("_before") + F.col("_row") + 1)
+    return placed.drop("_file", "_row", "_before")
+
+
 CSV_OPTIONS = {
     "header": True,
     "escape": '"',

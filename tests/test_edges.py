@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -307,6 +308,41 @@ def test_widen_names(spark):
     assert got.first()["median_f"] == 1.0 and got.first()["max_g"] is None
 
 
+def test_bootstrap_by_hand(spark, monkeypatch):
+    """Batches, partitions and groups given out early change nothing; nulls count for no column."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.normal()), None if i % 5 == 0 else float(rng.normal()), [None, "a", "b"][i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double, z double, g string")
+    got = {(r.g, r.feature): r for r in interpretation.bootstrap(df.repartition(5), "id", ["x", "z"], "g", 50).collect()}
+    weights = interpretation.resample_weights([str(r[0]) for r in rows], 42, 50)
+    assert weights.shape == (400, 50) and abs(weights.mean() - 1) < 0.05
+    for g in (None, "a", "b"):
+        for k, c in ((1, "x"), (2, "z")):
+            own = [i for i, r in enumerate(rows) if r[3] == g and r[k] is not None]
+            values = np.array([rows[i][k] for i in own])
+            means = weights[own].T @ values / weights[own].sum(axis=0)
+            assert got[g, c].low == pytest.approx(np.quantile(means, 0.025))
+            assert got[g, c].high == pytest.approx(np.quantile(means, 0.975))
+
+
+def test_distinct_texts_are_bounded(spark):
+    rows = [("many", f"v{i:06d}") for i in range(50_000)] + [("few", "b"), ("few", "a"), ("few", "b"), ("few", None), (None, "x")]
+    got = {r.k: (r.texts, r.rest) for r in summaries.distinct_texts(spark.createDataFrame(rows, "k string, v string"), ["k"], "v", 3).collect()}
+    assert got == {"many": ("v000000; v000001; v000002", 49_997), "few": ("a; b", 0), None: ("x", 0)}
+
+
+def test_sorted_files(spark, tmp_path):
+    """Order across files, with a tie as long as most of the table."""
+    rows = [(i, 1.0 if i % 4 else float(i), "x") for i in range(2000)] + [(5000, None, "y")]
+    df = spark.createDataFrame(rows, "id int, v double, other string").repartition(6)
+    tables.write_sorted(df, str(tmp_path / "s"), [F.desc_nulls_last("v"), F.asc("id")], files=7)
+    got = sorted((r.position, r.id) for r in tables.read_positions(spark, str(tmp_path / "s")).collect())
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == [(k, r[0]) for k, r in enumerate(want, 1)]
+    sizes = spark.read.parquet(str(tmp_path / "s")).groupBy(F.col("_metadata.file_name")).count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) < 700
+
+
 def test_bootstrap_leaves_out_small_groups(spark):
     df = spark.createDataFrame([(i, "big" if i < 30 else "small", float(i)) for i in range(32)], "id int, g string, x double")
     got = interpretation.bootstrap(df, "id", ["x"], "g", 50).collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mirador.effects import learners, matching, strata, tuning, two_head
 from mirador.effects.store import load_effect, save_effect
+from mirador.metrics import distance, scores
 from mirador.prep import ranking, split
 from mirador.roles import Roles
 from mirador.studies import Study
@@ -84,6 +85,76 @@ def test_two_head(planted, spark, tmp_path):
     assert a == pytest.approx(b)
 
 
+def test_one_task_and_many_train_alike(planted):
+    """Several networks together: in one task each, by epoch over partitions, and alone."""
+    nets = [two_head.Net(2, 6, 25, 1e-2, 1), two_head.Net(1, 9, 10, 3e-3, 2), two_head.Net(2, 4, 1, 1e-1, 3)]
+    small = two_head.fit_networks(planted, ROLES, nets)
+    large = two_head.fit_networks(planted, ROLES, nets, task_cells=0)
+    many = two_head.fit_networks(planted.repartition(40), ROLES, nets[1:2], task_cells=0)  # added up in two steps
+    for net, a, b in zip(nets, small, large):
+        alone = two_head.fit_two_head(planted, ROLES.with_x(ROLES.x[: net.inputs]), net.width, net.epochs, net.lr, net.seed)
+        assert len(a.losses) == len(b.losses) == net.epochs and a.roles.x == b.roles.x == ROLES.x[: net.inputs]
+        assert np.allclose(a.weights, b.weights, atol=2e-4) and np.allclose(a.losses, b.losses, rtol=1e-4)
+        assert np.array_equal(a.weights, alone.weights)
+    assert np.allclose(many[0].weights, small[1].weights, atol=2e-4)
+
+
+def test_summed_gradient_is_that_of_one_machine(planted):
+    pdf = planted.toPandas()
+    columns = [pdf[c].to_numpy(float) for c in ("t", "y")]
+    scales = (1 / pdf["t"].sum(), 1 / (1 - pdf["t"]).sum())
+    weights = two_head.initial(2, 7, 4)
+    loss, grad = two_head.loss_and_gradient(pdf[["x1", "x2"]].to_numpy(float), *columns, *scales, weights, 7)
+    data = planted.selectExpr("x1 AS _x0", "x2 AS _x1", "double(t) AS _t", "double(y) AS _y").repartition(30)
+    for adders in (1, 5):
+        total = two_head._added(data, {0: (two_head.Net(2, 7), weights)}, scales, adders)[0]
+        assert total[-1] == pytest.approx(loss, rel=1e-5) and np.allclose(total[:-1], grad, atol=1e-5)
+
+
+def test_defaults_are_the_source_settings():
+    import inspect
+
+    given = {k: p.default for k, p in inspect.signature(two_head.fit_two_head).parameters.items()}
+    assert (given["width"], given["epochs"], given["lr"]) == (108, 11_197, 5.318e-6)
+
+
+def test_search_of_networks(planted):
+    space = {"lr": (1e-3, 1e-2, "log"), "epochs": (5, 30, "int"), "width": (4, 9, "int"), "features": (1, 2, "int")}
+    trials = tuning.search(planted, ROLES, space, trials=3, learner="two_head").orderBy("trial").collect()
+    assert set(tuning.NETWORK_SPACE) == set(space) == set(trials[0]["params"])
+    data = split.hash_split(planted, "id", 0.8, 43, "_part")
+    for r in trials:
+        p = r["params"]
+        used = ROLES.with_x(ROLES.x[: int(p["features"])])
+        alone = two_head.fit_two_head(data.filter("_part = 'train'"), used, int(p["width"]), int(p["epochs"]), p["lr"])
+        scored = alone.score(data.filter("_part = 'test'")).withColumn("p", F.when(F.col("t") == 1, F.col("y1")).otherwise(F.col("y0")))
+        assert scores.auc(scored, "y", "p").first()["auc"] == pytest.approx(r["auc"], abs=1e-6)
+
+
+def test_representation_and_its_distance(planted):
+    model = two_head.fit_two_head(planted, ROLES, width=8, epochs=30, lr=0.01)
+    shown = model.represent(planted).limit(50).toPandas()
+    want = two_head.representation(shown[["x1", "x2"]].to_numpy(float), model.weights, 8)
+    assert np.allclose(np.stack(shown["representation"]), want)
+    rows = planted.withColumn("v", F.array("x1", "x2"))
+    got = distance.mean_discrepancy(rows, "v", 2, "t", features=4000, scale=0.5).first()
+    pdf = planted.toPandas()
+    a, b = (pdf.loc[pdf["t"] == k, ["x1", "x2"]].to_numpy() for k in (1, 0))
+    kernel = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(axis=2) / (2 * 0.25)).mean()
+    assert got["mmd2"] == pytest.approx(kernel(a, a) + kernel(b, b) - 2 * kernel(a, b), abs=2e-3)
+    assert (got["n1"], got["n0"]) == (len(a), len(b))
+
+
+def test_discrepancy_of_odd_rows(spark):
+    rows = [([0.0, 1.0], 1, 2.0), ([0.0, 1.0], 0, 1.0), (None, 1, 1.0), ([1.0], 1, 1.0), ([1.0, None], 0, 1.0), ([5.0, 5.0], None, 1.0)]
+    df = spark.createDataFrame(rows, "v array<double>, t int, w double")
+    assert distance.mean_discrepancy(df, "v", 2, "t").first()["mmd2"] == pytest.approx(0)
+    weighted = distance.mean_discrepancy(df, "v", 2, "t", weight="w").first()
+    assert (weighted["n1"], weighted["n0"]) == (2.0, 1.0)
+    assert distance.mean_discrepancy(df.filter("t = 1"), "v", 2, "t").first()["mmd2"] is None
+    assert distance.mean_discrepancy(df.limit(0), "v", 2, "t").first()["mmd2"] is None
+
+
 def test_search(planted):
     space = {"regParam": (1e-4, 1e-1, "log"), "features": (1, 2, "int")}
     trials = tuning.search(planted, ROLES, space, trials=2)
