@@ -16,7 +16,6 @@ import hashlib
 import tempfile
 from collections.abc import Iterator
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
@@ -86,6 +85,8 @@ class Codec:
     """Merge and vocabulary tables of one vocabulary in this worker's DuckDB."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import duckdb  # only here: workers of other operators do without its memory
+
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         joins = [

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -180,8 +179,8 @@ class Models:
         return names, np.where(some, score, 0.0), np.where(some, lowest, 0.0)
 
 
-def smoothed(counts: pd.DataFrame, order: int) -> Models:
-    """Interpolated Kneser-Ney tables from highest-order gram counts (lang, gram, n)."""
+def smoothed(counts, order: int) -> Models:
+    """Interpolated Kneser-Ney tables from a pandas table of highest-order gram counts (lang, gram, n)."""
     languages = sorted(set(counts["lang"]))
     column = {name: i for i, name in enumerate(languages)}
     counts = counts.assign(lang=[column[name] for name in counts["lang"]])  # numbers are safe to group by

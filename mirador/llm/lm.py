@@ -24,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -139,6 +138,8 @@ class Gathering:
         self.tokens += len(hashes)
 
     def row(self, chunk: int) -> pa.RecordBatch:
+        import pandas as pd  # only here: workers of other operators do without its memory
+
         codes, distinct = pd.factorize(np.concatenate(self.hashes))
         order = np.argsort(distinct)
         place = np.empty(len(order), dtype=np.int64)

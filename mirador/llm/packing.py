@@ -265,7 +265,7 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
         memory, added = memory_of(sent.value, path), added_tokens(sent.value)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for whole in batches:
-            for batch in pieces(whole, "text", 4 << 20):
+            for batch in pieces(whole, "text", 1 << 20):
                 rows = []
                 places = memory.places_of([parts_of(t or "", added) for t in batch.column("text").to_pylist()])
                 for doc_id, text_hash, found in zip(
