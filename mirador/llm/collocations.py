@@ -5,10 +5,12 @@ Texts are read once, into chunks of tokens with numbers of the chunk's own. A wo
 stand for two words, all words are hashed anew with another seed, so ids are as good as the words.
 
 Words, then phrases, are counted size by size: a task counts the phrases of its chunks in one
-HAT-trie and gives out sorted runs; runs are dealt out by their first two words and merged. A
-phrase can only be frequent if both phrases of one word less in it are, so what is frequent in one
-size, as a bitmap of a fixed size, thins out the next; a false positive costs a count and no more,
-so the counts are exact and nothing that is sent to the tasks grows.
+HAT-trie and gives out sorted runs; runs are dealt out by their first two words and merged. Two
+sieves keep the rare phrases out of the tries. A phrase can only be frequent if both phrases of one
+word less in it are; and only if its cell, 48 bits of its hash, is: cells are counted first, as
+sorted and compressed differences, a few bytes each. Either sieve is sent as a bitmap of a fixed
+size, in which a false positive costs a count and no more, so the counts are exact and nothing
+that is sent to the tasks grows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ ENDS, MARK = b".,;:!?\n\x0b\x0c\r", b"\xff"
 PLAIN = bytes.maketrans(ENDS + bytes(range(65, 91)), b"\n" * len(ENDS) + bytes(range(97, 123)))
 #: Bytes of a text that are split at a time, bytes of a chunk's texts, tokens whose phrases are made at a time.
 SLICE, CHUNK_BYTES, WINDOWS = 8 << 20, 64 << 20, 1 << 19
+#: Bits of a cell, cells that are sorted at a time, tokens for each part that cells are dealt out to.
+CELL_BITS, CELLS, PART_TOKENS = 48, 1 << 21, 1 << 21
 
 WORD = pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 CHUNKS = pa.schema([("tokens", pa.binary()), ("words", pa.list_(WORD))])
@@ -149,11 +153,101 @@ def keys_of(size: int) -> list[str]:
     return [f"id_{i}" for i in range(size)]
 
 
-def counted(
-    chunks: DataFrame, size: int, words: np.ndarray, shorter: np.ndarray | None, min_count: int, trie_phrases: int
+def cells_of(phrases: np.ndarray) -> np.ndarray:
+    return hashed(phrases) >> np.uint64(64 - CELL_BITS)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits, the first bytes of all, then the second ones, compressed: small ones take little room."""
+    return zstandard.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def totals(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and the sums of their counts."""
+    order = np.argsort(cells)
+    cells, counts = cells[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else order
+    return cells[first], np.add.reduceat(counts, first) if len(cells) else counts
+
+
+def dealt(cells: np.ndarray, part_bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, cells, counts) of unordered cells, a part being a range of cells."""
+    cells, counts = np.unique(cells, return_counts=True)
+    parts, starts = np.unique(cells >> np.uint64(CELL_BITS - part_bits), return_index=True)
+    ends = [*starts[1:], len(cells)]
+    columns = [
+        pa.array(parts.view(np.int64)),
+        pa.array([packed(np.diff(cells[a:b], prepend=np.uint64(0))) for a, b in zip(starts, ends)], pa.binary()),
+        pa.array([packed(counts[a:b]) for a, b in zip(starts, ends)], pa.binary()),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["part", "cells", "counts"])
+
+
+def frequent_in(batches: Iterator[pa.RecordBatch], min_count: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Cells whose counts add up to ``min_count``, of rows that come part by part."""
+    none = np.zeros(0, dtype=np.uint64)
+    held, waiting, number, now = (none, none), [], 0, None
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return totals(*(np.concatenate(column) for column in zip(held, *waiting)))
+
+    def ended() -> pa.RecordBatch:
+        cells, counts = merged()
+        return pa.RecordBatch.from_arrays([pa.array(cells[counts >= min_count].view(np.int64))], names=["id_0"])
+
+    for batch in batches:
+        for part, cells, counts in zip(*(batch.column(c) for c in ("part", "cells", "counts"))):
+            if part.as_py() != now:
+                yield ended()
+                held, waiting, number, now = (none, none), [], 0, part.as_py()
+            waiting.append((np.cumsum(unpacked(cells.as_py()), dtype=np.uint64), unpacked(counts.as_py())))
+            number += len(waiting[-1][0])
+            if number >= at_once:
+                held, waiting, number = merged(), [], 0
+    yield ended()
+
+
+def frequent_cells(
+    chunks: DataFrame, size: int, words: np.ndarray, shorter: np.ndarray | None, min_count: int, tokens: int, cells_at_once: int
 ) -> DataFrame:
-    """(id_0 ..., a) of the phrases of ``size`` words that come ``min_count`` times or more."""
+    """(id_0): the cells that phrases of ``size`` words fall into ``min_count`` times or more.
+
+    A task holds up to ``cells_at_once`` cells, and of a part, which is one for every PART_TOKENS
+    tokens, its distinct ones. A cell comes once for each ``cells_at_once`` cells of a task, however
+    frequent it is.
+    """
     sent = chunks.sparkSession.sparkContext.broadcast((words, shorter))
+    part_bits = min(CELL_BITS - 1, (tokens // PART_TOKENS).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, number = [], 0
+        for batch in batches:
+            for ids in streams_of(batch, sent.value[0], size - 1):
+                waiting.append(cells_of(phrases_in(ids, size, sent.value[1])))
+                number += len(waiting[-1])
+                if number >= cells_at_once:
+                    yield from dealt(np.concatenate(waiting), part_bits)
+                    waiting, number = [], 0
+        if number:
+            yield from dealt(np.concatenate(waiting), part_bits)
+
+    rows = chunks.select("tokens", F.col("words.id").alias("ids")).mapInArrow(run, "part bigint, cells binary, counts binary")
+    rows = rows.repartition("part").sortWithinPartitions("part")
+    found = stage(rows.mapInArrow(partial(frequent_in, min_count=min_count, at_once=2 * CELLS), "id_0 bigint"), f"cells-{size}")
+    sent.destroy()
+    return found
+
+
+def counted(
+    chunks: DataFrame, size: int, words: np.ndarray, cells: np.ndarray, min_count: int, trie_phrases: int
+) -> DataFrame:
+    """(id_0 ..., a) of the phrases of ``size`` words in these cells that come ``min_count`` times or more."""
+    sent = chunks.sparkSession.sparkContext.broadcast((words, cells))
     names = keys_of(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +255,8 @@ def counted(
             trie = HatTrie(size, trie_phrases)
             for batch in batches:
                 for ids in streams_of(batch, sent.value[0], size - 1):
-                    yield from trie.add(phrases_in(ids, size, sent.value[1]))
+                    phrases = phrases_in(ids, size, None)
+                    yield from trie.add(phrases[:, marked(sent.value[1], cells_of(phrases)[None])])
             yield from trie.rest()
 
         for keys, numbers in runs():
@@ -212,14 +307,15 @@ def read(docs: DataFrame, min_count: int, chunk_tokens: int, identify: Callable[
 
 
 def frequent(
-    chunks: DataFrame, words: DataFrame, min_count: int, longest: int, trie_phrases: int, bits: int
+    chunks: DataFrame, words: DataFrame, tokens: int, min_count: int, longest: int, trie_phrases: int, bits: int, cells_at_once: int
 ) -> DataFrame:
     """(words, a) of all frequent phrases of one word or more."""
     found = [words.select(F.array("id").alias("words"), "a")]
     shorter = known = bitmap(words.withColumnRenamed("id", "id_0"), 1, bits)
     for size in range(2, longest + 1):
         # the frequent words are applied to the tokens themselves
-        level = counted(chunks, size, known, shorter if size > 2 else None, min_count, trie_phrases)
+        cells = frequent_cells(chunks, size, known, shorter if size > 2 else None, min_count, tokens, cells_at_once)
+        level = counted(chunks, size, known, bitmap(cells, 1, bits), min_count, trie_phrases)
         if level.isEmpty():
             break  # nor is there any longer one
         found.append(level.select(F.array(*keys_of(size)).alias("words"), "a"))
@@ -236,6 +332,7 @@ def collocations(
     trie_phrases: int = 1_000_000,
     chunk_tokens: int = 4_000_000,
     bitmap_bits: int = 26,
+    cells_at_once: int = CELLS,
     identify: Callable[[str, bytes, int], int] = word_id,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the collocations of each language, best first.
@@ -247,7 +344,7 @@ def collocations(
     where n is the number of words of the language; the cut of the lowest score counts, of equal
     ones the earliest. Candidates inside a longer one that occurs at least ``absorbed`` per cent as
     often are dropped. The first ``most`` of each language are returned by score, then a, both
-    descending, then the phrase in byte order; ``None`` returns all. The last four parameters bound
+    descending, then the phrase in byte order; ``None`` returns all. The last five parameters bound
     the memory of tasks and name words; they change no result.
 
     Null and empty texts have no words. A null lang is ``und``; an empty one is a language. Every
@@ -255,7 +352,8 @@ def collocations(
     on across slices. An empty table gives no rows. Other columns are not looked at.
     """
     chunks, words, langs = read(docs, min_count, chunk_tokens, identify)
-    phrases = stage(frequent(chunks, words, min_count, longest, trie_phrases, bitmap_bits), "phrases")
+    tokens = langs.agg(F.sum("n")).first()[0] or 0
+    phrases = stage(frequent(chunks, words, tokens, min_count, longest, trie_phrases, bitmap_bits, cells_at_once), "phrases")
     words = words.drop("a")
     size = F.size("words")
     candidates = phrases.filter(size > 1)

@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,28 @@ def test_false_positives_of_the_bitmap_cost_nothing_but_work(docs):
     assert sorted(map(tuple, collocations.collocations(few, 3, bitmap_bits=6).collect())) == want
 
 
+def test_cells_add_up_over_rows_and_parts():
+    rng = np.random.default_rng(3)
+    cells = rng.zipf(1.2, 60_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+    want = {c for c, n in collections.Counter(cells.tolist()).items() if n >= 20}
+    rows = [(r["part"], r["cells"], r["counts"]) for at in range(0, 60_000, 7000) for b in collocations.dealt(cells[at : at + 7000], 3) for r in b.to_pylist()]
+    assert len({part for part, *_ in rows}) == 8
+    rows = pa.Table.from_pylist([dict(zip(("part", "cells", "counts"), r)) for r in sorted(rows)])
+    for at_once in (100, 10**6):
+        found = [b.column("id_0").to_pylist() for b in collocations.frequent_in(iter(rows.to_batches(max_chunksize=5)), 20, at_once)]
+        assert sorted(sum(found, [])) == sorted(want) and want
+    assert [b.num_rows for b in collocations.frequent_in(iter([]), 20, 100)] == [0]
+    odd = np.array([0, 1, 255, 256, 2**48 - 1, 2**63], dtype=np.uint64)
+    assert (collocations.unpacked(collocations.packed(odd)) == odd).all()
+
+
+def test_cells_are_dealt_out_bit_by_bit(docs):
+    """With a few cells at a time, many rows for a part, the result is the same."""
+    few = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 2000)
+    want = sorted(map(tuple, collocations.collocations(few, 3).collect()))
+    assert sorted(map(tuple, collocations.collocations(few, 3, cells_at_once=500).collect())) == want
+
+
 def test_words_that_share_an_id_are_hashed_again(spark):
     """Under the first seed all words share an id; the second keeps them apart."""
     whole = collocations.word_id
