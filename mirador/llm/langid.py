@@ -30,6 +30,8 @@ ORDER = 4
 BLANK = ord(" ")
 #: Distinct words, times languages, whose characters are looked up in one go; bounds a task's memory.
 WORDS_AT_ONCE = 80_000
+#: Bytes of texts that are looked at in one go; a longer text is looked at alone.
+PIECE_BYTES = 2 << 20
 UNKNOWN = "und"
 #: Every how-many-th sample document calibrates instead of counting.
 CALIBRATE = 5
@@ -154,10 +156,11 @@ class Models:
         distinct = list(dict.fromkeys(words))
         number = {w: k for k, w in enumerate(distinct)}
         codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([0] + [len(ws) for ws in split])
+        del split, words, number  # their memory is needed below
         step = max(1, WORDS_AT_ONCE // len(self.languages))
         parts = [self.log_probabilities(distinct[at : at + step]) for at in range(0, len(distinct), step)]
         logs, sizes = (np.concatenate(c) for c in zip(*parts))
-        ends = np.cumsum([0] + [len(ws) for ws in split])
 
         def per_text(of_words: np.ndarray) -> np.ndarray:
             return np.diff(np.concatenate([[0], np.cumsum(of_words[codes])])[ends])
@@ -230,7 +233,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 by_lang: dict[str, Counter] = {}
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                     by_lang.setdefault(lang, Counter()).update((text or "").lower().split())
@@ -290,7 +293,7 @@ def calibrate(models: Models, sample: DataFrame, quantile: float, slack: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 entropy, characters = sent.value.entropies([t or "" for t in batch.column("text").to_pylist()])
                 keep = characters > 0
                 yield pa.RecordBatch.from_arrays(
@@ -327,7 +330,7 @@ def predictions(docs: DataFrame, models: Models) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 names, score, entropy = sent.value.predict([t or "" for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text_hash"), pa.array(names, pa.string()),

@@ -30,7 +30,7 @@ from mirador.sources.tables import stage
 
 from .registry import query, table
 from .segments import Memory, segments
-from .words import lean, pieces, send
+from .words import kept, lean, pieces, send
 
 CAPACITY = 1024
 STEP = 0.34
@@ -193,52 +193,47 @@ class Places:
         return self.sequence[at] + number - self.start[at], self.offset[at]
 
 
-_memories: dict[str, Memory] = {}
-
-
-def memory_of(vocabulary: str, name: str) -> Memory:
-    """This worker's memory and tokenizer of the given file text, for one task after the other."""
-    if name not in _memories:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary)
-        vocabulary_of = tokenizer.get_vocab(with_added_tokens=False)
-        widths = np.zeros(max(vocabulary_of.values()) + 1, dtype=np.int64)
-        for token, i in vocabulary_of.items():
-            widths[i] = len(token)  # one character per byte
-
-        def together(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Segments that can be written one after the other: cut again by their bytes."""
-            runs = ["".join(parts[at : at + 100]) for at in range(0, len(parts), 100)]
-            found = [e.ids for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-            ids = np.concatenate([np.array(f, dtype=np.int32) for f in found])
-            ends = np.searchsorted(np.cumsum(widths[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
-            return np.diff(ends, prepend=0), ids
-
-        def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            # a segment from its blank to a character that is none has the same tokens anywhere
-            joins = [s[0] == " " and not s[-1].isspace() for s in new]
-            counts = np.zeros(len(new), dtype=np.int64)
-            alone = [e.ids for e in tokenizer.encode_batch_fast([s for s, j in zip(new, joins) if not j], add_special_tokens=False)]
-            rest = np.flatnonzero(np.logical_not(joins))
-            counts[rest] = [len(i) for i in alone]
-            order, ids = [rest], [np.array([i for found in alone for i in found], dtype=np.int32)]
-            joined = np.flatnonzero(joins)
-            for at in range(0, len(joined), 5000):
-                some = joined[at : at + 5000]
-                counts[some], found = together([new[k] for k in some])
-                order.append(some)
-                ids.append(found)
-            order, ids = np.concatenate(order), np.concatenate(ids)
-            # back to the order asked for
-            starts = np.zeros(len(new), dtype=np.int64)
-            starts[order] = np.cumsum(counts[order]) - counts[order]
-            ends = np.cumsum(counts)
-            return counts, ids[np.arange(len(ids)) + np.repeat(starts - ends + counts, counts)]
-
-        _memories[name] = Memory(encode)
-    return _memories[name]
+def memory_of(vocabulary: str, remembered: int) -> Memory:
+    """A memory of so many segments, with a tokenizer of the given file text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocabulary)
+    vocabulary_of = tokenizer.get_vocab(with_added_tokens=False)
+    widths = np.zeros(max(vocabulary_of.values()) + 1, dtype=np.int64)
+    for token, i in vocabulary_of.items():
+        widths[i] = len(token)  # one character per byte
+
+    def together(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Segments that can be written one after the other: cut again by their bytes."""
+        runs = ["".join(parts[at : at + 100]) for at in range(0, len(parts), 100)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate([np.array(f, dtype=np.int32) for f in found])
+        ends = np.searchsorted(np.cumsum(widths[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+        return np.diff(ends, prepend=0), ids
+
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a segment from its blank to a character that is none has the same tokens anywhere
+        joins = [s[0] == " " and not s[-1].isspace() for s in new]
+        counts = np.zeros(len(new), dtype=np.int64)
+        alone = [e.ids for e in tokenizer.encode_batch_fast([s for s, j in zip(new, joins) if not j], add_special_tokens=False)]
+        rest = np.flatnonzero(np.logical_not(joins))
+        counts[rest] = [len(i) for i in alone]
+        order, ids = [rest], [np.array([i for found in alone for i in found], dtype=np.int32)]
+        joined = np.flatnonzero(joins)
+        for at in range(0, len(joined), 5000):
+            some = joined[at : at + 5000]
+            counts[some], found = together([new[k] for k in some])
+            order.append(some)
+            ids.append(found)
+        order, ids = np.concatenate(order), np.concatenate(ids)
+        # back to the order asked for
+        starts = np.zeros(len(new), dtype=np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        ends = np.cumsum(counts)
+        return counts, ids[np.arange(len(ids)) + np.repeat(starts - ends + counts, counts)]
+
+    return Memory(encode, remembered)
 
 
 def added_tokens(vocabulary: str) -> re.Pattern | None:
@@ -256,13 +251,14 @@ def parts_of(text: str, added: re.Pattern | None) -> list[str]:
     return [s for k, part in enumerate(added.split(text)) for s in ([part] if k % 2 else segments(part))]
 
 
-def cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
+def cut(docs: DataFrame, path: str, end_id: int, capacity: int, remembered: int) -> DataFrame:
     """Pieces of every document, with the task that made them and their number there."""
     with open(path, encoding="utf-8") as file:
         sent = send(docs, file.read())  # a vocabulary file
+    name = f"segments {remembered} {path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, added = memory_of(sent.value, path), added_tokens(sent.value)
+        memory, added = kept(name, lambda: memory_of(sent.value, remembered)), added_tokens(sent.value)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
@@ -287,10 +283,12 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(lean(run), PIECES_DDL)
+    return rows.mapInArrow(lean(run, name), PIECES_DDL)
 
 
-def packed_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def packed_pieces(
+    docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, remembered: int = 500_000
+) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) and their places.
 
     doc_id, text_hash (xxhash64 of the text), piece, start, length, ids_crc32, sequence_id,
@@ -298,9 +296,10 @@ def packed_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = C
     null or empty text is one piece of one token; strings of the file's added tokens have their own
     ids, as the library has it. Longer documents are cut so that only their
     first piece is shorter than ``capacity``. Repeated rows and null ids are packed like
-    others; an empty table gives no rows. Other columns are not looked at.
+    others; an empty table gives no rows. Other columns are not looked at. A worker remembers the
+    tokens of up to ``remembered`` segments, which changes no result.
     """
-    made = stage(cut(docs, path, end_id, capacity), "packing-pieces")  # numbers are fixed once written
+    made = stage(cut(docs, path, end_id, capacity, remembered), "packing-pieces")  # numbers are fixed once written
     by_task = made.groupBy("length", "task").agg((F.max("number") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = stage(

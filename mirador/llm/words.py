@@ -33,19 +33,44 @@ def unsend() -> None:
         _sent.pop().unpersist()
 
 
-def lean(run: Run) -> Run:
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, held by this worker for later ``lean`` tasks of the same name."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def make_room(name: str | None) -> None:
+    """Forget what the worker holds under other names."""
+    others = [n for n in _kept if n != name]
+    for other in others:
+        del _kept[other]
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Run, keeps: str | None = None) -> Run:
     """``run``, after which the worker gives its free memory back to the machine.
 
-    Workers go on to other stages; what the allocators keep would add up with theirs.
+    Workers go on to other stages; what the allocators keep would add up with theirs. What earlier
+    stages hold in the worker goes first, but for what is held under the name ``keeps``.
     """
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(keeps)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()
 
     return inner
 
