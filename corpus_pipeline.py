@@ -80,7 +80,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one end token each; repeated rows, and rows without an id, are packed
     each; an empty table gives no rows.
     """
-    return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text_hash")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed_pieces(docs, path, remembered=200_000).drop("text_hash")  # executors hold earlier stages, too
 
 
 STAGES = [
