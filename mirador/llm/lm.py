@@ -27,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mirador.sources.tables import stage
 
 from .registry import query, table
 from .trie import Trie
-from .words import GOLDEN, mix, pieces, texts, word_hashes
+from .words import GOLDEN, mix, pieces, send, texts, word_hashes
 
 CHUNK_TOKENS = 1_500_000
 SHARD_TOKENS = 3_000_000
@@ -45,8 +45,10 @@ CODES_PER_E = 250.0
 NOTHING = 65535
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
-#: Bits that a word's id inside tries has beyond what numbers the words: few words share an id.
-SPARE_BITS = 12
+#: Ids inside tries are so many leading bits of a word's hash that about 2 ** CLASH_BITS words at most
+#: share theirs, however many words there are; these have ids of their own beyond all others.
+CLASH_BITS = 16
+MOST_ID_BITS = 55
 BEGIN_ID, PAD_ID = 1 << 56, (1 << 56) + 1  # beyond all ids
 #: Sent in place of a probability: how its code differs from that of its pair, from here; 0 for none.
 SENT_FROM = 1 << 14
@@ -193,14 +195,44 @@ def word_packets(chunks: DataFrame, shards: int) -> DataFrame:
                 steps, counts, _ = unpacked(words.as_buffer())
                 hashes = np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
                 cuts = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
-                rows = [(s, chunk, packed(gaps(hashes[a:b]), counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+                parts = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                rows = [(s, chunk, packed(gaps(hashes[a:b]), counts[a:b])) for s, a, b in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKETS)], schema=PACKETS)
 
     return chunks.select("chunk", "words").mapInArrow(run, PACKETS_DDL)
 
 
-def answer_words(packets: pa.Table) -> pa.Table:
-    """Training counts of each chunk's words of one shard, and how many of all are above 0."""
+def id_width(n_words: int) -> int:
+    """Bits of an id, so that pairs of ``n_words`` random hashes that agree in them stay few."""
+    return min(MOST_ID_BITS, max(1, 2 * max(1, n_words).bit_length() - CLASH_BITS))
+
+
+def clashing(hashes: np.ndarray, id_bits: int) -> np.ndarray:
+    """Of a shard's sorted hashes, those that share their id, and its ends, whose neighbours are elsewhere."""
+    short = hashes >> np.uint64(64 - id_bits)
+    alike = short[1:] == short[:-1]
+    shared = np.zeros(len(hashes), dtype=bool)
+    shared[1:] |= alike
+    shared[:-1] |= alike
+    shared[[0, -1]] = True
+    return hashes[shared]
+
+
+def ids_of(hashes: np.ndarray, clashes: np.ndarray, id_bits: int) -> np.ndarray:
+    """Ids of words, each its own: the leading bits of the hash, or the place among ``clashes`` beyond them."""
+    ids = (hashes >> np.uint64(64 - id_bits)).astype(np.int64)
+    place = np.searchsorted(clashes, hashes)
+    shared = np.flatnonzero(place < len(clashes))
+    shared = shared[clashes[place[shared]] == hashes[shared]]
+    ids[shared] = (1 << id_bits) + place[shared]
+    return ids
+
+
+def answer_words(packets: pa.Table, id_bits: int) -> pa.Table:
+    """Training counts of each chunk's words of one shard, and how many of all are above 0.
+
+    One more row, of kind 3 and without a chunk, holds the shard's clashing hashes.
+    """
     shard = packets.column("shard")[0].as_py()
     read = [unpacked(p.as_buffer()) for p in packets.column("payload")]
     hashes = [np.cumsum(steps.astype(np.uint64), dtype=np.uint64) for steps, _ in read]
@@ -213,22 +245,29 @@ def answer_words(packets: pa.Table) -> pa.Table:
         (chunk, 1, shard, packed(totals[place[end - len(h) : end]]), k)
         for chunk, h, end, k in zip(packets.column("chunk").to_pylist(), hashes, ends, known)
     ]
+    rows.append((None, 3, shard, packed(gaps(clashing(distinct, id_bits))), 0))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWERS)], schema=ANSWERS)
 
 
 class Windows:
-    """The trigrams of a chunk: distinct first pairs, distinct grams, and which each place has."""
+    """The trigrams of a chunk: distinct first pairs, distinct grams, and which each place has.
+
+    Words are numbered by their ids, ``order`` says which of the chunk's words each number is.
+    """
 
     def __init__(self, codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, ids: np.ndarray, shards: int):
         words = len(ids)
-        self.ids = np.concatenate([ids, [BEGIN_ID, PAD_ID]])
+        self.order = np.argsort(ids)
+        self.ids = np.concatenate([ids[self.order], [BEGIN_ID, PAD_ID]])
+        number = np.empty(words, dtype=np.int64)
+        number[self.order] = np.arange(words)
         begin, pad = words, words + 1
         docs = len(lengths)
         marked = lengths + 3  # two begin marks, the tokens, one pad
         firsts = np.cumsum(marked) - marked
         line = np.full(int(marked.sum()), begin, dtype=np.int64)
         token = np.arange(len(codes)) + 3 * np.repeat(np.arange(docs), lengths) + 2
-        line[token] = codes
+        line[token] = number[codes]
         line[firsts + marked - 1] = pad
         starts = np.ones(len(line), dtype=bool)
         starts[firsts + marked - 1] = starts[firsts + marked - 2] = False
@@ -265,22 +304,23 @@ def read_chunk(tokens: bytes, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return by_use(uses)[codes], lengths.astype(np.int64), held.astype(bool), names
 
 
-def read_words(words: bytes, id_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def read_words(words: bytes, clashes: np.ndarray, id_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids inside tries and uses of a chunk's words."""
     steps, _, uses = unpacked(words)
     hashes = np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
-    return (hashes >> np.uint64(64 - id_bits)).astype(np.int64), uses
+    return ids_of(hashes, clashes, id_bits), uses
 
 
-def homes(chunks: DataFrame, id_bits: int) -> DataFrame:
+def homes(chunks: DataFrame, clashes: Broadcast, id_bits: int) -> DataFrame:
     """The chunks as rows beside their answers, with ids in place of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for words in batch.column("words"):
-                ids, uses = read_words(words.as_buffer(), id_bits)
-                kept.append(packed(gaps(ids), uses))
+                ids, uses = read_words(words.as_buffer(), clashes.value, id_bits)
+                own = np.flatnonzero(ids >> id_bits)  # all other ids are in order
+                kept.append(packed(gaps(np.delete(ids, own)), uses, gaps(own), ids[own]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("chunk"), batch.column("tokens"), pa.array(kept, pa.binary())], ["chunk", "payload", "words"]
             )
@@ -288,13 +328,13 @@ def homes(chunks: DataFrame, id_bits: int) -> DataFrame:
     return chunks.select("chunk", "tokens", "words").mapInArrow(run, "chunk bigint, payload binary, words binary")
 
 
-def gram_packets(chunks: DataFrame, shards: int, id_bits: int) -> DataFrame:
+def gram_packets(chunks: DataFrame, shards: int, clashes: Broadcast, id_bits: int) -> DataFrame:
     """Distinct trigrams of each chunk, by the shard of their first two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, chunk in enumerate(batch.column("chunk").to_pylist()):
-                word_ids, uses = read_words(batch.column("words")[k].as_buffer(), id_bits)
+                word_ids, uses = read_words(batch.column("words")[k].as_buffer(), clashes.value, id_bits)
                 codes, lengths, held, _ = read_chunk(batch.column("tokens")[k].as_buffer(), uses)
                 found = Windows(codes, lengths, held, word_ids, shards)
                 counts = np.bincount(found.gram[found.trains], minlength=len(found.w))
@@ -382,8 +422,9 @@ def add_up(rows: pa.Table, shards: int, train_tokens: int, known: int, train_doc
         parts[kind].append((shard, k))
     home = parts[0][0][1]
     payload = rows.column("payload")
-    steps, uses = unpacked(rows.column("words")[home].as_buffer())
-    word_ids = np.cumsum(steps, dtype=np.int64)
+    steps, uses, places, own = unpacked(rows.column("words")[home].as_buffer())
+    places = np.cumsum(places, dtype=np.int64)
+    word_ids = np.insert(np.cumsum(steps, dtype=np.int64), places - np.arange(len(places)), own.astype(np.int64))
     codes, lengths, held, ids = read_chunk(payload[home].as_buffer(), uses)
     counts = np.concatenate([unpacked(payload[k].as_buffer())[0] for _, k in parts[1]]).astype(np.int64)
     found = Windows(codes, lengths, held, word_ids, shards)
@@ -396,8 +437,8 @@ def add_up(rows: pa.Table, shards: int, train_tokens: int, known: int, train_doc
         weight[pairs] = restored(weight_codes)
         together[pairs] = counted(total_codes)
     single = (counts + 0.1) / (train_tokens + 0.1 * (known + 1))
-    of_word = np.concatenate([single, [1.0, 1.0]])
-    after = np.concatenate([counts, [train_docs, 0]]).astype(np.float64)  # the begin mark stands once before each text
+    of_word = np.concatenate([single[found.order], [1.0, 1.0]])
+    after = np.concatenate([counts[found.order], [train_docs, 0]]).astype(np.float64)  # the begin mark stands once before each text
     predicted = np.flatnonzero(found.predicts)
     word, context = found.word[predicted], found.context[predicted]
     pair_count = together[found.pair[predicted + 1]]  # the window one further starts with (v, w)
@@ -431,22 +472,32 @@ def score(
     whole. Without training rows every token is unknown. An empty table gives no rows. Other
     columns are not looked at.
 
-    Words are told apart by 64-bit hashes in base counts and, inside tries, by SPARE_BITS bits more
-    than number them.
+    Words are told apart by 64-bit hashes. Inside tries they have shorter ids, and no two words share
+    one: the word shards find those whose leading bits agree, about 2 ** CLASH_BITS at most by the
+    choice of the width, and these are numbered.
     """
     chunks = stage(chunked(docs, held_out, chunk_tokens), "lm-chunks")
     sizes = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_tokens", "n_words", "train_docs")]).first()
     word_shards = max(1, math.ceil(sizes["n_words"] / shard_tokens))
     gram_shards = max(1, math.ceil(sizes["n_tokens"] / shard_tokens))
-    id_bits = min(55, max(1, sizes["n_words"]).bit_length() + SPARE_BITS)
-    words = stage(word_packets(chunks, word_shards).groupBy("shard").applyInArrow(answer_words, ANSWERS_DDL), "lm-words")
+    id_bits = id_width(sizes["n_words"])
+    answers = word_packets(chunks, word_shards).groupBy("shard").applyInArrow(
+        lambda packets: answer_words(packets, id_bits), ANSWERS_DDL
+    )
+    words = stage(answers, "lm-words")
     known = words.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    found = [
+        np.cumsum(unpacked(r["payload"])[0].astype(np.uint64), dtype=np.uint64)
+        for r in words.filter("kind = 3").select("payload").collect()
+    ]
+    clashes = send(docs, np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *found])))
+    words = words.filter("kind = 1")
     grams = (
-        gram_packets(chunks, gram_shards, id_bits)
+        gram_packets(chunks, gram_shards, clashes, id_bits)
         .groupBy("shard")
         .applyInArrow(lambda packets: answer_grams(packets, discount), ANSWERS_DDL)
     )
-    home = homes(chunks, id_bits).select(
+    home = homes(chunks, clashes, id_bits).select(
         "chunk", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("shard"), "payload", "words"
     )
     columns = ["chunk", "kind", "shard", "payload", F.lit(None).cast("binary").alias("words")]

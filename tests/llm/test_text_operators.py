@@ -181,6 +181,29 @@ def test_lm_scores(docs, sizes):
     assert [g[6] for g in got] == pytest.approx([w[6] for w in want], rel=1e-2)
 
 
+def test_lm_ids_belong_to_one_word_each():
+    hashes = np.unique(np.random.default_rng(5).integers(0, 2**64, 5000, dtype=np.uint64))
+    for bits in (1, 6, 12, 20, 55):
+        clashes = lm.clashing(hashes, bits)
+        ids = lm.ids_of(hashes, clashes, bits)
+        assert len(np.unique(ids)) == len(hashes) and ids.max() < lm.BEGIN_ID
+    shards = np.split(hashes, [1234, 3000])  # words on both sides of a border may agree
+    clashes = np.sort(np.concatenate([lm.clashing(s, 6) for s in shards]))
+    assert len(np.unique(lm.ids_of(hashes, clashes, 6))) == len(hashes)
+    assert [lm.id_width(n) for n in (0, 1, 1 << 20, 1 << 30, 1 << 50)] == [1, 1, 26, 46, lm.MOST_ID_BITS]
+
+
+@pytest.mark.parametrize("bits", [1, 7])
+def test_lm_scores_do_not_depend_on_the_width_of_ids(docs, monkeypatch, bits):
+    paired = lambda found: sorted(map(tuple, found), key=str)
+    sizes = {"chunk_tokens": 300, "shard_tokens": 1000}
+    want = paired(lm.score(docs, F.lit(False), **sizes).collect())
+    monkeypatch.setattr(lm, "id_width", lambda n_words: bits)
+    got = paired(lm.score(docs, F.lit(False), **sizes).collect())
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-12)
+
+
 def test_lm_without_teachers(odd_documents):
     for r in lm.score(odd_documents, F.lit(True)).collect():
         assert r.train_tokens == r.n_known == 0 and r.score == pytest.approx(r.base_score, abs=1e-6)
