@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from mirador.effects import learners, matching, strata, tuning, two_head
-from mirador.metrics import distance, interpretation, scores
+from mirador.metrics import distance, interpretation, scores, transport
 from mirador.operators import cleaning
 from mirador.operators.summaries import unpivot
 from mirador.plans.bindings import SALES, SALES_SQL, SCORE_SQL, sales, scored_sales
@@ -543,6 +543,19 @@ def representation_distance(t: Tables):
     )
 
 
+@query("joint_transport")
+def joint_transport(t: Tables):
+    """Transport cost between the arms in all covariates together, before matching and after it."""
+    done, train = prepared(t)
+    done = stage(done.withColumn("x", F.array(*[F.col(c).cast("double") for c in X])), "prepared")
+    pairs = stage(matching.nearest_match(learners.propensity_score(train, done, SALES), SALES, "propensity"), "pairs")
+    before, after = (
+        transport.joint_transport(rows, "x", len(X), "t").select(F.lit(phase).alias("phase"), "*")
+        for phase, rows in (("before", done), ("matched", matching.matched_set(done, SALES, pairs)))
+    )
+    return before.unionByName(after)
+
+
 @query("subgroup_describe", f"""
 WITH {SALES_SQL}, {SCORE_SQL}, {GROUP_SQL}, long AS ({" UNION ALL ".join(
     f"SELECT grp, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM grouped" for c in X)})
