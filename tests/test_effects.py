@@ -1,5 +1,7 @@
 """Learners on rows with a planted effect."""
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -99,6 +101,43 @@ def test_one_task_and_many_train_alike(planted):
     assert np.allclose(many[0].weights, small[1].weights, atol=2e-4)
 
 
+def test_networks_train_beside_each_other(planted, spark):
+    """As many tasks of one job as networks, which start before the first one ends."""
+    context = spark.sparkContext
+    nets = [two_head.Net(2, 24, 400, 1e-3, seed) for seed in range(4)]
+    context.setJobGroup("networks-together", "")
+    try:
+        models = two_head.fit_networks(planted, ROLES, nets)
+    finally:
+        context._jsc.clearJobGroup()
+    assert len(models) == 4 and all(len(m.losses) == 400 for m in models)
+    tracker = context.statusTracker()
+    last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("networks-together")))
+    assert tracker.getStageInfo(max(last.stageIds)).numTasks == 4
+
+
+def test_blocks_and_threads_change_no_sum():
+    rng = np.random.default_rng(5)
+    x, arm, y = rng.normal(size=(9000, 3)), (rng.random(9000) < 0.4).astype(float), (rng.random(9000) < 0.5).astype(float)
+    weights = two_head.initial(3, 16, 2)
+    blocks = two_head._blocks(9000, 16)
+    assert len(blocks) > 1
+    whole = two_head._of_block(x, arm, y, 0.1, 0.2, weights, 16)
+    split = two_head.loss_and_gradient(x, arm, y, 0.1, 0.2, weights, 16)
+    assert split[0] == pytest.approx(whole[0]) and np.allclose(split[1], whole[1])
+    with ThreadPool(3) as pool:
+        threaded = two_head._gradient((x, arm, y), (0.1, 0.2), weights, 16, pool.imap)
+    assert np.array_equal(threaded[1], two_head._gradient((x, arm, y), (0.1, 0.2), weights, 16)[1])
+
+
+def test_epochs_read_blocks_over_all_cores(planted, spark):
+    """A table in one partition is dealt out; its blocks hold every row once."""
+    data = planted.selectExpr("x1 AS _x0", "x2 AS _x1", "double(t) AS _t", "double(y) AS _y").coalesce(1)
+    rows = np.concatenate([np.frombuffer(r["_rows"], np.float32).reshape(-1, 4) for r in two_head._packed(data).collect()])
+    want = data.select("_t", "_y", "_x0", "_x1").toPandas().to_numpy(np.float32)
+    assert np.array_equal(rows[np.lexsort(rows.T)], want[np.lexsort(want.T)])
+
+
 def test_summed_gradient_is_that_of_one_machine(planted):
     pdf = planted.toPandas()
     columns = [pdf[c].to_numpy(float) for c in ("t", "y")]
