@@ -30,6 +30,8 @@ ORDER = 4
 BLANK = ord(" ")
 #: Distinct words, times languages, whose characters are looked up in one go; bounds a task's memory.
 WORDS_AT_ONCE = 80_000
+#: Numbers, rows times languages, up to which a table is also held in full (16 MB).
+FULL_CELLS = 1 << 21
 #: Bytes of texts that are looked at in one go; a longer text is looked at alone.
 PIECE_BYTES = 2 << 20
 UNKNOWN = "und"
@@ -92,6 +94,7 @@ class Sparse:
     columns: np.ndarray
     values: np.ndarray
     default: float
+    full: np.ndarray | None = None  # made where it is used, not sent
 
     @classmethod
     def of(cls, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, default: float) -> Sparse:
@@ -100,6 +103,13 @@ class Sparse:
         return cls(starts, column[order].astype(np.int32), value[order], default)
 
     def dense(self, rows: np.ndarray, width: int) -> np.ndarray:
+        if (len(self.starts) - 1) * width > FULL_CELLS:
+            return self.spread(rows, width)
+        if self.full is None:
+            self.full = self.spread(np.arange(len(self.starts) - 1), width)
+        return self.full.take(rows, axis=0)
+
+    def spread(self, rows: np.ndarray, width: int) -> np.ndarray:
         out = np.full((len(rows), width), self.default)
         first, size = self.starts[rows], np.diff(self.starts)[rows]
         ends = np.cumsum(size)
@@ -136,13 +146,18 @@ class Models:
         back = [b[at] for b in back]
         width = len(self.languages)
         probability = np.broadcast_to(self.floor, (len(at), width)).astype(np.float64)
+        # a place's context is the gram that ends before it, which counts too; blanks at the start of a word
+        starts = np.flatnonzero(back[1] == BLANK) if len(back) > 1 else at
+        gram = at
         for level in range(len(self.keys)):
             if level:
-                context = self.find(level - 1, hashes(back, level, skip=1))
+                context = np.roll(gram, 1)
+                context[starts] = self.find(level - 1, hashes([np.array([BLANK], dtype=np.uint32)] * level, level))
                 probability *= self.weights[level - 1].dense(context, width)
             else:
                 probability *= self.start
-            probability += self.shares[level].dense(self.find(level, hashes(back, level + 1)), width)
+            gram = self.find(level, hashes(back, level + 1))
+            probability += self.shares[level].dense(gram, width)
         total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(np.log(probability), axis=0)])
         until = np.searchsorted(at, np.concatenate([[0], ends]))
         return np.diff(total[until], axis=0), np.diff(until)

@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -309,6 +310,31 @@ def test_language_models_are_kneser_ney(spark):
             assert sum(probability(lang, context, c) for c in [*letters, "unseen"]) == pytest.approx(1)
 
 
+def test_grams_are_looked_up_once(monkeypatch):
+    """A context is the gram one place before, and small tables give what the sparse ones give."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdé"), rng.integers(1, 9))) for _ in range(400)] + ["", "a", "1a2b", "77", "ß"]
+    grams = {"l1": ["  ab", " abc", "abc ", "bca ", "    "], "l2": ["   é", "  éa", " dca", "aaab", "   a"]}
+    counts = pd.DataFrame([(lang, g, i + 1) for lang, gs in grams.items() for i, g in enumerate(gs)], columns=["lang", "gram", "n"])
+    models = langid.smoothed(counts, 4)
+    asked, find = [], langid.Models.find
+    monkeypatch.setattr(langid.Models, "find", lambda self, level, wanted: asked.append(len(wanted)) or find(self, level, wanted))
+    logs, sizes = models.log_probabilities(words)
+    assert sum(asked) <= 4 * sizes.sum() + 3
+    monkeypatch.setattr(langid, "FULL_CELLS", 0)
+    sparse, _ = models.log_probabilities(words)
+    assert np.array_equal(logs, sparse)
+    # by hand: every context from its own characters
+    points, _ = langid.spelled(words)
+    back, events = langid.contexts(points, 4)
+    back = [b[np.flatnonzero(events)] for b in back]
+    want = np.broadcast_to(models.floor, (len(back[0]), 2)).astype(float)
+    for level in range(4):
+        want = want * (models.weights[level - 1].spread(find(models, level - 1, langid.hashes(back, level, skip=1)), 2) if level else models.start)
+        want = want + models.shares[level].spread(find(models, level, langid.hashes(back, level + 1)), 2)
+    assert np.allclose(logs.sum(axis=0), np.log(want).sum(axis=0))
+
+
 def test_many_languages(spark):
     """More languages than a dense table would be made for; no limit on their number."""
     letters = [chr(0x4E00 + i) for i in range(1200)]
