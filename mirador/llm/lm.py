@@ -365,7 +365,8 @@ def answer_grams(packets: pa.Table, discount: float) -> pa.Table:
         steps, first, *rest = unpacked(payload.as_buffer())
         read.append((np.cumsum(steps, dtype=np.int64), np.cumsum(first, dtype=np.int32), *rest))
     # training grams of all chunks, as numbers of the shard's own words
-    words = np.unique(np.concatenate([r[0] for r in read]))
+    words = np.sort(np.concatenate([r[0] for r in read]))  # of whole numbers, faster than np.unique
+    words = words[np.concatenate([[True], words[1:] != words[:-1]])]
     size = len(words) + 1
     pairs, thirds, counts = [], [], []
     for ids, u, v, w, sizes, n in read:

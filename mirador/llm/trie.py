@@ -12,6 +12,8 @@ import numpy as np
 NTH_BIT = np.array(
     [([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], dtype=np.int64
 )
+#: The lowest and the highest bit of each byte of a word.
+LOWEST, HIGHEST = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 @dataclass
@@ -48,13 +50,13 @@ class EliasFano:
     def bit(self, before: np.ndarray, number: np.ndarray, value: int) -> np.ndarray:
         """Places of the bits of a value with these numbers, given how many come before each word."""
         word = np.minimum(np.searchsorted(before, number, side="right") - 1, len(self.bits) - 1)
-        shown = (self.bits if value else ~self.bits)[word].view(np.uint8).reshape(-1, 8)
-        nth = (number - before[word]).astype(np.int8)
-        until = np.cumsum(np.bitwise_count(shown), axis=1, dtype=np.int8)
-        byte = np.minimum((until <= nth[:, None]).sum(axis=1), 7)
-        row = np.arange(len(word))
-        nth -= np.where(byte > 0, until[row, byte - 1], 0)
-        return word * 64 + byte * 8 + NTH_BIT[shown[row, byte], np.minimum(nth, 7)]
+        held = self.bits[word] if value else ~self.bits[word]
+        nth = np.minimum(number - before[word], 127).astype(np.uint64)
+        until = np.bitwise_count(held.view(np.uint8)).view(np.uint64) * LOWEST  # in each byte, the bits up to its end
+        passed = np.bitwise_count(((nth * LOWEST) | HIGHEST) - until & HIGHEST)  # bytes that end before it
+        at = np.minimum(passed, 7).astype(np.uint64) * np.uint64(8)
+        nth -= (until << np.uint64(8)) >> at & np.uint64(255)
+        return word * 64 + at.astype(np.int64) + NTH_BIT[(held >> at & np.uint64(255)).astype(np.int64), np.minimum(nth, 7).astype(np.int64)]
 
     def zero(self, number: np.ndarray) -> np.ndarray:
         return self.bit(self.zeros, number, 0)
@@ -73,9 +75,12 @@ class EliasFano:
         high = (wanted >> np.uint64(self.shift)).astype(np.int64)
         asked = np.flatnonzero(high < int(self.zeros[-1]))
         high, low = high[asked], (wanted[asked] & np.uint64((1 << self.shift) - 1)).astype(self.low.dtype)
-        end = np.minimum(self.zero(high) - high, self.size)
-        start = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - (high - 1), 0)
-        left, right = start, end.copy()
+        # neighbours often share their high bits, whose range is found once
+        new = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]])) if len(high) else high
+        times, high = np.diff(new, append=len(high)), high[new]
+        end = np.repeat(np.minimum(self.zero(high) - high, self.size), times)
+        left = np.repeat(np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - (high - 1), 0), times)
+        right = end.copy()
         while (open_ := left < right).any():
             middle = (left + right) >> 1
             less = open_ & (self.low[np.minimum(middle, self.size - 1)] < low)
@@ -133,7 +138,8 @@ class Trie:
         nodes = 1
         for parent, child in zip(parents, children):
             width = np.zeros(nodes, dtype=np.int64)
-            np.maximum.at(width, parent, child + 1)
+            last = np.flatnonzero(np.concatenate([parent[1:] != parent[:-1], [True]]))[: len(parent)]
+            width[parent[last]] = child[last] + 1  # children rise
             bases = np.concatenate([[0], np.cumsum(width)])
             built += [EliasFano.of(bases), EliasFano.of(bases[parent] + child)]
             nodes = len(child)

@@ -238,6 +238,26 @@ def test_trie_finds_its_grams_and_no_others():
     assert all((at >= 0) == (tuple(g) in known) for g, at in zip(asked.tolist(), find(asked)))
 
 
+@pytest.mark.parametrize("top", [50, 5_000, 1 << 40])
+def test_neighbours_find_their_range_once(top, monkeypatch):
+    """Values that share their high bits ask for one range; what is found stays the same."""
+    rng = np.random.default_rng(top)
+    values = np.sort(rng.integers(0, top, 4000))
+    sequence = EliasFano.of(values)
+    assert np.array_equal(sequence.get(np.arange(len(values))), values)
+    asked = np.sort(np.concatenate([rng.choice(values, 3000), rng.integers(0, 2 * top, 3000)]))
+    ranges, zero = [], EliasFano.zero
+    monkeypatch.setattr(EliasFano, "zero", lambda self, number: ranges.append(len(number)) or zero(self, number))
+    found = sequence.find(asked)
+    high = asked >> sequence.shift
+    assert sum(ranges) <= 2 * len(np.unique(high))
+    first = np.searchsorted(values, asked)
+    known = np.isin(asked, values)
+    assert np.array_equal(found, np.where(known, first, -1))
+    mixed = rng.permutation(asked)
+    assert np.array_equal(np.sort(sequence.find(mixed)), np.sort(found))
+
+
 # language identification
 
 
