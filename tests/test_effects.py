@@ -130,6 +130,12 @@ def test_blocks_and_threads_change_no_sum():
     assert np.array_equal(threaded[1], two_head._gradient((x, arm, y), (0.1, 0.2), weights, 16)[1])
 
 
+def test_blocks_take_no_missing_values(planted):
+    """A missing value stops the training by epochs, as it did before there were blocks."""
+    with pytest.raises(Exception, match="missing"):
+        two_head.fit_two_head(planted.withColumn("x1", F.when(F.col("id") != 3, F.col("x1"))), ROLES, 4, 1, task_cells=0)
+
+
 def test_epochs_read_blocks_over_all_cores(planted, spark):
     """A table in one partition is dealt out; its blocks hold every row once."""
     data = planted.selectExpr("x1 AS _x0", "x2 AS _x1", "double(t) AS _t", "double(y) AS _y").coalesce(1)
