@@ -34,7 +34,7 @@ from mirador.sources.tables import stage
 
 from .registry import query, table
 from .trie import Trie
-from .words import GOLDEN, mix, pieces, send, texts, word_hashes
+from .words import GOLDEN, lean, lean_group, mix, pieces, send, texts, word_hashes
 
 CHUNK_TOKENS = 1_500_000
 SHARD_TOKENS = 3_000_000
@@ -121,6 +121,17 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the place of each value among them; half the memory of np.unique."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(values), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
 def by_use(uses: np.ndarray) -> np.ndarray:
     return np.argsort(-uses.astype(np.int64), kind="stable")
 
@@ -185,7 +196,7 @@ def chunked(docs: DataFrame, held_out: Column, chunk_tokens: int) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("bigint"), F.coalesce(held_out, F.lit(False)).alias("held"), "text"
     )
-    return rows.mapInArrow(run, CHUNKS_DDL)
+    return rows.mapInArrow(lean(run), CHUNKS_DDL)
 
 
 def word_packets(chunks: DataFrame, shards: int) -> DataFrame:
@@ -199,7 +210,7 @@ def word_packets(chunks: DataFrame, shards: int) -> DataFrame:
                 rows = [(s, chunk, packed(gaps(hashes[a:b]), counts[a:b])) for s, a, b in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKETS)], schema=PACKETS)
 
-    return chunks.select("chunk", "words").mapInArrow(run, PACKETS_DDL)
+    return chunks.select("chunk", "words").mapInArrow(lean(run), PACKETS_DDL)
 
 
 def id_width(n_words: int) -> int:
@@ -259,29 +270,33 @@ class Windows:
         words = len(ids)
         self.order = np.argsort(ids)
         self.ids = np.concatenate([ids[self.order], [BEGIN_ID, PAD_ID]])
-        number = np.empty(words, dtype=np.int64)
+        number = np.empty(words, dtype=np.int32)
         number[self.order] = np.arange(words)
         begin, pad = words, words + 1
         docs = len(lengths)
         marked = lengths + 3  # two begin marks, the tokens, one pad
         firsts = np.cumsum(marked) - marked
-        line = np.full(int(marked.sum()), begin, dtype=np.int64)
-        token = np.arange(len(codes)) + 3 * np.repeat(np.arange(docs), lengths) + 2
-        line[token] = number[codes]
+        line = np.full(int(marked.sum()), begin, dtype=np.int32)
+        is_token = np.ones(len(line), dtype=bool)
+        is_token[firsts] = is_token[firsts + 1] = is_token[firsts + marked - 1] = False
+        line[is_token] = number[codes]
         line[firsts + marked - 1] = pad
         starts = np.ones(len(line), dtype=bool)
         starts[firsts + marked - 1] = starts[firsts + marked - 2] = False
-        at = np.flatnonzero(starts)
-        u, v, w = line[at], line[at + 1], line[at + 2]
+        u, v, w = line[starts], line[1:][starts[:-1]], line[2:][starts[:-2]]
+        del line, is_token, starts
         self.trains = np.repeat(~held, lengths + 1)
         self.predicts = w != pad
-        pairs, self.pair = np.unique(u * (words + 2) + v, return_inverse=True)
-        self.u, self.v = np.divmod(pairs, words + 2)
-        grams, self.gram = np.unique(self.pair * (words + 2) + w, return_inverse=True)
-        self.gram_pair, self.w = np.divmod(grams, words + 2)
+        pairs, self.pair = numbered(u * np.int64(words + 2) + v)
+        del u
+        self.u, self.v = (x.astype(np.int32) for x in np.divmod(pairs, words + 2))
+        del pairs
+        grams, self.gram = numbered(self.pair * np.int64(words + 2) + w)
+        self.gram_pair, self.w = (x.astype(np.int32) for x in np.divmod(grams, words + 2))
         self.context, self.word = v, w
+        del grams
         spread = mix(self.ids[self.u].astype(np.uint64) * GOLDEN ^ mix(self.ids[self.v].astype(np.uint64)))
-        self.shard = shard_of(spread, shards)
+        self.shard = shard_of(spread, shards).astype(np.int32)
 
     def packets(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Shard, pairs and grams of each, both in order."""
@@ -301,7 +316,7 @@ def read_chunk(tokens: bytes, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     codes, lengths, held, missing, ids = unpacked(tokens)
     signed = ids.astype(np.uint64).view(np.int64)
     names = [None if gone else int(i) for gone, i in zip(missing, signed)]
-    return by_use(uses)[codes], lengths.astype(np.int64), held.astype(bool), names
+    return by_use(uses).astype(np.int32)[codes], lengths.astype(np.int64), held.astype(bool), names
 
 
 def read_words(words: bytes, clashes: np.ndarray, id_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,33 +340,48 @@ def homes(chunks: DataFrame, clashes: Broadcast, id_bits: int) -> DataFrame:
                 [batch.column("chunk"), batch.column("tokens"), pa.array(kept, pa.binary())], ["chunk", "payload", "words"]
             )
 
-    return chunks.select("chunk", "tokens", "words").mapInArrow(run, "chunk bigint, payload binary, words binary")
+    return chunks.select("chunk", "tokens", "words").mapInArrow(lean(run), "chunk bigint, payload binary, words binary")
+
+
+def grams_of(words: bytes, tokens: bytes, shards: int, clashes: np.ndarray, id_bits: int) -> Iterator[tuple[int, bytes]]:
+    """Shard and payload: the distinct trigrams of a chunk."""
+    word_ids, uses = read_words(words, clashes, id_bits)
+    codes, lengths, held, _ = read_chunk(tokens, uses)
+    found = Windows(codes, lengths, held, word_ids, shards)
+    del codes
+    counts = np.bincount(found.gram[found.trains], minlength=len(found.w))
+    for shard, pairs, grams in found.packets(shards):
+        owner = np.searchsorted(pairs, found.gram_pair[grams])
+        columns = [found.ids[found.u[pairs]], found.ids[found.v[pairs]], found.ids[found.w[grams]]]
+        ids, number = np.unique(np.concatenate(columns), return_inverse=True)
+        a, b = len(pairs), 2 * len(pairs)
+        yield shard, packed(
+            gaps(ids), gaps(number[:a]), number[a:b], number[b:],
+            np.bincount(owner, minlength=a), counts[grams],
+        )
 
 
 def gram_packets(chunks: DataFrame, shards: int, clashes: Broadcast, id_bits: int) -> DataFrame:
-    """Distinct trigrams of each chunk, by the shard of their first two words."""
+    """Distinct trigrams of each chunk, by the shard of their first two words.
+
+    A task holds one chunk at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, chunk in enumerate(batch.column("chunk").to_pylist()):
-                word_ids, uses = read_words(batch.column("words")[k].as_buffer(), clashes.value, id_bits)
-                codes, lengths, held, _ = read_chunk(batch.column("tokens")[k].as_buffer(), uses)
-                found = Windows(codes, lengths, held, word_ids, shards)
-                counts = np.bincount(found.gram[found.trains], minlength=len(found.w))
-                for shard, pairs, grams in found.packets(shards):
-                    owner = np.searchsorted(pairs, found.gram_pair[grams])
-                    columns = [found.ids[found.u[pairs]], found.ids[found.v[pairs]], found.ids[found.w[grams]]]
-                    ids, number = np.unique(np.concatenate(columns), return_inverse=True)
-                    a, b = len(pairs), 2 * len(pairs)
-                    payload = packed(
-                        gaps(ids), gaps(number[:a]), number[a:b], number[b:],
-                        np.bincount(owner, minlength=a), counts[grams],
-                    )
+            for chunk, tokens, words in zip(*(batch.column(c) for c in ("chunk", "tokens", "words"))):
+                for shard, payload in grams_of(words.as_buffer(), tokens.as_buffer(), shards, clashes.value, id_bits):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard]), pa.array([chunk]), pa.array([payload], pa.binary())], schema=PACKETS
+                        [pa.array([shard]), pa.array([chunk.as_py()]), pa.array([payload], pa.binary())], schema=PACKETS
                     )
 
-    return chunks.select("chunk", "tokens", "words").mapInArrow(run, PACKETS_DDL)
+    return chunks.select("chunk", "tokens", "words").mapInArrow(lean(run), PACKETS_DDL)
+
+
+def read_grams(payload: pa.Scalar) -> list[np.ndarray]:
+    """Word ids of a packet; first and second word of its pairs, third words, grams of each pair and their training counts."""
+    steps, first, *rest = unpacked(payload.as_buffer())
+    return [np.cumsum(steps, dtype=np.int64), np.cumsum(first, dtype=np.int32), *rest]
 
 
 def answer_grams(packets: pa.Table, discount: float) -> pa.Table:
@@ -360,49 +390,59 @@ def answer_grams(packets: pa.Table, discount: float) -> pa.Table:
     Per gram, the discounted probability; per pair, its count and the back-off weight.
     """
     shard = packets.column("shard")[0].as_py()
-    read = []
-    for payload in packets.column("payload"):
-        steps, first, *rest = unpacked(payload.as_buffer())
-        read.append((np.cumsum(steps, dtype=np.int64), np.cumsum(first, dtype=np.int32), *rest))
+    payloads = packets.column("payload")  # small as they are, and read anew for each step
     # training grams of all chunks, as numbers of the shard's own words
-    words = np.sort(np.concatenate([r[0] for r in read]))  # of whole numbers, faster than np.unique
+    words = np.sort(np.concatenate([read_grams(p)[0] for p in payloads]))  # of whole numbers, faster than np.unique
     words = words[np.concatenate([[True], words[1:] != words[:-1]])]
     size = len(words) + 1
-    pairs, thirds, counts = [], [], []
-    for ids, u, v, w, sizes, n in read:
+    pairs, times, thirds, counts = [], [], [], []
+    for ids, u, v, w, sizes, n in map(read_grams, payloads):
         number = np.searchsorted(words, ids)
         seen = n > 0
-        pairs.append(np.repeat(number[u] * size + number[v], sizes)[seen])
+        of_pair = np.bincount(np.repeat(np.arange(len(u)), sizes)[seen], minlength=len(u))
+        has = of_pair > 0
+        pairs.append(number[u[has]] * size + number[v[has]])
+        times.append(of_pair[has].astype(np.int32))
         thirds.append(number[w[seen]].astype(np.int32))
         counts.append(n[seen].astype(np.int32))
-    pairs, pair = np.unique(np.concatenate(pairs), return_inverse=True)
-    grams = pair * size + np.concatenate(thirds)
-    del pair, thirds
+    pairs = np.concatenate(pairs)
+    pairs, pair = numbered(pairs)
+    pair = np.repeat(pair, np.concatenate(times))
+    grams = pair * np.int64(size)
+    del pair, times
+    grams += np.concatenate(thirds)
+    del thirds
+    counts = np.concatenate(counts)
     order = np.argsort(grams)
-    grams, n = grams[order], np.concatenate(counts)[order]
+    grams, n = grams[order], counts[order]
     del order, counts
     first = np.ones(len(grams), dtype=bool)
     first[1:] = grams[1:] != grams[:-1]
     starts = np.flatnonzero(first)
     count = np.add.reduceat(n, starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
-    pair, w = np.divmod(grams[starts], size)
-    del grams, n, first
+    del n, first
+    grams = grams[starts]
+    del starts
+    pair, w = (x.astype(np.int32) for x in np.divmod(grams, size))
+    del grams
     total = np.bincount(pair, weights=count, minlength=len(pairs))
-    total_code = quantised(1 / np.maximum(total, 1)).astype(np.int64)
+    total_code = quantised(1 / np.maximum(total, 1))
     # a product of quantised factors: the code of the probability is the sum of theirs
-    part_code = np.rint(-np.log(np.maximum(count - discount, 1e-9)) * CODES_PER_E).astype(np.int64)
-    kept_code = np.maximum(part_code + total_code[pair], 0)
+    part_code = np.rint(-np.log(np.maximum(count - discount, 1e-9)) * CODES_PER_E).astype(np.int32)
+    part_code += total_code[pair]
+    kept_code = np.maximum(part_code, 0).astype(np.uint16)
+    del part_code
     spread = 1 - np.bincount(pair, weights=np.maximum(count - discount, 0) / total[pair], minlength=len(pairs))
+    codes = [kept_code, total_code, quantised(np.maximum(spread, 1e-18))]
+    del count, total, spread
     u, v = (x.astype(np.int32) for x in np.divmod(pairs, size))
-    trie = Trie(
-        words,
-        np.stack([u[pair], v[pair], w.astype(np.int32)], axis=1),
-        [kept_code.astype(np.uint16), total_code.astype(np.uint16), quantised(np.maximum(spread, 1e-18))],
-    )
-    del u, v, w, pair, pairs, count, kept_code, part_code, total_code, total, spread, words
+    path = np.stack([u[pair], v[pair], w], axis=1)
+    del u, v, w, pair, pairs
+    trie = Trie(words, path, codes)
+    del path, words, codes
     kept_codes, total_codes, spread_codes = (np.append(c, np.uint16(NOTHING)) for c in trie.codes)
     out = []
-    for chunk, (ids, u, v, w, sizes, _) in zip(packets.column("chunk").to_pylist(), read):
+    for chunk, (ids, u, v, w, sizes, _) in zip(packets.column("chunk").to_pylist(), map(read_grams, payloads)):
         number = trie.numbers(ids)
         roots, owner = np.unique(u, return_inverse=True)  # in numbers of the packet
         top = trie.children(0, np.zeros(1, dtype=np.int64), np.zeros(len(roots), dtype=np.int64), number[roots])
@@ -483,7 +523,7 @@ def score(
     gram_shards = max(1, math.ceil(sizes["n_tokens"] / shard_tokens))
     id_bits = id_width(sizes["n_words"])
     answers = word_packets(chunks, word_shards).groupBy("shard").applyInArrow(
-        lambda packets: answer_words(packets, id_bits), ANSWERS_DDL
+        lean_group(lambda packets: answer_words(packets, id_bits)), ANSWERS_DDL
     )
     words = stage(answers, "lm-words")
     known = words.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
@@ -496,7 +536,7 @@ def score(
     grams = (
         gram_packets(chunks, gram_shards, clashes, id_bits)
         .groupBy("shard")
-        .applyInArrow(lambda packets: answer_grams(packets, discount), ANSWERS_DDL)
+        .applyInArrow(lean_group(lambda packets: answer_grams(packets, discount)), ANSWERS_DDL)
     )
     home = homes(chunks, clashes, id_bits).select(
         "chunk", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("shard"), "payload", "words"
@@ -505,7 +545,7 @@ def score(
     together = home.unionByName(words.select(*columns)).unionByName(grams.select(*columns))
     train_tokens, train_docs = sizes["train_tokens"], sizes["train_docs"]
     scored = together.groupBy("chunk").applyInArrow(
-        lambda rows: add_up(rows, gram_shards, train_tokens, known, train_docs, prior), SCORES_DDL
+        lean_group(lambda rows: add_up(rows, gram_shards, train_tokens, known, train_docs, prior)), SCORES_DDL
     )
     return scored.withColumn("train_tokens", F.lit(train_tokens).cast("bigint")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"

@@ -54,10 +54,15 @@ def make_room(name: str | None) -> None:
 
 def give_back() -> None:
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Memory that the allocators hold free goes back to the machine."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if malloc_trim:
+        malloc_trim(0)
 
 
 def lean(run: Run, keeps: str | None = None) -> Run:
@@ -75,6 +80,18 @@ def lean(run: Run, keeps: str | None = None) -> Run:
     return inner
 
 
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` for the rows of a group, after which the worker gives its free memory back to the machine."""
+
+    def inner(rows: pa.Table) -> pa.Table:
+        make_room(None)
+        out = run(rows)
+        trim()
+        return out
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     with np.errstate(over="ignore"):

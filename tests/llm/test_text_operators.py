@@ -5,11 +5,13 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -210,6 +212,38 @@ def test_lm_without_teachers(odd_documents):
         assert r.train_tokens == r.n_known == 0 and r.score == pytest.approx(r.base_score, abs=1e-6)
 
 
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_steps_take_little_memory_a_token():
+    """Several workers of an executor hold a chunk or a shard each, beside each other."""
+    rng = np.random.default_rng(11)
+    n, packets, windows = 60_000, [], []
+    for chunk in range(6):
+        ids, codes = np.unique(rng.zipf(1.3, n) % 20_000, return_inverse=True)
+        lengths, held = np.full(n // 60, 60), rng.random(n // 60) < 0.1
+        windows.append((codes, lengths, held, ids, 3))
+        found = lm.Windows(*windows[-1])
+        counts = np.bincount(found.gram[found.trains], minlength=len(found.w))
+        for shard, pairs, grams in found.packets(3):
+            owner = np.searchsorted(pairs, found.gram_pair[grams])
+            named, number = np.unique(np.concatenate([found.ids[x] for x in (found.u[pairs], found.v[pairs], found.w[grams])]), return_inverse=True)
+            a, b = len(pairs), 2 * len(pairs)
+            payload = lm.packed(lm.gaps(named), lm.gaps(number[:a]), number[a:b], number[b:], np.bincount(owner, minlength=a), counts[grams])
+            packets.append((shard, chunk, payload))
+    assert peak_of(lambda: lm.Windows(*windows[0])) < 90 * n
+    of_one = [p for p in packets if p[0] == 1]
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*of_one), lm.PACKETS)], schema=lm.PACKETS)
+    grams = sum(len(lm.unpacked(p[2])[-1]) for p in of_one)
+    assert peak_of(lambda: lm.answer_grams(table, lm.DISCOUNT)) < 100 * grams
+
+
 @pytest.mark.parametrize("size,top", [(0, 1), (1, 1), (5, 3), (1000, 10), (1000, 10**6), (3000, 2**48)])
 def test_elias_fano(size, top):
     rng = np.random.default_rng(size)
