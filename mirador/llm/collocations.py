@@ -5,8 +5,8 @@ Texts are read once, into chunks of tokens with numbers of the chunk's own. A wo
 stand for two words, all words are hashed anew with another seed, so ids are as good as the words.
 
 Words, then phrases, are counted size by size: a task counts the phrases of its chunks in one
-HAT-trie and gives out sorted runs; runs are dealt out by their first two words and merged. Two
-sieves keep the rare phrases out of the tries. A phrase can only be frequent if both phrases of one
+HAT-trie and gives out sorted runs; runs are cut into parts by a hash of the phrase, travel as
+blocks of many phrases each, and are merged part by part. Two sieves keep the rare phrases out of the tries. A phrase can only be frequent if both phrases of one
 word less in it are; and only if its cell, 48 bits of its hash, is: cells are counted first, as
 sorted and compressed differences, a few bytes each. Either sieve is sent as a bitmap of a fixed
 size, in which a false positive costs a count and no more, so the counts are exact and nothing
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mirador.sources.tables import stage
 
-from .hattrie import HatTrie, hashed
+from .hattrie import HatTrie, hashed, in_order
 from .registry import query, table
 
 #: Bytes that end a piece, and the mark put for them: a byte that no UTF-8 text has.
@@ -38,6 +38,8 @@ PLAIN = bytes.maketrans(ENDS + bytes(range(65, 91)), b"\n" * len(ENDS) + bytes(r
 SLICE, CHUNK_BYTES, WINDOWS = 8 << 20, 64 << 20, 1 << 19
 #: Bits of a cell, cells that are sorted at a time, tokens for each part that cells are dealt out to.
 CELL_BITS, CELLS, PART_TOKENS = 48, 1 << 21, 1 << 21
+#: Phrases of runs that are cut into parts at a time, phrases that are merged at a time, tokens for each part of runs.
+RUN_PHRASES, MERGED_PHRASES, RUN_PART_TOKENS = 1 << 18, 1 << 20, 1 << 24
 
 WORD = pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 CHUNKS = pa.schema([("tokens", pa.binary()), ("words", pa.list_(WORD))])
@@ -167,12 +169,14 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def totals(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells in order, and the sums of their counts."""
-    order = np.argsort(cells)
-    cells, counts = cells[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else order
-    return cells[first], np.add.reduceat(counts, first) if len(cells) else counts
+def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (a column each) in order, and the sums of their counts."""
+    order = in_order(keys) if len(keys) > 1 else np.argsort(keys[0])
+    keys, counts = keys[:, order], counts[order]
+    new = np.ones(len(counts), dtype=bool)
+    new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    return keys[:, first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def dealt(cells: np.ndarray, part_bits: int) -> Iterator[pa.RecordBatch]:
@@ -188,30 +192,43 @@ def dealt(cells: np.ndarray, part_bits: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names=["part", "cells", "counts"])
 
 
-def frequent_in(batches: Iterator[pa.RecordBatch], min_count: int, at_once: int) -> Iterator[pa.RecordBatch]:
-    """Cells whose counts add up to ``min_count``, of rows that come part by part."""
-    none = np.zeros(0, dtype=np.uint64)
-    held, waiting, number, now = (none, none), [], 0, None
+def merged(
+    batches: Iterator[pa.RecordBatch], opened: Callable[[bytes], np.ndarray], names: list[str], min_count: int, at_once: int
+) -> Iterator[pa.RecordBatch]:
+    """Keys and their counts, if they add up to ``min_count``, of rows (part, keys, counts) that come part by part."""
+    none = np.zeros((len(names) - 1, 0), dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    held, waiting, number, now = none, [], 0, None
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        return totals(*(np.concatenate(column) for column in zip(held, *waiting)))
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        return totals(*(np.concatenate(column, axis=-1) for column in zip(held, *waiting)))
 
     def ended() -> pa.RecordBatch:
-        cells, counts = merged()
-        return pa.RecordBatch.from_arrays([pa.array(cells[counts >= min_count].view(np.int64))], names=["id_0"])
+        keys, counts = summed()
+        columns = [*keys[:, counts >= min_count], counts[counts >= min_count]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=names)
 
     for batch in batches:
-        for part, cells, counts in zip(*(batch.column(c) for c in ("part", "cells", "counts"))):
+        for part, keys, counts in zip(*batch.columns):
             if part.as_py() != now:
                 yield ended()
-                held, waiting, number, now = (none, none), [], 0, part.as_py()
-            waiting.append((np.cumsum(unpacked(cells.as_py()), dtype=np.uint64), unpacked(counts.as_py())))
-            number += len(waiting[-1][0])
+                held, waiting, number, now = none, [], 0, part.as_py()
+            waiting.append((opened(keys.as_py()), unpacked(counts.as_py())))
+            number += len(waiting[-1][1])
             if number >= at_once:
-                held, waiting, number = merged(), [], 0
+                held, waiting, number = summed(), [], 0
     yield ended()
 
 
+def opened_cells(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)[None]
+
+
+def frequent_in(batches: Iterator[pa.RecordBatch], min_count: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Cells whose counts add up to ``min_count``, of rows that come part by part."""
+    for batch in merged(batches, opened_cells, ["id_0", "a"], min_count, at_once):
+        yield batch.select(["id_0"])
+
+
 def frequent_cells(
     chunks: DataFrame, size: int, words: np.ndarray, shorter: np.ndarray | None, min_count: int, tokens: int, cells_at_once: int
 ) -> DataFrame:
@@ -243,12 +260,60 @@ def frequent_cells(
     return found
 
 
+def closed_phrases(phrases: np.ndarray) -> bytes:
+    """Phrases as bytes: the differences of their first ids, then their other ids, column by column."""
+    return packed(np.concatenate([np.diff(phrases[0], prepend=np.uint64(0)), *phrases[1:]]))
+
+
+def opened_phrases(raw: bytes, size: int) -> np.ndarray:
+    phrases = unpacked(raw).reshape(size, -1)
+    phrases[0] = np.cumsum(phrases[0], dtype=np.uint64)
+    return phrases
+
+
+def blocks(runs: Iterator[tuple[np.ndarray, np.ndarray]], part_bits: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, phrases, counts) of sorted runs, about ``at_once`` phrases at a time; a part is a range of cells."""
+
+    def cut(waiting: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        waiting.sort(key=lambda run: int(run[0][0, 0]))  # runs of one trie follow each other
+        phrases, counts = (np.concatenate(column, axis=-1) for column in zip(*waiting))
+        part = (cells_of(phrases) >> np.uint64(CELL_BITS - part_bits)).view(np.int64)
+        order = np.argsort(part, kind="stable")
+        parts, starts = np.unique(part[order], return_index=True)
+        chosen = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+        columns = [
+            pa.array(parts),
+            pa.array([closed_phrases(phrases[:, c]) for c in chosen], pa.binary()),
+            pa.array([packed(counts[c]) for c in chosen], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "phrases", "counts"])
+
+    waiting, number = [], 0
+    for run in runs:
+        waiting.append(run)
+        number += len(run[1])
+        if number >= at_once:
+            yield cut(waiting)
+            waiting, number = [], 0
+    if number:
+        yield cut(waiting)
+
+
+def frequent_phrases(batches: Iterator[pa.RecordBatch], size: int, min_count: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Phrases whose counts add up to ``min_count``, of rows that come part by part."""
+    return merged(batches, partial(opened_phrases, size=size), [*keys_of(size), "a"], min_count, at_once)
+
+
 def counted(
-    chunks: DataFrame, size: int, words: np.ndarray, cells: np.ndarray, min_count: int, trie_phrases: int
+    chunks: DataFrame, size: int, words: np.ndarray, cells: np.ndarray, min_count: int, tokens: int, trie_phrases: int
 ) -> DataFrame:
-    """(id_0 ..., a) of the phrases of ``size`` words in these cells that come ``min_count`` times or more."""
+    """(id_0 ..., a) of the phrases of ``size`` words in these cells that come ``min_count`` times or more.
+
+    A task counts each phrase of its own texts once, in its trie, and all counts of a part, one for
+    every RUN_PART_TOKENS tokens, are merged in one task, MERGED_PHRASES at a time.
+    """
     sent = chunks.sparkSession.sparkContext.broadcast((words, cells))
-    names = keys_of(size)
+    part_bits = min(CELL_BITS - 1, (tokens // RUN_PART_TOKENS).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -259,16 +324,13 @@ def counted(
                     yield from trie.add(phrases[:, marked(sent.value[1], cells_of(phrases)[None])])
             yield from trie.rest()
 
-        for keys, numbers in runs():
-            columns = [pa.array(k.view(np.int64)) for k in np.ascontiguousarray(keys)]
-            whole = pa.RecordBatch.from_arrays([*columns, pa.array(numbers)], names=[*names, "a"])
-            for at in range(0, whole.num_rows, 1 << 16):
-                yield whole.slice(at, 1 << 16)
+        yield from blocks(runs(), part_bits, RUN_PHRASES)
 
     rows = chunks.select("tokens", F.col("words.id").alias("ids"))
-    rows = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "a"]))
-    merged = rows.repartition(*names[:2]).groupBy(*names).agg(F.sum("a").alias("a"))
-    found = stage(merged.filter(F.col("a") >= min_count), f"phrases-{size}")
+    rows = rows.mapInArrow(run, "part bigint, phrases binary, counts binary")
+    rows = rows.repartition("part").sortWithinPartitions("part")
+    merge = partial(frequent_phrases, size=size, min_count=min_count, at_once=MERGED_PHRASES)
+    found = stage(rows.mapInArrow(merge, ", ".join(f"{c} bigint" for c in [*keys_of(size), "a"])), f"phrases-{size}")
     sent.destroy()
     return found
 
@@ -315,7 +377,7 @@ def frequent(
     for size in range(2, longest + 1):
         # the frequent words are applied to the tokens themselves
         cells = frequent_cells(chunks, size, known, shorter if size > 2 else None, min_count, tokens, cells_at_once)
-        level = counted(chunks, size, known, bitmap(cells, 1, bits), min_count, trie_phrases)
+        level = counted(chunks, size, known, bitmap(cells, 1, bits), min_count, tokens, trie_phrases)
         if level.isEmpty():
             break  # nor is there any longer one
         found.append(level.select(F.array(*keys_of(size)).alias("words"), "a"))

@@ -1,6 +1,7 @@
 """Collocations, mixing and hard negatives against brute force, on the small tables and on odd rows."""
 
 import collections
+import itertools
 import math
 import re
 
@@ -119,6 +120,34 @@ def test_cells_add_up_over_rows_and_parts():
     assert (collocations.unpacked(collocations.packed(odd)) == odd).all()
 
 
+def test_runs_add_up_over_blocks_and_parts():
+    rng = np.random.default_rng(4)
+    words, want, rows = rng.integers(1, 2**64, 40, dtype=np.uint64), collections.Counter(), []
+    for task in range(12):
+        trie = hattrie.HatTrie(3, 900)
+        phrases = words[np.minimum(rng.zipf(1.3, (3, 4000)), 40) - 1]
+        want.update(map(tuple, phrases.T.tolist()))
+        runs = itertools.chain(trie.add(phrases), trie.rest())
+        found = [r for b in collocations.blocks(runs, 2, 10**6 if task % 2 else 500) for r in b.to_pylist()]
+        assert len(found) == 4 if task % 2 else 4 < len(found) < 100
+        rows += [(r["part"], r["phrases"], r["counts"]) for r in found]
+    rows = pa.Table.from_pylist([dict(zip(("part", "phrases", "counts"), r)) for r in sorted(rows)])
+    want = sorted((*p, n) for p, n in want.items() if n >= 20)
+    for at_once in (100, 10**6):
+        got = [r for b in collocations.frequent_phrases(iter(rows.to_batches(max_chunksize=5)), 3, 20, at_once) for r in b.to_pylist()]
+        unsigned = [(*(r[f"id_{i}"] % 2**64 for i in range(3)), r["a"]) for r in got]
+        assert sorted(unsigned) == want and len(want) > 100
+
+
+def test_counts_of_a_task_travel_together(documents, monkeypatch):
+    """What tasks send has a row for a part of a run, not for each phrase that a task counted."""
+    few, sent = documents.filter(F.length("text") < 2000), []
+    repartition = type(few).repartition
+    monkeypatch.setattr(type(few), "repartition", lambda rows, *by: sent.append(rows.count()) or repartition(rows, *by))
+    assert collocations.collocations(few, 3).count() > 100
+    assert len(sent) >= 6 and max(sent) <= 16
+
+
 def test_cells_are_dealt_out_bit_by_bit(docs):
     """With a few cells at a time, many rows for a part, the result is the same."""
     few = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 2000)
