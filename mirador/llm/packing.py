@@ -20,16 +20,18 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mirador.sources.tables import stage
 
 from .registry import query, table
-from .segments import Memory, segments
+from .segments import WHITE, Memory, segments
 from .words import kept, lean, pieces, send
 
 CAPACITY = 1024
@@ -49,6 +51,11 @@ PIECES_DDL = (
     "doc_id bigint, text_hash bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
     "task bigint, number bigint"
 )
+#: Texts that can't be cut at their blanks alone: white space (Python's, too) before a blank.
+UNSAFE = f"[{WHITE}\x1c-\x1f] "
+#: A part in runs from white space on; a line feed before another character is a token of its own.
+RUNS = re.compile(f"\n(?=[^{WHITE}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+MARKS = ".,;:!?#*$%&|<>()"
 Configuration = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
 
@@ -251,6 +258,75 @@ def parts_of(text: str, added: re.Pattern | None) -> list[str]:
     return [s for k, part in enumerate(added.split(text)) for s in ([part] if k % 2 else segments(part))]
 
 
+def cuts(part: str) -> list[str]:
+    """Segments of what lies from one blank to the next: lines, and the marks that end them."""
+    out = []
+    for run in RUNS.findall(part):
+        bare = run.rstrip(MARKS)
+        if len(bare) < len(run) and bare[-1:].isalnum():  # no token goes on from a letter or digit to a mark
+            out += (bare, run[len(bare) :])
+        else:
+            out.append(run)
+    return out
+
+
+def strings(column: pa.Array, rows: np.ndarray) -> list[str]:
+    """The values in these rows; faster than ``to_pylist``."""
+    return column.take(pa.array(rows)).to_numpy(zero_copy_only=False).tolist()
+
+
+def blank_before(column: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise("", column, " ")
+
+
+def ids_of(texts: pa.Array, memory: Memory, added: re.Pattern | None, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, each with ``end_id`` after it, and where each text ends.
+
+    Arrow splits the texts at blanks and finds their distinct parts, so that Python sees a part once
+    for all its places. A text that can't be split there is one part.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    whole = pc.match_substring_regex(texts, UNSAFE)
+    if added is not None:
+        whole = pc.or_(whole, pc.match_substring_regex(texts, added.pattern))
+    at_blanks = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+    found = at_blanks.flatten().dictionary_encode()
+    lists = np.concatenate([[0], np.cumsum(pc.list_value_length(at_blanks).to_numpy())])
+    parts, codes = found.dictionary, found.indices.to_numpy().astype(np.int64)
+
+    # codes: parts after a blank, then first parts, then whole texts
+    first = lists[:-1]
+    firsts, codes[first] = np.unique(codes[first], return_inverse=True)
+    codes[first] += len(parts)
+    whole = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+    codes[first[whole]] = len(parts) + len(firsts) + np.arange(len(whole))
+    times = np.bincount(codes, minlength=len(parts) + len(firsts) + len(whole))
+
+    follows = times[: len(parts)] > 0
+    bare = pc.ascii_rtrim(parts, MARKS)
+    words = pc.utf8_is_alpha(bare).to_numpy(zero_copy_only=False)
+    marked = pc.not_equal(pc.binary_length(bare), pc.binary_length(parts)).to_numpy(zero_copy_only=False)
+    simple, ended, other = (np.flatnonzero(follows & x) for x in (words & ~marked, words & marked, ~words))
+    more = [[b, p[len(b) :]] for b, p in zip(strings(blank_before(bare), ended), strings(blank_before(parts), ended))]
+    more += [cuts(" " + p) for p in strings(parts, other)]
+    more += [cuts(p) for p in strings(parts, firsts)]
+    more += [parts_of(t, added) for t in strings(texts, whole)]
+    order = np.concatenate([simple, ended, other, np.arange(len(parts), len(times))])
+    sizes = np.concatenate([np.ones(len(simple), dtype=np.int64), np.fromiter(map(len, more), np.int64, len(more))])
+    every = [*strings(blank_before(parts), simple), *chain.from_iterable(more)]
+    places = memory.find(every, np.repeat(times[order], sizes))
+
+    # ids of every code, and at last the end
+    ids = np.append(memory.tokens(places), np.int32(end_id))
+    ends = np.concatenate([[0], np.cumsum(memory.counts[places])])[np.concatenate([[0], np.cumsum(sizes)])]
+    starts, counts = np.full(len(times) + 1, len(ids) - 1), np.ones(len(times) + 1, dtype=np.int64)
+    starts[order], counts[order] = ends[:-1], np.diff(ends)
+    codes = np.insert(codes, lists[1:], len(times))
+    sums = np.cumsum(counts[codes])
+    out = ids[np.arange(sums[-1] if len(sums) else 0) + np.repeat(starts[codes] - sums + counts[codes], counts[codes])]
+    return out, sums[lists[1:] + np.arange(len(texts))]
+
+
 def cut(docs: DataFrame, path: str, end_id: int, capacity: int, remembered: int) -> DataFrame:
     """Pieces of every document, with the task that made them and their number there."""
     with open(path, encoding="utf-8") as file:
@@ -259,22 +335,21 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int, remembered: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, added = kept(name, lambda: memory_of(sent.value, remembered)), added_tokens(sent.value)
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
                 rows = []
-                places = memory.places_of([parts_of(t or "", added) for t in batch.column("text").to_pylist()])
-                for doc_id, text_hash, found in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), places
+                every, ends = ids_of(batch.column("text"), memory, added, end_id)
+                every, at = every.astype("<u4"), 0
+                for doc_id, text_hash, end in zip(
+                    batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), ends.tolist()
                 ):
-                    ids = np.append(memory.tokens(found), np.int32(end_id)).astype("<u4")
+                    ids, at = every[at:end], end
                     start = 0
                     for n in range(-(-len(ids) // capacity)):
                         stop = start + ((len(ids) - 1) % capacity + 1 if n == 0 else capacity)
                         length = stop - start
-                        rows.append(
-                            (doc_id, text_hash, n, start, length, zlib.crc32(ids[start:stop]), task, int(seen[length]))
-                        )
+                        rows.append((doc_id, text_hash, n, start, length, zlib.crc32(ids[start:stop]), task, seen[length]))
                         seen[length] += 1
                         start = stop
                 columns = zip(*rows)

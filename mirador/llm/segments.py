@@ -85,18 +85,22 @@ class Memory:
             texts, ends = list(map(str, ids.tolist())), np.cumsum(counts).tolist()
             self.spelled += [",".join(texts[a:b]) for a, b in zip([0, *ends], ends)]
 
-    def places_of(self, found: list[list[str]]) -> list[np.ndarray]:
-        """Places of the segments of each text, after new segments are encoded."""
+    def find(self, every: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """Places of segments, after new ones are encoded; ``times`` says how often each was met."""
         if len(self.places) > self.most or self.sizes.sum() > self.most_chars:
             self.forget()
-        every = list(chain.from_iterable(found))
         at = np.fromiter(map(self.places.get, every, repeat(-1)), np.int64, len(every))
         unseen = np.flatnonzero(at < 0)
         if len(unseen):
             wanted = [every[k] for k in unseen]
             self.learn(list(dict.fromkeys(wanted)))
             at[unseen] = list(map(self.places.__getitem__, wanted))
-        self.met += np.bincount(at, minlength=len(self.met))
+        self.met += np.bincount(at, times, minlength=len(self.met)).astype(np.int64)
+        return at
+
+    def places_of(self, found: list[list[str]]) -> list[np.ndarray]:
+        """Places of the segments of each text, after new segments are encoded."""
+        at = self.find(list(chain.from_iterable(found)))
         ends = list(accumulate(map(len, found)))
         return [at[a:b] for a, b in zip([0, *ends], ends)]
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import random
 import re
 import tracemalloc
 import unicodedata
@@ -113,6 +114,41 @@ def test_packing_has_added_tokens_as_the_library(spark, vocabularies):
     assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
 
 
+def test_parts_of_texts_have_the_ids_of_the_library(vocabularies):
+    """Lines, marks, contractions, white space of all kinds and added tokens, in random texts, batch by batch."""
+    with open(vocabularies["byte_bpe_50k.json"], encoding="utf-8") as file:
+        vocabulary = file.read()
+    library, added = Tokenizer.from_str(vocabulary), packing.added_tokens(vocabulary)
+    memory = packing.memory_of(vocabulary, 300)  # forgets, too
+    rng = random.Random(1)
+    chars = [*"abZ é漢09²\n\n\t  .,;!?#*$%&|<>()'\"-_\r\x1c\x85\xa0\u3000\u0301\U0001f600", "'s", " the", "<|endoftext|>"]
+    texts = [None, "", " ", "\n", *("".join(rng.choices(chars, k=rng.randint(0, 12))) for _ in range(4000))]
+    for at in range(0, len(texts), 500):
+        some = pa.array(texts, pa.string()).slice(at, 500)
+        ids, ends = packing.ids_of(some, memory, added, 2)
+        found = [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+        assert found == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in some.to_pylist()]
+    ids, ends = packing.ids_of(pa.array([], pa.string()), memory, added, 2)
+    assert (len(ids), len(ends)) == (0, 0)
+
+
+def test_a_part_is_looked_up_once_for_all_its_places(vocabularies, monkeypatch):
+    """Work in Python follows the distinct parts of a batch; line ends and marks make no new words."""
+    with open(vocabularies["byte_bpe_50k.json"], encoding="utf-8") as file:
+        memory = packing.memory_of(file.read(), 1000)
+    seen, new = [], []
+    find, learn = memory.find, memory.learn
+    monkeypatch.setattr(memory, "find", lambda every, times: seen.extend(every) or find(every, times))
+    monkeypatch.setattr(memory, "learn", lambda some: new.extend(some) or learn(some))
+    words = ["thonin", "whon", "estien", "réhean"]
+    text = "".join(f" {a}. {a}*** {a},\n{b} {a}" for a in words for b in words) * 50
+    ids, ends = packing.ids_of(pa.array([text] * 3), memory, None, 2)
+    assert ends.tolist() == [len(ids) // 3 * k for k in (1, 2, 3)]
+    assert len(seen) < 120  # 28 parts after a blank, of up to four segments; the texts have 9,600
+    assert sorted(new) == sorted([*words, *(" " + w for w in words), ".", ",", "***", "\n"])
+    assert memory.met[memory.places["***"]] == 3 * 50 * 16
+
+
 @pytest.mark.parametrize("number", [60, 1500, 19_000, 21_000])
 def test_small_and_large_tables_go_through_the_program(number, monkeypatch):
     """Most pieces are placed by configurations of the program, at any size."""
