@@ -1,6 +1,7 @@
 """Learners on rows with a planted effect."""
 
 from multiprocessing.pool import ThreadPool
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -130,6 +131,48 @@ def test_blocks_and_threads_change_no_sum():
     assert np.array_equal(threaded[1], two_head._gradient((x, arm, y), (0.1, 0.2), weights, 16)[1])
 
 
+def test_members_of_a_team_change_no_sum():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(9000, 3)).astype(np.float32), (rng.random(9000) < 0.5).astype(np.float32)
+    arm = np.sort(rng.random(9000) < 0.4).astype(np.float32)
+    net, weights = two_head.Net(3, 40), two_head.initial(3, 40, 2).astype(np.float32)
+    loss, grad = two_head._gradient((x, arm, y), (0.1, 0.2), weights, 40)
+    found = []
+    for members in (1, 3):
+        with two_head.Team((x, arm, y), (0.1, 0.2), net, members) as team:
+            assert team.members == members and len({h.pid for h, _ in team.helpers}) == members - 1
+            found += [team.gradient(weights * 2), team.gradient(weights)]
+        assert not any(h.is_alive() for h, _ in team.helpers)
+    assert found[1][0] == found[3][0] and np.array_equal(found[1][1], found[3][1])
+    assert np.array_equal(found[0][1], found[2][1]) and not np.allclose(found[0][1], found[1][1])
+    assert found[1][0] == pytest.approx(loss) and np.allclose(found[1][1], grad, atol=1e-6 * np.abs(grad).max())
+
+
+def test_a_lone_network_has_all_cores_of_an_executor(spark):
+    """Also where the master alone says how many those are."""
+    cores = spark.sparkContext.defaultParallelism
+    assert two_head._members(spark.sparkContext, [two_head.Net(5)]) == [min(cores, two_head.EVEN)]
+    cluster = SimpleNamespace(master="local-cluster[3,4,9000]", defaultParallelism=12, getConf=dict)
+    assert two_head._members(cluster, [two_head.Net(5)]) == [4]
+
+
+def test_a_search_shares_out_the_cores_by_work():
+    cluster = SimpleNamespace(master="local-cluster[3,4,9000]", defaultParallelism=12, getConf=dict)
+    nets = [two_head.Net(5, 100, 16_000), two_head.Net(5, 100, 8_000), *[two_head.Net(5, 20, 1_000)] * 8]
+    assert two_head._members(cluster, nets) == [4, 4, *[1] * 8]
+    assert two_head._members(SimpleNamespace(master="spark://a:1", defaultParallelism=12, getConf=dict), nets) == [1] * 10
+
+
+def test_blocks_hold_arms_of_all_kinds():
+    """Arrays that are used again keep nothing of the block before, whatever arms its rows are of."""
+    rng = np.random.default_rng(6)
+    x, y, weights = rng.normal(size=(50, 3)), (rng.random(50) < 0.5).astype(float), two_head.initial(3, 9, 2)
+    for arm in (np.ones(50), (rng.random(50) < 0.4).astype(float), np.zeros(50), np.full(50, 0.25)):
+        rows = [two_head._of_block(x[k:k + 1], arm[k:k + 1], y[k:k + 1], 0.1, 0.2, weights, 9) for k in range(50)]
+        loss, grad = two_head._of_block(x, arm, y, 0.1, 0.2, weights, 9)
+        assert loss == pytest.approx(sum(a for a, _ in rows)) and np.allclose(grad, sum(g for _, g in rows))
+
+
 def test_blocks_take_no_missing_values(planted):
     """A missing value stops the training by epochs, as it did before there were blocks."""
     with pytest.raises(Exception, match="missing"):
